@@ -29,16 +29,14 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-def staged(spark: SparkSession, sf_dir: str, label: str, build: Query, partition_by: tuple[str, ...] = ()) -> DataFrame:
+def staged(spark: SparkSession, sf_dir: str, label: str, build: Query) -> DataFrame:
     """The table ``build`` derives from the supplied ones, written once per session to the shared folder.
 
     Later queries read the written table, as a production flow reads the output of its preparation step.
     """
     key = (spark.sparkContext.applicationId, sf_dir, label)
-    df = None
     if key not in _STAGED:
-        df = build(spark, sf_dir)
         path = fresh_path(spark, label)
-        df.write.partitionBy(*partition_by).parquet(path)
+        build(spark, sf_dir).write.parquet(path)
         _STAGED[key] = path
     return spark.read.parquet(_STAGED[key])

@@ -15,7 +15,7 @@ sparse as (
 
 WEEKLY = """
 weekly as (
-  select n.n_name store_id, p.p_type item_id, cast(date_trunc('week', cast(l.l_shipdate as date)) as date) wm_yr_wk,
+  select n.n_name store_id, p.p_type item_id, cast(strftime(date_trunc('week', cast(l.l_shipdate as date)), '%Y%m%d') as int) wm_yr_wk,
          round(sum(l.l_extendedprice), 2) / sum(l.l_quantity) sell_price
   from lineitem l join supplier s on l.l_suppkey = s.s_suppkey
   join nation n on s.s_nationkey = n.n_nationkey
@@ -24,7 +24,7 @@ weekly as (
 CAL = """
 cal as (
   select date, 'd_' || cast(datediff('day', date '1995-01-02', date) + 1 as varchar) d,
-         cast(date_trunc('week', date) as date) wm_yr_wk,
+         cast(strftime(date_trunc('week', date), '%Y%m%d') as int) wm_yr_wk,
          case when month(date)=12 and day(date)=25 then 'Christmas'
               when month(date)=7 and day(date)=4 then 'Independence'
               when month(date)=1 and day(date)=1 then 'NewYear' end event_name_1,

@@ -19,7 +19,8 @@ def melt_sales(wide: DataFrame, ids: Sequence[str] = IDENTIFIERS) -> DataFrame:
     if not days:
         raise ValueError(f"no {DAY_PREFIX}* columns to melt")
     kept = [c for c in ids if c in wide.columns]
-    exploded = wide.select(*kept, F.posexplode(F.array(*[F.col(c) for c in days])).alias("_pos", "sales"))
+    day_array = F.expr(f"array({', '.join(f'`{c}`' for c in days)})")
+    exploded = wide.select(*kept, F.posexplode(day_array).alias("_pos", "sales"))
     if days == [f"{DAY_PREFIX}{i}" for i in range(1, len(days) + 1)]:
         name = F.concat(F.lit(DAY_PREFIX), (F.col("_pos") + 1).cast("string"))
     else:
