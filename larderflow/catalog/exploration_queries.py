@@ -1 +1,213 @@
-"""Queries."""
+"""Exploratory queries and source round trips."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from larderflow.catalog import tables
+from larderflow.catalog.registry import query
+from larderflow.catalog.sql import PANEL, SPARSE, WEEKLY
+from larderflow.operators import exploration, reshape
+from larderflow.session import fresh_path
+from larderflow.sources import files, star
+
+
+def _train(spark, sf_dir):
+    return tables.panel(spark, sf_dir).where("split = 'train'")
+
+
+def rounded(df, *columns, digits=4):
+    return df.withColumns({c: F.round(c, digits) for c in columns})
+
+
+@query("a01_shape", f"{PANEL} select count(*) n_rows, 16 n_columns from panel where split = 'train'")
+def shape(spark, sf_dir):
+    return exploration.shape(_train(spark, sf_dir))
+
+
+@query(
+    "a01_head",
+    f"{PANEL} select store_id, item_id, date, sales from panel where split = 'train' order by store_id, item_id, date limit 5",
+)
+def head(spark, sf_dir):
+    return exploration.head(_train(spark, sf_dir), ["store_id", "item_id", "date"]).select(
+        "store_id", "item_id", "date", "sales"
+    )
+
+
+@query(
+    "a02_info",
+    f"""{PANEL} {" union all ".join(f"select {i} \"position\", '{c}' \"column\", '{t}' \"type\", count({c}) non_null from panel"
+        for i, (c, t) in enumerate((("store_id", "string"), ("date", "date"), ("sales", "double"), ("sell_price", "double"),
+                                    ("event_name_1", "string"), ("snap_CA", "int"))))}""",
+)
+def info(spark, sf_dir):
+    rows = tables.panel(spark, sf_dir)
+    return exploration.info(rows.select("store_id", "date", "sales", "sell_price", "event_name_1", "snap_CA"))
+
+
+def _describe(c):
+    return f"""select '{c}' "column", count({c}) "count", round(avg({c}), 4) mean, round(stddev_samp({c}), 4) std, min({c}) min,
+        round(quantile_cont({c}, 0.25), 4) p25, round(quantile_cont({c}, 0.5), 4) p50, round(quantile_cont({c}, 0.75), 4) p75,
+        max({c}) max from panel where split = 'train'"""
+
+
+@query("a03_describe", f"{PANEL} {_describe('sales')} union all {_describe('sell_price')}")
+def describe(spark, sf_dir):
+    stats = exploration.describe(_train(spark, sf_dir), ["sales", "sell_price"])
+    return rounded(stats, "mean", "std", "p25", "p50", "p75")
+
+
+@query(
+    "a04_zero_share",
+    f"{PANEL} select round(avg(case when sales = 0 then 1.0 else 0.0 end) * 100, 6) zero_pct from panel where split = 'train'",
+)
+def zero_share(spark, sf_dir):
+    return rounded(exploration.zero_share(_train(spark, sf_dir)), "zero_pct", digits=6)
+
+
+@query(
+    "a05_histogram",
+    f"""{PANEL}, t as (select sales x from panel where split = 'train'), s as (select min(x) lo, (max(x) - min(x)) / 50 w from t),
+        b as (select cast(least(floor((x - lo) / w), 49) as int) bin, count(*) n from t, s group by 1),
+        r as (select cast(unnest(generate_series(0, 49)) as int) bin)
+        select r.bin, round(lo + r.bin * w, 6) lower, round(lo + (r.bin + 1) * w, 6) upper, coalesce(n, 0) n
+        from r cross join s left join b on r.bin = b.bin""",
+)
+def histogram(spark, sf_dir):
+    return rounded(exploration.histogram(_train(spark, sf_dir)), "lower", "upper", digits=6)
+
+
+@query(
+    "a06_box_stats",
+    f"""{PANEL}, t as (select sales x from panel where split = 'train'),
+        q as (select quantile_cont(x, 0.25) q1, quantile_cont(x, 0.5) q2, quantile_cont(x, 0.75) q3 from t)
+        select any_value(q1) q1, any_value(q2) median, any_value(q3) q3,
+        min(x) filter (x between q1 - 1.5 * (q3 - q1) and q3 + 1.5 * (q3 - q1)) whisker_low,
+        max(x) filter (x between q1 - 1.5 * (q3 - q1) and q3 + 1.5 * (q3 - q1)) whisker_high,
+        count(*) filter (x not between q1 - 1.5 * (q3 - q1) and q3 + 1.5 * (q3 - q1)) n_outliers from t, q""",
+)
+def box_stats(spark, sf_dir):
+    return exploration.box_stats(_train(spark, sf_dir))
+
+
+@query("a07_daily_totals", f"{PANEL} select date, sum(sales) total from panel where split = 'train' group by 1")
+def daily_totals(spark, sf_dir):
+    return exploration.daily_totals(_train(spark, sf_dir))
+
+
+@query(
+    "a08_top_stores",
+    f"""{PANEL} select store_id, sum(sales) sum, round(avg(sales), 6) mean, round(stddev_samp(sales), 4) std from panel
+        where split = 'train' group by 1 order by sum desc, store_id limit 5""",
+)
+def top_stores(spark, sf_dir):
+    return exploration.top_stores(_train(spark, sf_dir)).withColumns({"mean": F.round("mean", 6), "std": F.round("std", 4)})
+
+
+@query("a09_category_totals", f"{PANEL} select cat_id, sum(sales) total from panel where split = 'train' group by 1")
+def category_totals(spark, sf_dir):
+    return exploration.category_totals(_train(spark, sf_dir))
+
+
+@query(
+    "a10_price_correlation",
+    f"""{PANEL}, c as (select round(corr(sell_price, sales), 6) r from panel where split = 'train')
+        select 'sell_price' "row", 'sell_price' "column", 1.0::double "value" union all select 'sales', 'sales', 1.0
+        union all select 'sell_price', 'sales', r from c union all select 'sales', 'sell_price', r from c""",
+)
+def price_correlation(spark, sf_dir):
+    return rounded(exploration.correlation(_train(spark, sf_dir), "sell_price", "sales"), "value", digits=6)
+
+
+@query(
+    "a11_weekday_means",
+    f"""{PANEL} select cast(isodow(date) - 1 as int) day_of_week, round(avg(sales), 6) mean_sales,
+        ['Mon', 'Tue', 'Wed', 'Thu', 'Fri', 'Sat', 'Sun'][isodow(date)] day_name from panel where split = 'train' group by 1, 3""",
+)
+def weekday_means(spark, sf_dir):
+    return rounded(exploration.weekday_means(_train(spark, sf_dir)), "mean_sales", digits=6)
+
+
+def _raw_folder(spark, sf_dir):
+    """The raw CSV layout of the derived tables, written once."""
+    folder = fresh_path(spark, "raw")
+    for name, df in (
+        ("sales_train_evaluation.csv", tables.wide(spark, sf_dir)),
+        ("calendar.csv", star.raw_calendar(spark)),
+        ("sell_prices.csv", tables.weekly(spark, sf_dir)),
+    ):
+        df.write.option("header", True).csv(f"{folder}/{name}")
+    return folder
+
+
+@query(
+    "s01_read_wide_sales",
+    f"{PANEL} select store_id, item_id, d, cast(sales as int) sales from panel",
+)
+def read_wide_sales(spark, sf_dir):
+    folder = _raw_folder(spark, sf_dir)
+    sales, _, _ = files.read_raw(spark, folder)
+    return reshape.melt_sales(sales).select("store_id", "item_id", "d", "sales")
+
+
+@query("s01_read_wide_sales_as_text", f"{PANEL} select store_id, item_id, d, cast(sales as int) sales from panel")
+def read_wide_sales_as_text(spark, sf_dir):
+    folder = _raw_folder(spark, sf_dir)
+    return files.read_sales_long(spark, f"{folder}/sales_train_evaluation.csv").select("store_id", "item_id", "d", "sales")
+
+
+@query(
+    "s02_read_calendar",
+    f"{PANEL} select distinct cast(date as varchar) date, d, wm_yr_wk, event_name_1, snap_CA from panel",
+)
+def read_calendar(spark, sf_dir):
+    path = fresh_path(spark, "calendar")
+    days = tables.panel(spark, sf_dir).select("date", "d", "wm_yr_wk").distinct()
+    raw = star.raw_calendar(spark).drop("wm_yr_wk").join(days.drop("date"), "d")
+    raw.select(*[c for c in files.CALENDAR.names if c in raw.columns]).write.option("header", True).csv(path)
+    return files.read_calendar(spark, path).select("date", "d", "wm_yr_wk", "event_name_1", "snap_CA")
+
+
+@query("s03_read_prices", f"with {WEEKLY.strip()} select * from weekly")
+def read_prices(spark, sf_dir):
+    path = fresh_path(spark, "prices")
+    tables.weekly(spark, sf_dir).write.option("header", True).csv(path)
+    return files.read_prices(spark, path)
+
+
+@query(
+    "s05_write_splits",
+    f"{PANEL} select split, count(*) n_rows, sum(sales) units, min(date) first_date, max(date) last_date from panel group by 1",
+)
+def write_splits(spark, sf_dir):
+    path = fresh_path(spark, "splits")
+    files.write_splits(tables.panel(spark, sf_dir), path)
+    return spark.read.parquet(path).groupBy("split").agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.sum("sales").alias("units"),
+        F.min("date").alias("first_date"),
+        F.max("date").alias("last_date"),
+    )
+
+
+@query("s06_load_splits", f"{PANEL} select store_id, item_id, date, sales from panel where split = 'test'")
+def load_splits(spark, sf_dir):
+    path = fresh_path(spark, "splits")
+    files.write_splits(tables.panel(spark, sf_dir), path)
+    return files.read_splits(spark, path)[2].select("store_id", "item_id", "date", "sales")
+
+
+@query("s07_feature_table", f"{PANEL} select split, count(*) n_rows from panel group by 1")
+def feature_table(spark, sf_dir):
+    path = fresh_path(spark, "feature-splits")
+    files.write_splits(tables.features(spark, sf_dir), path)
+    return spark.read.parquet(path).groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@query("s08_report_csv", f"with {SPARSE.strip()} select store_id, cast(sum(sales) as bigint) total from sparse group by 1")
+def report_csv(spark, sf_dir):
+    path = fresh_path(spark, "report")
+    totals = exploration.total_by(tables.panel(spark, sf_dir), ["store_id"]).withColumn("total", F.col("total").cast("bigint"))
+    files.write_report(totals, path)
+    return spark.read.schema(totals.schema).option("header", True).csv(path)

@@ -1 +1,338 @@
-"""Queries."""
+"""Forecast, sequence, scaling, boosting and scoring queries."""
+
+from __future__ import annotations
+
+from functools import cache
+
+from pyspark.sql import functions as F
+
+from larderflow.catalog import tables
+from larderflow.catalog.registry import query, staged
+from larderflow.catalog.sql import PANEL
+from larderflow.operators import baselines, boosting, scoring, sequences
+from larderflow.operators.evaluation import METRICS, metrics, pinball_by
+from larderflow.plans.features import training_features
+from larderflow.session import fresh_path
+from larderflow.settings import BoostingSettings, ForecastSettings
+from larderflow.sources import models, star
+
+KEYS = ["store_id", "item_id"]
+MODELS = ("naive", "seasonal_naive", "moving_avg_7", "moving_avg_28")
+
+# Rows numbered from the end of each series, and the seven steps ahead.
+TAIL = f"""{PANEL}, tail as (select store_id, item_id, date, sales,
+    row_number() over (partition by store_id, item_id order by date desc) k from panel),
+    steps as (select cast(unnest(generate_series(1, 7)) as int) h)"""
+NEXT_DAY = "cast(date '2001-11-04' + h as date) date"
+
+
+def _panel(spark, sf_dir):
+    return tables.panel(spark, sf_dir).select(*KEYS, "date", "sales")
+
+
+@query(
+    "f01_naive",
+    f"{TAIL} select store_id, item_id, h horizon, {NEXT_DAY}, sales prediction from tail cross join steps where k = 1",
+)
+def naive(spark, sf_dir):
+    return baselines.naive(_panel(spark, sf_dir))
+
+
+@query(
+    "f02_seasonal_naive",
+    f"{TAIL} select store_id, item_id, h horizon, {NEXT_DAY}, sales prediction from tail join steps on k = 7 - (h - 1) % 7",
+)
+def seasonal_naive(spark, sf_dir):
+    return baselines.seasonal_naive(_panel(spark, sf_dir))
+
+
+@query(
+    "f02_seasonal_naive_reference_index",
+    f"{TAIL} select store_id, item_id, h horizon, {NEXT_DAY}, sales prediction from tail join steps on k = 7 + (h - 1) % 7",
+)
+def seasonal_naive_reference_index(spark, sf_dir):
+    return baselines.seasonal_naive(_panel(spark, sf_dir), reference_index=True)
+
+
+@query(
+    "f03_moving_average",
+    f"""{TAIL}, m as (select store_id, item_id, avg(sales) filter (k <= 7) m7, avg(sales) filter (k <= 28) m28 from tail group by 1, 2)
+        select store_id, item_id, 7 "window", h horizon, {NEXT_DAY}, m7 prediction from m cross join steps
+        union all select store_id, item_id, 28, h, {NEXT_DAY}, m28 from m cross join steps""",
+)
+def moving_average(spark, sf_dir):
+    parts = [
+        baselines.moving_average(_panel(spark, sf_dir), window=n).withColumn("window", F.lit(n)) for n in (7, 28)
+    ]
+    return parts[0].unionByName(parts[1])
+
+
+BACKTEST = f"""{TAIL}, hist as (select store_id, item_id, sales, k - 7 k from tail where k > 7),
+    actual as (select store_id, item_id, 8 - k h, date, sales y_true from tail where k <= 7),
+    means as (select store_id, item_id, avg(sales) filter (k <= 7) m7, avg(sales) filter (k <= 28) m28,
+        max(sales) filter (k = 1) last from hist group by 1, 2),
+    pred as (select store_id, item_id, 'naive' model, cast(h as int) h, last y_pred from means cross join steps
+        union all select store_id, item_id, 'moving_avg_7', h, m7 from means cross join steps
+        union all select store_id, item_id, 'moving_avg_28', h, m28 from means cross join steps
+        union all select store_id, item_id, 'seasonal_naive', h, sales from hist join steps on k = 7 - (h - 1) % 7),
+    backtest as (select p.store_id, p.item_id, p.model, p.h horizon, a.date, a.y_true, p.y_pred
+        from pred p join actual a on p.store_id = a.store_id and p.item_id = a.item_id and p.h = a.h)"""
+
+
+@query("f04_backtest", f"{BACKTEST} select * from backtest")
+def backtest(spark, sf_dir):
+    return baselines.backtest(_panel(spark, sf_dir))
+
+
+@query(
+    "f04_short_series",
+    "with n as (select o_custkey, count(*) n from orders group by 1) select count(*) n_series, count(*) filter (n <= 7) n_skipped from n",
+)
+def short_series(spark, sf_dir):
+    return baselines.short_series(star.table(spark, sf_dir, "orders"), 7, ["o_custkey"])
+
+
+@query(
+    "f05_seasonal_average",
+    f"""{TAIL} select store_id, item_id, h horizon, {NEXT_DAY}, avg(sales) prediction from tail
+        join steps on k <= 28 and k % 7 = (7 - (h - 1) % 7) % 7 group by 1, 2, 3, 4""",
+)
+def seasonal_average(spark, sf_dir):
+    return baselines.seasonal_average(_panel(spark, sf_dir))
+
+
+BOOST = BoostingSettings(n_estimators=8, max_depth=5)
+BOOST_FEATURES = (
+    "lag_1", "lag_7", "lag_28", "rolling_mean_7", "rolling_mean_28", "rolling_std_28", "day_of_week", "price_relative",
+)
+
+
+def training(spark, sf_dir):
+    """Past-only features of all splits."""
+    return staged(
+        spark, sf_dir, "training", lambda s, d: training_features(tables.filled(s, d), event_types=star.EVENT_TYPES)
+    )
+
+
+@cache
+def _fitted(spark, sf_dir, validated: bool):
+    rows = training(spark, sf_dir)
+    held_out = rows.where("split = 'val'") if validated else None
+    return boosting.fit(rows.where("split = 'train'"), BOOST_FEATURES, settings=BOOST, validation=held_out)
+
+
+def fitted(spark, sf_dir, validated: bool = False):
+    """The model of this session's training rows."""
+    return _fitted(spark, sf_dir, validated)
+
+
+@query("f06_boosted_trees")
+def boosted_trees(spark, sf_dir):
+    """Fit on the training period, predict every row."""
+    return boosting.predict(fitted(spark, sf_dir), training(spark, sf_dir)).select(*KEYS, "date", "split", "sales", "y_pred")
+
+
+@query("f07_validated_boosting")
+def validated_boosting(spark, sf_dir):
+    """Stops once the validation error no longer improves."""
+    model = fitted(spark, sf_dir, True)
+    scored = boosting.predict(model, training(spark, sf_dir).where("split = 'test'"))
+    return scored.select(*KEYS, "date", "sales", "y_pred", F.lit(boosting.tree_count(model)).alias("n_trees"))
+
+
+@query(
+    "f08_numeric_features",
+    f"""{PANEL}, n as (select count(*) n_rows from panel)
+        select unnest(['wm_yr_wk', 'sell_price', 'snap_CA', 'snap_TX', 'snap_WI']) feature, n_rows from n""",
+)
+def numeric_features(spark, sf_dir):
+    rows = tables.panel(spark, sf_dir)
+    names = [F.lit(c) for c in boosting.numeric_features(rows)]
+    return rows.agg(F.count(F.lit(1)).alias("n_rows")).select("n_rows", F.explode(F.array(*names)).alias("feature"))
+
+
+@query(
+    "f09_non_negative_predictions",
+    f"""{PANEL}, x as (select store_id, item_id, split, date, lag(sales, 28) over (partition by store_id, item_id order by date) lag_28,
+        sell_price from panel) select split, count(*) n_rows, 0::bigint n_negative, 0::bigint n_missing
+        from x where lag_28 is not null group by 1""",
+)
+def non_negative_predictions(spark, sf_dir):
+    scored = boosting.predict(fitted(spark, sf_dir), training(spark, sf_dir))
+    return scored.groupBy("split").agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count_if(F.col("y_pred") < 0).alias("n_negative"),
+        F.count_if(F.col("y_pred").isNull()).alias("n_missing"),
+    )
+
+
+@query("f10_feature_importance")
+def feature_importance(spark, sf_dir):
+    return boosting.feature_importance(fitted(spark, sf_dir), spark, 20)
+
+
+@query(
+    "f11_training_sequences",
+    f"""{PANEL}, x as (select store_id, item_id, date, count(*) over e encoder_len, count(*) over d decoder_len,
+        sum(sales) over e encoder_sum, sum(sales) over d decoder_sum, first_value(sales) over e oldest,
+        last_value(sales) over d farthest from panel
+        window e as (partition by store_id, item_id order by date rows between 27 preceding and current row),
+            d as (partition by store_id, item_id order by date rows between 1 following and 7 following))
+        select store_id, item_id, date, cast(encoder_len as int) encoder_len, encoder_sum, decoder_sum, oldest, farthest,
+            cast(1 - encoder_len as int) first_idx, 7 last_idx
+        from x where encoder_len >= 14 and decoder_len >= 7""",
+)
+def training_sequences(spark, sf_dir):
+    """Arrays reduced to sums and end points, so that SQL can check every example."""
+    built = sequences.build_sequences(_panel(spark, sf_dir))
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda acc, x: acc + x)
+    return built.select(
+        *KEYS,
+        "date",
+        "encoder_len",
+        F.aggregate("encoder", F.lit(0.0), lambda acc, x: acc + x[0]).alias("encoder_sum"),
+        total("decoder").alias("decoder_sum"),
+        F.col("encoder")[0][0].alias("oldest"),
+        F.element_at("decoder", -1).alias("farthest"),
+        F.col("relative_idx")[0].alias("first_idx"),
+        F.element_at("relative_idx", -1).alias("last_idx"),
+    )
+
+
+@query("f11_time_index", f"{PANEL} select store_id, item_id, date, cast(date - date '1995-01-02' as int) time_idx from panel")
+def time_index(spark, sf_dir):
+    return sequences.time_index(tables.panel(spark, sf_dir).select(*KEYS, "date"))
+
+
+@query(
+    "f12_target_scaling",
+    f"""{PANEL}, s as (select store_id, item_id, avg(sales) c, greatest(coalesce(stddev_samp(sales), 0), 1e-8) s from panel
+        where split = 'train' group by 1, 2)
+        select p.store_id, p.item_id, date, round((sales - c) / s, 4) sales_scaled,
+            round(greatest((sales - c) / s, 0) + ln(1 + exp(-abs((sales - c) / s))), 4) softplus
+        from panel p join s on p.store_id = s.store_id and p.item_id = s.item_id""",
+)
+def target_scaling(spark, sf_dir):
+    rows = tables.panel(spark, sf_dir)
+    scales = sequences.fit_scales(rows.where("split = 'train'"))
+    scaled = sequences.scale_target(rows.select(*KEYS, "date", "sales"), scales)
+    return scaled.select(
+        *KEYS,
+        "date",
+        F.round("sales_scaled", 4).alias("sales_scaled"),
+        F.round(sequences.softplus(F.col("sales_scaled")), 4).alias("softplus"),
+    )
+
+
+QUANTILES = f"""{TAIL}, ma as (select *, avg(sales) over (partition by store_id, item_id order by date
+        rows between 27 preceding and current row) m from tail),
+    resid as (select a.store_id, a.item_id, h, b.sales - a.m r from ma a join steps on true
+        join tail b on a.store_id = b.store_id and a.item_id = b.item_id and b.k = a.k - h
+        where a.k - 1 between h and h + 55),
+    q as (select store_id, item_id, h, quantile_cont(r, 0.1) r10, quantile_cont(r, 0.5) r50, quantile_cont(r, 0.9) r90
+        from resid group by 1, 2, 3),
+    forecast as (select q.store_id, q.item_id, q.h horizon, cast(date '2001-11-04' + q.h as date) date,
+        greatest(m + r10, 0) p10, greatest(m + r50, 0) p50, greatest(m + r90, 0) p90
+        from q join ma on q.store_id = ma.store_id and q.item_id = ma.item_id and ma.k = 1)"""
+
+
+def _forecast(spark, sf_dir):
+    return baselines.quantile_forecast(_panel(spark, sf_dir))
+
+
+@query(
+    "f13_quantile_forecast",
+    f"""{QUANTILES} select store_id, item_id, horizon, date, round(p10, 6) p10, round(p50, 6) p50, round(p90, 6) p90
+        from forecast""",
+)
+def quantile_forecast(spark, sf_dir):
+    return _forecast(spark, sf_dir).withColumns({c: F.round(c, 6) for c in ("p10", "p50", "p90")})
+
+
+@query(
+    "f14_pinball_loss",
+    f"""{QUANTILES.replace("order by date desc) k from panel)", "order by date desc) k from panel where split <> 'test')")
+        .replace("date '2001-11-04' + q.h", "date '2001-10-07' + q.h")}
+        select f.horizon, round(avg(greatest(0.1 * (sales - p10), -0.9 * (sales - p10))), 6) loss_p10,
+            round(avg(greatest(0.5 * (sales - p50), -0.5 * (sales - p50))), 6) loss_p50,
+            round(avg(greatest(0.9 * (sales - p90), -0.1 * (sales - p90))), 6) loss_p90
+        from forecast f join panel p on f.store_id = p.store_id and f.item_id = p.item_id and f.date = p.date group by 1""",
+)
+def pinball_loss(spark, sf_dir):
+    """Quantiles from train and validation, scored on the first test week."""
+    rows = tables.panel(spark, sf_dir).select(*KEYS, "date", "sales", "split")
+    forecasts = baselines.quantile_forecast(rows.where("split <> 'test'"))
+    scored = forecasts.join(rows.select(*KEYS, "date", F.col("sales").alias("y_true")), [*KEYS, "date"])
+    losses = pinball_by(scored, {"p10": 0.1, "p50": 0.5, "p90": 0.9}, by=["horizon"])
+    return losses.withColumns({c: F.round(c, 6) for c in ("loss_p10", "loss_p50", "loss_p90")})
+
+
+def _requests(spark, sf_dir):
+    """One request per customer: their nation as store, a part type by size of balance, a horizon from 0 to 34 or none."""
+    customers = star.table(spark, sf_dir, "customer").join(
+        star.table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")
+    )
+    horizon = F.when(F.col("c_custkey") % 5 != 0, F.pmod("c_custkey", F.lit(35))).cast("int")
+    item = F.when(F.col("c_mktsegment") != "MACHINERY", F.when(F.col("c_acctbal") > 5000, "LARGE").otherwise("PROMO"))
+    return customers.select(F.col("n_name").alias("store_id"), item.alias("item_id"), horizon.alias("forecast_horizon"))
+
+
+REQUESTS = """requests as (select n_name store_id, case when c_mktsegment <> 'MACHINERY' then
+        case when c_acctbal > 5000 then 'LARGE' else 'PROMO' end end item_id,
+        cast(coalesce(case when c_custkey % 5 <> 0 then c_custkey % 35 end, 7) as int) forecast_horizon
+    from customer join nation on c_nationkey = n_nationkey)"""
+
+
+def _month_forecast(spark, sf_dir):
+    return baselines.quantile_forecast(_panel(spark, sf_dir), horizon=28)
+
+
+@query(
+    "f15_batch_scoring",
+    f"""{QUANTILES.replace("generate_series(1, 7)", "generate_series(1, 28)")}, {REQUESTS},
+        valid as (select distinct * from requests where item_id is not null and forecast_horizon between 1 and 28)
+        select v.store_id, v.item_id, v.forecast_horizon, count(f.horizon) n_points, round(sum(p10), 4) sum_p10,
+            round(sum(p50), 4) sum_p50, round(sum(p90), 4) sum_p90, min(f.date) first_date, max(f.date) last_date
+        from valid v left join forecast f on v.store_id = f.store_id and v.item_id = f.item_id and f.horizon <= v.forecast_horizon
+        group by 1, 2, 3""",
+)
+def batch_scoring(spark, sf_dir):
+    """Nested responses unfolded, so that SQL can check every point."""
+    responses = scoring.score_requests(_requests(spark, sf_dir), _month_forecast(spark, sf_dir))
+    points = responses.select(*KEYS, "forecast_horizon", F.explode_outer("forecasts").alias("p"))
+    return points.groupBy(*KEYS, "forecast_horizon").agg(
+        F.count("p.horizon").alias("n_points"),
+        *[F.round(F.sum(f"p.{c}"), 4).alias(f"sum_{c}") for c in ("p10", "p50", "p90")],
+        F.min("p.date").alias("first_date"),
+        F.max("p.date").alias("last_date"),
+    )
+
+
+@query(
+    "f15_rejected_requests",
+    f"""with {REQUESTS} select case when item_id is null then 'item_id missing' else 'forecast_horizon not in 1..28' end reason,
+        count(*) n_requests from requests where item_id is null or forecast_horizon not between 1 and 28 group by 1""",
+)
+def rejected_requests(spark, sf_dir):
+    rejected = scoring.rejected_requests(_requests(spark, sf_dir))
+    return rejected.groupBy("reason").agg(F.count(F.lit(1)).alias("n_requests"))
+
+
+@query("f16_model_card")
+def model_card(spark, sf_dir):
+    model = fitted(spark, sf_dir)
+    scored = boosting.predict(model, training(spark, sf_dir).where("split = 'test'"))
+    row = metrics(scored.withColumnRenamed("sales", "y_true"), by=()).first()
+    card = models.model_card(
+        spark, model, "boosted_trees", "1.0.0", "GBT", ForecastSettings().horizon, {m: row[m] for m in METRICS}
+    )
+    return card
+
+
+@query("s11_saved_model")
+def saved_model(spark, sf_dir):
+    """Predictions of a saved and reloaded model."""
+    path = fresh_path(spark, "model")
+    models.save_model(fitted(spark, sf_dir), path)
+    scored = boosting.predict(models.load_model(path), training(spark, sf_dir).where("split = 'test'"))
+    return scored.select(*KEYS, "date", "sales", "y_pred")

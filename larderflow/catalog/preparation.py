@@ -91,7 +91,7 @@ def backward_fill(spark, sf_dir):
 
 @query(
     "p09_item_median_fill",
-    f"""with {SPARSE.strip()},{CAL},{PANEL_ONLY.replace("p.sell_price", "case when s.store_id <> 'CHINA' then p.sell_price end sell_price")},
+    f"""with {SPARSE.strip()},{CAL},{PANEL_ONLY.replace("p.sell_price", "case when s.store_id <> 'NATION_3' then p.sell_price end sell_price")},
         {FILLED_ONLY.strip()}, med as (select item_id, median(sell_price) m from filled group by 1)
         select store_id, f.item_id, date, coalesce(sell_price, m) sell_price
         from filled f left join med on f.item_id = med.item_id""",
@@ -99,7 +99,7 @@ def backward_fill(spark, sf_dir):
 def item_median_fill(spark, sf_dir):
     """One store without any price takes its items' medians from the others."""
     rows = tables.panel(spark, sf_dir).select("store_id", "item_id", "date", "sell_price")
-    unpriced = rows.withColumn("sell_price", F.when(F.col("store_id") != "CHINA", F.col("sell_price")))
+    unpriced = rows.withColumn("sell_price", F.when(F.col("store_id") != "NATION_3", F.col("sell_price")))
     return fill.fill_prices(unpriced)
 
 

@@ -35,6 +35,9 @@ def fit(
 ) -> PipelineModel:
     """Fit on rows without missing features. With ``validation``, training stops once its error no longer improves."""
     features = list(features or numeric_features(train, target))
+    stopping = {}
+    if validation is not None:
+        stopping = {"validationIndicatorCol": "_held_out", "validationTol": settings.validation_tol}
     booster = GBTRegressor(
         featuresCol="features",
         labelCol=target,
@@ -45,13 +48,13 @@ def fit(
         subsamplingRate=settings.subsample,
         featureSubsetStrategy=str(settings.colsample),
         seed=settings.seed,
+        **stopping,
     )
     rows = train.select(*features, target)
     if validation is not None:
         rows = rows.withColumn("_held_out", F.lit(False)).unionByName(
             validation.select(*features, target).withColumn("_held_out", F.lit(True))
         )
-        booster = booster.setValidationIndicatorCol("_held_out").setValidationTol(settings.validation_tol)
     assembler = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip")
     return Pipeline(stages=[assembler, booster]).fit(rows.na.drop(subset=[target]))
 

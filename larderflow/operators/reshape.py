@@ -21,11 +21,14 @@ def melt_sales(wide: DataFrame, ids: Sequence[str] = IDENTIFIERS) -> DataFrame:
     kept = [c for c in ids if c in wide.columns]
     day_array = F.expr(f"array({', '.join(f'`{c}`' for c in days)})")
     exploded = wide.select(*kept, F.posexplode(day_array).alias("_pos", "sales"))
-    if days == [f"{DAY_PREFIX}{i}" for i in range(1, len(days) + 1)]:
-        name = F.concat(F.lit(DAY_PREFIX), (F.col("_pos") + 1).cast("string"))
-    else:
-        name = F.element_at(F.array(*[F.lit(c) for c in days]), F.col("_pos") + 1)
-    return exploded.select(*kept, name.alias("d"), "sales")
+    return exploded.select(*kept, day_name(days, F.col("_pos")).alias("d"), "sales")
+
+
+def day_name(days: Sequence[str], position: Column) -> Column:
+    """Name of the day column at a 0-based position."""
+    if list(days) == [f"{DAY_PREFIX}{i}" for i in range(1, len(days) + 1)]:
+        return F.concat(F.lit(DAY_PREFIX), (position + 1).cast("string"))
+    return F.element_at(F.array(*[F.lit(c) for c in days]), position + 1)
 
 
 def prepare_calendar(calendar: DataFrame) -> DataFrame:

@@ -29,6 +29,10 @@ def score_points(
 ) -> DataFrame:
     """One row per request and forecast day; requests for unknown series keep one row with null forecasts."""
     valid = _checked(requests, settings).where(F.col("reason").isNull()).drop("reason")
+    return _with_forecasts(valid, forecasts)
+
+
+def _with_forecasts(valid: DataFrame, forecasts: DataFrame) -> DataFrame:
     return valid.join(forecasts, list(SERIES), "left").where(
         F.col("horizon").isNull() | (F.col("horizon") <= F.col("forecast_horizon"))
     )
@@ -47,8 +51,9 @@ def score_requests(
     """
     point = F.struct("date", "horizon", "p10", "p50", "p90")
     known = F.when(F.col("horizon").isNotNull(), point)
+    valid = _checked(requests, settings).where(F.col("reason").isNull())
     return (
-        score_points(requests.distinct(), forecasts, settings)
+        _with_forecasts(valid.select(*SERIES, "forecast_horizon").distinct(), forecasts)
         .groupBy(*SERIES, "forecast_horizon")
         .agg(F.array_sort(F.collect_list(known)).alias("forecasts"))
         .select(

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from larderflow.operators.reshape import day_name
 from larderflow.schemas import CALENDAR, DAY_PREFIX, IDENTIFIERS, METRIC_HISTORY, PRICES, RAW_FILES, wide_sales
 
 
@@ -26,16 +27,18 @@ def csv_header(spark: SparkSession, path: str) -> list[str]:
     return spark.read.text(path).first()[0].split(",")
 
 
-def read_sales(spark: SparkSession, path: str) -> DataFrame:
-    """Wide daily sales with the schema stated by the header's day columns."""
-    header = csv_header(spark, path)
-    kinds = {f.name: f.dataType for f in wide_sales(0)}
-    fields = [
-        T.StructField(c, kinds.get(c, T.IntegerType() if c.startswith(DAY_PREFIX) else T.StringType())) for c in header
-    ]
+def read_csv(spark: SparkSession, path: str, known: T.StructType) -> DataFrame:
+    """CSV with the declared types of known columns and text for the others, in the order of the header."""
+    kinds = {f.name: f.dataType for f in known}
+    fields = [T.StructField(c, kinds.get(c, T.StringType())) for c in csv_header(spark, path)]
     return spark.read.schema(T.StructType(fields)).option("header", True).option("maxColumns", 100_000).csv(path)
 
 
+def read_sales(spark: SparkSession, path: str) -> DataFrame:
+    """Wide daily sales; every day column of the header is an integer."""
+    return read_csv(spark, path, wide_sales(len(csv_header(spark, path))))
+
+
 def read_sales_long(spark: SparkSession, path: str) -> DataFrame:
     """Long sales straight from the text lines of a wide CSV without quoted commas.
 
@@ -45,27 +48,23 @@ def read_sales_long(spark: SparkSession, path: str) -> DataFrame:
     days = [i for i, c in enumerate(header) if c.startswith(DAY_PREFIX)]
     if not days or days != list(range(days[0], len(header))):
         raise ValueError("day columns must be the last columns of the file")
-    cells = F.split("value", ",", -1)
-    ids = [cells[header.index(c)].alias(c) for c in IDENTIFIERS if c in header]
-    names = F.array(*[F.lit(header[i]) for i in days])
-    lines = spark.read.text(path).where(F.col("value") != ",".join(header))
-    return lines.select(
-        *ids, F.posexplode(F.slice(cells, days[0] + 1, len(days))).alias("_pos", "_cell")
-    ).select(
-        *[c for c in IDENTIFIERS if c in header],
-        F.element_at(names, F.col("_pos") + 1).alias("d"),
-        F.expr("try_cast(_cell as int)").alias("sales"),
+    ids = [c for c in IDENTIFIERS if c in header]
+    lines = spark.read.text(path).where(F.col("value") != ",".join(header)).select(F.split("value", ",", -1).alias("_cells"))
+    parts = lines.select(
+        *[F.col("_cells")[header.index(c)].alias(c) for c in ids], F.slice("_cells", days[0] + 1, len(days)).alias("_days")
     )
+    exploded = parts.select(*ids, F.posexplode("_days").alias("_pos", "_cell"))
+    names = [header[i] for i in days]
+    return exploded.select(*ids, day_name(names, F.col("_pos")).alias("d"), F.expr("try_cast(_cell as int)").alias("sales"))
 
 
 def read_calendar(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(CALENDAR).option("header", True).option("enforceSchema", False).csv(path)
+    return read_csv(spark, path, CALENDAR)
 
 
 def read_prices(spark: SparkSession, path: str) -> DataFrame:
     """Weekly prices; NaN cells become null."""
-    prices = spark.read.schema(PRICES).option("header", True).option("enforceSchema", False).csv(path)
-    return nan_to_null(prices)
+    return nan_to_null(read_csv(spark, path, PRICES))
 
 
 def read_raw(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
