@@ -208,7 +208,7 @@ def time_index(spark, sf_dir):
     "f12_target_scaling",
     f"""{PANEL}, s as (select store_id, item_id, avg(sales) c, greatest(coalesce(stddev_samp(sales), 0), 1e-8) s from panel
         where split = 'train' group by 1, 2)
-        select p.store_id, p.item_id, date, round((sales - c) / s, 4) sales_scaled,
+        select p.store_id, p.item_id, date, round((sales - c) / s, 4) + 0.0 sales_scaled,
             round(greatest((sales - c) / s, 0) + ln(1 + exp(-abs((sales - c) / s))), 4) softplus
         from panel p join s on p.store_id = s.store_id and p.item_id = s.item_id""",
 )
@@ -219,7 +219,7 @@ def target_scaling(spark, sf_dir):
     return scaled.select(
         *KEYS,
         "date",
-        F.round("sales_scaled", 4).alias("sales_scaled"),
+        (F.round("sales_scaled", 4) + F.lit(0.0)).alias("sales_scaled"),
         F.round(sequences.softplus(F.col("sales_scaled")), 4).alias("softplus"),
     )
 

@@ -36,7 +36,8 @@ def read_csv(spark: SparkSession, path: str, known: T.StructType) -> DataFrame:
 
 def read_sales(spark: SparkSession, path: str) -> DataFrame:
     """Wide daily sales; every day column of the header is an integer."""
-    return read_csv(spark, path, wide_sales(len(csv_header(spark, path))))
+    days = [T.StructField(c, T.IntegerType()) for c in csv_header(spark, path) if c.startswith(DAY_PREFIX)]
+    return read_csv(spark, path, T.StructType([*wide_sales(0).fields, *days]))
 
 
 def read_sales_long(spark: SparkSession, path: str) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import os
 import sys
 import time
@@ -23,22 +22,8 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
-def _cell(x):
-    if x is None or (isinstance(x, float) and math.isnan(x)):
-        return None
-    if isinstance(x, float):
-        return x + 0.0
-    return x
-
-
-def normal_rows(pdf) -> list[tuple]:
-    pdf = pdf[sorted(pdf.columns)].astype(object)
-    rows = [tuple(_cell(x) for x in row) for row in pdf.itertuples(index=False, name=None)]
-    return sorted(rows, key=repr)
-
-
 def compare(spark_df, con, sql: str) -> str:
-    """Empty when both sides agree, else what differs."""
+    """Empty when both sides hold exactly the same rows, else what differs."""
     left = spark_df.toArrow()
     right = con.execute(sql).to_arrow_table()
     if sorted(left.column_names) != sorted(right.column_names):
@@ -50,13 +35,15 @@ def compare(spark_df, con, sql: str) -> str:
         a, b = str(left.schema.field(name).type), str(right.schema.field(name).type)
         if a.replace("large_", "") != b.replace("large_", ""):
             types.append(f"{name}: {a} vs {b}")
-    order = sorted(left.column_names)
-    a = left.select(order).to_pandas(date_as_object=True)
-    b = right.select(order).to_pandas(date_as_object=True)
-    ra, rb = normal_rows(a), normal_rows(b)
-    bad = [(x, y) for x, y in zip(ra, rb) if x != y]
-    if bad:
-        return f"{len(bad)} rows differ, first: {bad[0][0]} vs {bad[0][1]} {types}"
+    con.register("spark_rows", left)
+    con.register("sql_rows", right)
+    columns = ", ".join(f'"{c}"' for c in sorted(left.column_names))
+    extra = f"(select {columns} from spark_rows except all select {columns} from sql_rows)"
+    missing = f"(select {columns} from sql_rows except all select {columns} from spark_rows)"
+    n = con.execute(f"select count(*) from {extra}").fetchone()[0]
+    if n:
+        first = [con.execute(f"select * from {side} order by all limit 1").fetchone() for side in (extra, missing)]
+        return f"{n} rows differ, first: {first[0]} vs {first[1]} {types}"
     return f"types {types}" if types else ""
 
 
