@@ -185,10 +185,9 @@ def short_series(df: DataFrame, horizon: int = 7, keys: Sequence[str] = SERIES)
 
 
 def interpolated(sorted_values: Column, p: float) -> Column:
-    """Linearly interpolated quantile of a short sorted array."""
+    """Linearly interpolated quantile of a short sorted array; null for an empty one."""
     at = F.lit(float(p)) * (F.size(sorted_values) - 1)
-    low = F.try_element_at(sorted_values, F.floor(at).cast("int") + 1)
-    high = F.try_element_at(sorted_values, F.ceil(at).cast("int") + 1)
+    low, high = (F.get(sorted_values, end(at).cast("int")) for end in (F.floor, F.ceil))
     return low + (high - low) * (at - F.floor(at))
 
 

@@ -111,9 +111,10 @@ def promotion_decision(
     """One row: promote the candidate only if it lowers WMAPE by at least ``min_improvement``."""
     current = production.agg(F.max("WMAPE").alias("w")).scalar()
     gain = F.try_divide(F.col("production_wmape") - F.col("candidate_wmape"), F.col("production_wmape"))
+    enough = F.col("candidate_wmape") <= F.col("production_wmape") * (1 - min_improvement)
     return (
         candidate.agg(F.max("WMAPE").alias("candidate_wmape"))
         .withColumn("production_wmape", current)
         .withColumn("relative_gain", gain)
-        .withColumn("promote", F.coalesce(F.col("relative_gain") >= min_improvement, F.lit(False)))
+        .withColumn("promote", F.coalesce(F.col("relative_gain").isNotNull() & enough, F.lit(False)))
     )
