@@ -70,9 +70,7 @@ def negative_sales(spark, sf_dir):
     """Units net of a constant return, checked per wide row."""
     wide = tables.wide(spark, sf_dir)
     days = quality.day_columns(wide.columns)
-    return wide.select(
-        "store_id", "item_id", F.exists(F.array(*[F.col(c) for c in days]), lambda x: x - 30 < 0).alias("has_negative")
-    )
+    return wide.selectExpr("store_id", "item_id", f"exists(array({', '.join(days)}), x -> x - 30 < 0) has_negative")
 
 
 @query(

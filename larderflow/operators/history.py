@@ -141,8 +141,8 @@ def with_expanding(
 ) -> DataFrame:
     """``expanding_{function}`` over all rows up to the current one.
 
-    Each time chunk is summarised to count, mean, squared deviation, sum, min and max. The chunks before a row are
-    merged with the rows of its own chunk, so no task scans a whole series.
+    Each time chunk is summarised to count, sum, squared deviation, min and max. The chunks before a row are merged with
+    the rows of its own chunk, so no task scans a whole series. The join and the window share one shuffle.
     """
     for name in functions:
         _statistic(name)
@@ -170,11 +170,21 @@ def with_expanding(
         F.max("_hi").over(earlier).alias("_hi0"),
     )
     here = Window.partitionBy(*keys, "_chunk").orderBy(date).rowsBetween(Window.unboundedPreceding, 0)
-    local = (
-        chunked.join(before, [*keys, "_chunk"])
-        .withColumn("_n1", F.count(y).over(here).cast("double"))
-        .withColumn("_s1", F.coalesce(F.sum(y).over(here), F.lit(0.0)))
-        .withColumn("_m1", F.coalesce(F.var_pop(y).over(here), F.lit(0.0)) * F.col("_n1"))
+    running = chunked.join(before.hint("shuffle_hash"), [*keys, "_chunk"]).withColumns(
+        {
+            "_count": F.count(y).over(here),
+            "_sum": F.sum(y).over(here),
+            "_var": F.var_pop(y).over(here),
+            "_lo1": F.min(y).over(here),
+            "_hi1": F.max(y).over(here),
+        }
+    )
+    local = running.withColumns(
+        {
+            "_n1": F.col("_count").cast("double"),
+            "_s1": F.coalesce("_sum", F.lit(0.0)),
+            "_m1": F.coalesce(F.col("_var") * F.col("_count"), F.lit(0.0)),
+        }
     )
     n_all, s_all = F.col("_n0") + F.col("_n1"), F.col("_s0") + F.col("_s1")
     gap = F.coalesce(F.try_divide(F.col("_s1"), F.col("_n1")) - F.try_divide(F.col("_s0"), F.col("_n0")), F.lit(0.0))
@@ -184,8 +194,8 @@ def with_expanding(
     results = {
         "mean": F.try_divide(s_all, n_all),
         "std": F.when(n_all > 1, F.sqrt(F.greatest(m2, F.lit(0.0)) / (n_all - 1))),
-        "min": F.least(F.col("_lo0"), F.min(y).over(here)),
-        "max": F.greatest(F.col("_hi0"), F.max(y).over(here)),
+        "min": F.least("_lo0", "_lo1"),
+        "max": F.greatest("_hi0", "_hi1"),
         "sum": F.when(n_all > 0, s_all),
     }
     out = local.withColumns({f"expanding_{name}": results[name] for name in functions})

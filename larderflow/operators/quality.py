@@ -107,12 +107,13 @@ def _stack(reports: Sequence[DataFrame]) -> DataFrame:
 
 def sales_checks(df: DataFrame) -> list[tuple[str, str, Column]]:
     """Null keys and negative sales of a wide or a long sales table."""
-    keys = [c for c in IDENTIFIERS if c in df.columns]
-    days = day_columns(df.columns)
+    columns = df.columns
+    keys = [c for c in IDENTIFIERS if c in columns]
+    days = day_columns(columns)
     if days:
-        negative = F.exists(F.array(*[F.col(c).cast("double") for c in days]), lambda x: x < 0)
+        negative = F.expr(f"exists(array({', '.join(f'`{c}`' for c in days)}), x -> x < 0)")
     else:
-        negative = F.col("sales") < 0 if "sales" in df.columns else F.lit(False)
+        negative = F.col("sales") < 0 if "sales" in columns else F.lit(False)
     return [*null_checks(keys), ("negative_sales", "error", F.count_if(negative))]
 
 

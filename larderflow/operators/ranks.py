@@ -48,7 +48,7 @@ def running_weight(values: DataFrame, keys: Sequence[str], value: str, weight: s
     )
     inside = Window.partitionBy(*keys, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     return (
-        ranged.join(totals, [*keys, "_range"])
+        ranged.join(totals.hint("shuffle_hash"), [*keys, "_range"])
         .withColumn("below", F.col("_before") + F.coalesce(F.sum(weight).over(inside), F.lit(0)))
         .drop("_before", "_range")
     )

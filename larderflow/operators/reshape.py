@@ -18,7 +18,8 @@ def melt_sales(wide: DataFrame, ids: Sequence[str] = IDENTIFIERS) -> DataFrame:
     days = day_columns(wide.columns)
     if not days:
         raise ValueError(f"no {DAY_PREFIX}* columns to melt")
-    kept = [c for c in ids if c in wide.columns]
+    columns = set(wide.columns)
+    kept = [c for c in ids if c in columns]
     day_array = F.expr(f"array({', '.join(f'`{c}`' for c in days)})")
     exploded = wide.select(*kept, F.posexplode(day_array).alias("_pos", "sales"))
     return exploded.select(*kept, day_name(days, F.col("_pos")).alias("d"), "sales")

@@ -24,7 +24,8 @@ def row_positions(df: DataFrame, keys: Sequence[str], date: str, days: int = BLO
     """Add ``_pos``, the 0-based position of each row in its series.
 
     Rows are counted per (series, calendar span) first; the running total of those few counts shifts the local row
-    number, so no task sorts a whole series.
+    number, so no task sorts a whole series. The counts grow with the number of series, so they are not broadcast; the
+    hash join uses the shuffle the row number needs anyway.
     """
     keys = list(keys)
     chunked = df.withColumn("_chunk", time_chunk(date, days))
@@ -36,7 +37,7 @@ def row_positions(df: DataFrame, keys: Sequence[str], date: str, days: int = BLO
     )
     local = F.row_number().over(Window.partitionBy(*keys, "_chunk").orderBy(date))
     return (
-        chunked.join(offsets, [*keys, "_chunk"])
+        chunked.join(offsets.hint("shuffle_hash"), [*keys, "_chunk"])
         .withColumn("_pos", F.col("_before") + local - 1)
         .drop("_chunk", "_before")
     )
