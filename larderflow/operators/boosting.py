@@ -68,10 +68,10 @@ def predict(model: PipelineModel | None, df: DataFrame, output: str = "y_pred")
     if model is None:
         raise NotFitted("fit a model first")
     names = feature_names(model)
-    model.stages[0].setHandleInvalid("keep")
+    assembler = model.stages[0].copy().setHandleInvalid("keep")
     complete = ~F.array_contains(F.array(*[F.col(c).isNull() for c in names]), True)
     clamped = F.when(complete, F.greatest(F.col("prediction"), F.lit(0.0)))
-    return model.transform(df).withColumn(output, clamped).drop("features", "prediction")
+    return model.stages[1].transform(assembler.transform(df)).withColumn(output, clamped).drop("features", "prediction")
 
 
 def feature_importance(model: PipelineModel | None, spark, top_n: int = 20) -> DataFrame:

@@ -34,7 +34,7 @@ def _carried(df: DataFrame, columns: Sequence[str], keys: Sequence[str], date: s
             F.first(f"_first_{c}", ignorenulls=True).over(whole).alias(f"_head_{c}"),
         ]
     return df.withColumn("_chunk", time_chunk(date, days)).join(
-        chunks.select(*keys, "_chunk", *carried).hint("shuffle_hash"), [*keys, "_chunk"]
+        chunks.select(*keys, "_chunk", *carried).hint("shuffle_hash"), [*keys, "_chunk"], "left"
     )
 
 

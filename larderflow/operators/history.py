@@ -170,7 +170,7 @@ def with_expanding(
         F.max("_hi").over(earlier).alias("_hi0"),
     )
     here = Window.partitionBy(*keys, "_chunk").orderBy(date).rowsBetween(Window.unboundedPreceding, 0)
-    running = chunked.join(before.hint("shuffle_hash"), [*keys, "_chunk"]).withColumns(
+    running = chunked.join(before.hint("shuffle_hash"), [*keys, "_chunk"], "left").withColumns(
         {
             "_count": F.count(y).over(here),
             "_sum": F.sum(y).over(here),

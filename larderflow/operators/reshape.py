@@ -89,6 +89,7 @@ def densify(
     """Gap-free daily panel: each series on each day, ``zero_columns`` 0 where no fact exists.
 
     Days come from a ``sequence`` per series, so there is no cross join. Without bounds, the range of the facts is used.
+    Facts must be unique per series and day and have no null keys, which the quality checks establish.
     """
     keys, static = list(keys), list(static)
     if start is None or end is None:

@@ -37,8 +37,8 @@ def row_positions(df: DataFrame, keys: Sequence[str], date: str, days: int = BLO
     )
     local = F.row_number().over(Window.partitionBy(*keys, "_chunk").orderBy(date))
     return (
-        chunked.join(offsets.hint("shuffle_hash"), [*keys, "_chunk"])
-        .withColumn("_pos", F.col("_before") + local - 1)
+        chunked.join(offsets.hint("shuffle_hash"), [*keys, "_chunk"], "left")
+        .withColumn("_pos", F.coalesce("_before", F.lit(0)) + local - 1)
         .drop("_chunk", "_before")
     )
 
@@ -64,15 +64,18 @@ def with_blocks(
         placed = row_positions(df, keys, date, block)
     home = F.floor(F.col("_pos") / F.lit(block)).cast("int")
     offset = F.pmod(F.col("_pos"), F.lit(block))
-    copies = [F.lit(0)]
-    if before:
-        copies.append(F.when(offset >= block - before, F.lit(1)))
-    if after:
-        copies.append(F.when(offset < after, F.lit(-1)))
-    if len(copies) == 1:
+    if not before and not after:
         return placed.withColumn("_block", home).withColumn("_own", F.lit(True)).drop("_pos")
+    at_end, at_start = offset >= block - before, offset < after
+    here, to_next, to_previous = F.lit(0), F.lit(1), F.lit(-1)
+    copies = (
+        F.when(at_end & at_start, F.array(here, to_next, to_previous))
+        .when(at_end, F.array(here, to_next))
+        .when(at_start, F.array(here, to_previous))
+        .otherwise(F.array(here))
+    )
     return (
-        placed.withColumn("_shift", F.explode(F.array_compact(F.array(*copies))))
+        placed.withColumn("_shift", F.explode(copies))
         .withColumn("_block", home + F.col("_shift"))
         .withColumn("_own", F.col("_shift") == 0)
         .drop("_pos", "_shift")
