@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from larderflow.operators.ranks import column_quantiles, exact_quantiles
 from larderflow.operators.series import BLOCK_ROWS, time_chunk
 from larderflow.schemas import SERIES
+from larderflow.session import written
 
 
 def _carried(df: DataFrame, columns: Sequence[str], keys: Sequence[str], date: str, days: int) -> DataFrame:
@@ -83,8 +84,15 @@ def fill_item_median(
 def fill_prices(
     df: DataFrame, price: str = "sell_price", keys: Sequence[str] = SERIES, date: str = "date"
 ) -> DataFrame:
-    """Forward fill, backward fill, then item median."""
-    return fill_item_median(fill_series(df, [price], keys, date), price)
+    """Forward fill, backward fill, then item median where a price is still missing.
+
+    The series fill is written once to the shared folder: the test for missing prices and the medians read it from
+    there instead of filling again.
+    """
+    filled = written(fill_series(df, [price], keys, date), "series-filled")
+    if filled.where(F.col(price).isNull()).isEmpty():
+        return filled
+    return fill_item_median(filled, price)
 
 
 def fill_features(

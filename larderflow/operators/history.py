@@ -15,21 +15,14 @@ from larderflow.operators.series import BLOCK_ROWS, block_window, own_rows, time
 from larderflow.schemas import SERIES
 from larderflow.settings import FeatureSettings
 
-STATISTICS = {
-    "mean": F.avg,
-    "std": F.stddev_samp,
-    "min": F.min,
-    "max": F.max,
-    "sum": F.sum,
-}
+STATISTICS = ("mean", "std", "min", "max", "sum")
 RATIO_EPSILON = 1e-8
 DEFAULT_WINDOWS = FeatureSettings().rolling_windows
 
 
-def _statistic(name: str):
+def _statistic(name: str) -> None:
     if name not in STATISTICS:
-        raise ValueError(f"unknown function: {name}; use one of {sorted(STATISTICS)}")
-    return STATISTICS[name]
+        raise ValueError(f"unknown function: {name}; use one of {STATISTICS}")
 
 
 def lag_columns(w: WindowSpec, target: str, periods: Sequence[int]) -> dict[str, Column]:
@@ -40,18 +33,90 @@ def diff_columns(w: WindowSpec, target: str, periods: Sequence[int]) -> dict[str
     return {f"diff_{k}": F.col(target) - F.lag(target, k).over(w) for k in periods}
 
 
-def rolling_columns(
+State = dict[str, Column]
+
+
+def _merge(a: State, b: State) -> State:
+    """Statistics of two adjacent runs of rows taken together; a run before the series start is null and counts nothing."""
+    out = {"n": a["n"] + F.coalesce(b["n"], F.lit(0.0)), "s": a["s"] + F.coalesce(b["s"], F.lit(0.0))}
+    if "q" in a:
+        gap = F.try_divide(a["s"], a["n"]) - F.try_divide(b["s"], b["n"])
+        between = gap * gap * F.try_divide(a["n"] * b["n"], out["n"])
+        out["q"] = a["q"] + F.coalesce(b["q"], F.lit(0.0)) + F.coalesce(between, F.lit(0.0))
+    if "lo" in a:
+        out["lo"] = F.least(a["lo"], b["lo"])
+    if "hi" in a:
+        out["hi"] = F.greatest(a["hi"], b["hi"])
+    return out
+
+
+def _finish(state: State, name: str) -> Column:
+    n, s = state["n"], state["s"]
+    if name == "mean":
+        return F.try_divide(s, n)
+    if name == "sum":
+        return F.when(n > 0, s)
+    if name == "std":
+        return F.when(n > 1, F.sqrt(F.try_divide(state["q"], n - 1)))
+    return state["lo" if name == "min" else "hi"]
+
+
+def add_rolling(
+    df: DataFrame,
     w: WindowSpec,
     target: str,
     windows: Sequence[tuple[int, Sequence[str]]] = DEFAULT_WINDOWS,
     exclude_current: bool = False,
-) -> dict[str, Column]:
-    out = {}
+) -> DataFrame:
+    """Add ``rolling_{function}_{size}`` columns over the ordered window ``w``.
+
+    Runs of 1, 2, 4, 8, ... rows are built by merging each run with the one before it, and every window is put together
+    from few such runs. A row costs about log2(size) merges instead of size updates, and only rows of the window enter
+    its result. All steps use the partitioning and order of ``w``, so there is still one shuffle and one sort.
+    """
+    wanted = {name for _, functions in windows for name in functions}
+    for name in wanted:
+        _statistic(name)
+    y = F.col(target).cast("double")
+    state: State = {"n": F.when(y.isNotNull(), 1.0).otherwise(0.0), "s": F.coalesce(y, F.lit(0.0))}
+    if "std" in wanted:
+        state["q"] = F.lit(0.0)
+    if "min" in wanted:
+        state["lo"] = y
+    if "max" in wanted:
+        state["hi"] = y
+    names = list(state)
+    run = 1
+    out = df.withColumns({f"_{c}{run}": v for c, v in state.items()})
+    while 2 * run <= max(size for size, _ in windows):
+        here = {c: F.col(f"_{c}{run}") for c in names}
+        earlier = {c: F.lag(f"_{c}{run}", run).over(w) for c in names}
+        lagged = out.withColumns({f"_p{c}": earlier[c] for c in names})
+        merged = _merge(here, {c: F.col(f"_p{c}") for c in names})
+        run *= 2
+        out = lagged.withColumns({f"_{c}{run}": merged[c] for c in names}).drop(*[f"_p{c}" for c in names])
+    pieces: dict[tuple[int, int], State] = {}
+    layout: dict[int, list[tuple[int, int]]] = {}
+    for size, _ in windows:
+        offset, left, layout[size] = int(exclude_current), size, []
+        while left:
+            length = 1 << (left.bit_length() - 1)
+            layout[size].append((length, offset))
+            pieces[length, offset] = {c: F.col(f"_{c}{length}_{offset}") for c in names}
+            offset, left = offset + length, left - length
+    out = out.withColumns(
+        {f"_{c}{n}_{at}": F.lag(f"_{c}{n}", at).over(w) if at else F.col(f"_{c}{n}") for n, at in pieces for c in names}
+    )
+    results = {}
     for size, functions in windows:
-        frame = w.rowsBetween(-size, -1) if exclude_current else w.rowsBetween(-(size - 1), 0)
+        first, *rest = (pieces[p] for p in layout[size])
+        total = {"n": F.coalesce(first["n"], F.lit(0.0)), "s": F.coalesce(first["s"], F.lit(0.0))}
+        total |= {c: F.coalesce(first[c], F.lit(0.0)) if c == "q" else first[c] for c in names if c not in total}
+        for part in rest:
+            total = _merge(total, part)
         for name in functions:
-            out[f"rolling_{name}_{size}"] = _statistic(name)(target).over(frame)
-    return out
+            results[f"rolling_{name}_{size}"] = _finish(total, name)
+    return out.select(*df.columns, *[v.alias(k) for k, v in results.items()])
 
 
 def price_change_column(w: WindowSpec, price: str = "sell_price", step: int = 7) -> dict[str, Column]:
@@ -60,7 +125,7 @@ def price_change_column(w: WindowSpec, price: str = "sell_price", step: int = 7)
 
 def with_series_columns(
     df: DataFrame,
-    build: Mapping[str, Column] | None,
+    build: Mapping[str, Column],
     keys: Sequence[str],
     date: str,
     before: int,
@@ -104,8 +169,9 @@ def with_rolling(
     exclude_current: bool = False,
 ) -> DataFrame:
     """``rolling_{function}_{size}`` for each window; a single row has no ``std``."""
-    columns = rolling_columns(block_window(keys, date), target, windows, exclude_current)
-    return with_series_columns(df, columns, keys, date, max(size for size, _ in windows), gap_free)
+    reach = max(size for size, _ in windows)
+    blocks = with_blocks(df, keys, date, before=reach, gap_free=gap_free)
+    return own_rows(add_rolling(blocks, block_window(keys, date), target, windows, exclude_current))
 
 
 def with_price_change(

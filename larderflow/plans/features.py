@@ -10,17 +10,16 @@ from larderflow.functions.calendar import date_feature_names, with_cyclical, wit
 from larderflow.operators.encoding import with_codes
 from larderflow.operators.fill import fill_features
 from larderflow.operators.history import (
+    add_rolling,
     diff_columns,
     lag_columns,
     lag_names,
     price_change_column,
-    rolling_columns,
     rolling_names,
     with_ratios,
-    with_series_columns,
 )
 from larderflow.operators.pricing import with_price_rank, with_relative_price
-from larderflow.operators.series import block_window
+from larderflow.operators.series import block_window, own_rows, with_blocks
 from larderflow.schemas import CATEGORIES, NO_EVENT, SERIES, SNAP, SPLITS
 from larderflow.settings import FeatureSettings
 
@@ -63,7 +62,6 @@ def create_features(
     if include_diff:
         columns |= diff_columns(w, "sales", settings.diff_periods)
         reach = max(reach, *settings.diff_periods)
-    columns |= rolling_columns(w, "sales", settings.rolling_windows, exclude_current)
     reach = max(reach, *[size for size, _ in settings.rolling_windows])
     priced = "sell_price" in df.columns
     if priced:
@@ -75,7 +73,8 @@ def create_features(
     out = with_events(out, event_types)
     if priced:
         out = with_price_rank(with_relative_price(out))
-    out = with_series_columns(out, columns, keys, "date", reach, gap_free)
+    out = with_blocks(out, keys, "date", before=reach, gap_free=gap_free).withColumns(columns)
+    out = own_rows(add_rolling(out, w, "sales", settings.rolling_windows, exclude_current))
     return with_codes(with_ratios(out), codes=codes)
 
 

@@ -139,11 +139,12 @@ def test_unknown_function_is_an_error(spark):
 def test_series_windows_share_one_exchange_without_python(spark):
     df = to_spark(spark, make_panel(False))
     w = series.block_window(("store_id", "item_id"), "date")
-    columns = history.lag_columns(w, "sales", (1, 28)) | history.rolling_columns(w, "sales")
-    columns |= history.diff_columns(w, "sales", (7,)) | history.price_change_column(w)
-    built = history.with_series_columns(df, columns, ("store_id", "item_id"), "date", 28, True)
+    columns = history.lag_columns(w, "sales", (1, 28)) | history.diff_columns(w, "sales", (7,))
+    columns |= history.price_change_column(w)
+    blocks = series.with_blocks(df, ("store_id", "item_id"), "date", before=28, gap_free=True).withColumns(columns)
+    built = series.own_rows(history.add_rolling(blocks, w, "sales"))
     plan = built._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") == 1
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort [") == 1
     assert "SinglePartition" not in plan and "Python" not in plan
 
 
