@@ -33,32 +33,38 @@ def diff_columns(w: WindowSpec, target: str, periods: Sequence[int]) -> dict[str
     return {f"diff_{k}": F.col(target) - F.lag(target, k).over(w) for k in periods}
 
 
-State = dict[str, Column]
+# What each statistic is made of: count, sum, squared deviation, smallest and largest value of a run of rows.
+PARTS = {"mean": "ns", "sum": "ns", "std": "nsq", "min": "l", "max": "h"}
+State = dict[str, str]
+
+
+def _parts(functions: Sequence[str]) -> list[str]:
+    used = "".join(PARTS[name] for name in functions)
+    return [c for c in "nsqlh" if c in used]
 
 
 def _merge(a: State, b: State) -> State:
-    """Statistics of two adjacent runs of rows taken together; a run before the series start is null and counts nothing."""
-    out = {"n": a["n"] + F.coalesce(b["n"], F.lit(0.0)), "s": a["s"] + F.coalesce(b["s"], F.lit(0.0))}
+    """SQL for two adjacent runs of rows taken together; a run before the series start is null and counts nothing."""
+    out = {c: f"({a[c]} + coalesce({b[c]}, 0D))" for c in "ns" if c in a}
     if "q" in a:
-        gap = F.try_divide(a["s"], a["n"]) - F.try_divide(b["s"], b["n"])
-        between = gap * gap * F.try_divide(a["n"] * b["n"], out["n"])
-        out["q"] = a["q"] + F.coalesce(b["q"], F.lit(0.0)) + F.coalesce(between, F.lit(0.0))
-    if "lo" in a:
-        out["lo"] = F.least(a["lo"], b["lo"])
-    if "hi" in a:
-        out["hi"] = F.greatest(a["hi"], b["hi"])
+        gap = f"(try_divide({a['s']}, {a['n']}) - try_divide({b['s']}, {b['n']}))"
+        between = f"{gap} * {gap} * try_divide({a['n']} * {b['n']}, {out['n']})"
+        out["q"] = f"({a['q']} + coalesce({b['q']}, 0D) + coalesce({between}, 0D))"
+    if "l" in a:
+        out["l"] = f"least({a['l']}, {b['l']})"
+    if "h" in a:
+        out["h"] = f"greatest({a['h']}, {b['h']})"
     return out
 
 
-def _finish(state: State, name: str) -> Column:
-    n, s = state["n"], state["s"]
+def _finish(state: State, name: str) -> str:
     if name == "mean":
-        return F.try_divide(s, n)
+        return f"try_divide({state['s']}, {state['n']})"
     if name == "sum":
-        return F.when(n > 0, s)
+        return f"if({state['n']} > 0, {state['s']}, null)"
     if name == "std":
-        return F.when(n > 1, F.sqrt(F.try_divide(state["q"], n - 1)))
-    return state["lo" if name == "min" else "hi"]
+        return f"if({state['n']} > 1, sqrt(try_divide({state['q']}, {state['n']} - 1)), null)"
+    return state["l" if name == "min" else "h"]
 
 
 def add_rolling(
@@ -74,49 +80,34 @@ def add_rolling(
     from few such runs. A row costs about log2(size) merges instead of size updates, and only rows of the window enter
     its result. All steps use the partitioning and order of ``w``, so there is still one shuffle and one sort.
     """
-    wanted = {name for _, functions in windows for name in functions}
-    for name in wanted:
+    for name in {name for _, functions in windows for name in functions}:
         _statistic(name)
-    y = F.col(target).cast("double")
-    state: State = {"n": F.when(y.isNotNull(), 1.0).otherwise(0.0), "s": F.coalesce(y, F.lit(0.0))}
-    if "std" in wanted:
-        state["q"] = F.lit(0.0)
-    if "min" in wanted:
-        state["lo"] = y
-    if "max" in wanted:
-        state["hi"] = y
-    names = list(state)
+    y = f"double(`{target}`)"
+    start = {"n": f"if({y} is null, 0D, 1D)", "s": f"coalesce({y}, 0D)", "q": "0D", "l": y, "h": y}
+    parts = _parts([name for _, functions in windows for name in functions])
     run = 1
-    out = df.withColumns({f"_{c}{run}": v for c, v in state.items()})
+    out = df.withColumns({f"_{c}1": F.expr(start[c]) for c in parts})
     while 2 * run <= max(size for size, _ in windows):
-        here = {c: F.col(f"_{c}{run}") for c in names}
-        earlier = {c: F.lag(f"_{c}{run}", run).over(w) for c in names}
-        lagged = out.withColumns({f"_p{c}": earlier[c] for c in names})
-        merged = _merge(here, {c: F.col(f"_p{c}") for c in names})
+        lagged = out.withColumns({f"_p{c}": F.lag(f"_{c}{run}", run).over(w) for c in parts})
+        merged = _merge({c: f"_{c}{run}" for c in parts}, {c: f"_p{c}" for c in parts})
         run *= 2
-        out = lagged.withColumns({f"_{c}{run}": merged[c] for c in names}).drop(*[f"_p{c}" for c in names])
-    pieces: dict[tuple[int, int], State] = {}
-    layout: dict[int, list[tuple[int, int]]] = {}
-    for size, _ in windows:
-        offset, left, layout[size] = int(exclude_current), size, []
+        out = lagged.withColumns({f"_{c}{run}": F.expr(v) for c, v in merged.items()})
+    pieces: dict[str, Column] = {}
+    results = {}
+    for size, functions in windows:
+        offset, left, total = int(exclude_current), size, None
         while left:
             length = 1 << (left.bit_length() - 1)
-            layout[size].append((length, offset))
-            pieces[length, offset] = {c: F.col(f"_{c}{length}_{offset}") for c in names}
+            piece = {c: f"_{c}{length}_{offset}" for c in _parts(functions)}
+            pieces |= {name: F.lag(f"_{c}{length}", offset).over(w) for c, name in piece.items()}
+            if total is None:
+                total = {c: v if c in "lh" else f"coalesce({v}, 0D)" for c, v in piece.items()}
+            else:
+                total = _merge(total, piece)
             offset, left = offset + length, left - length
-    out = out.withColumns(
-        {f"_{c}{n}_{at}": F.lag(f"_{c}{n}", at).over(w) if at else F.col(f"_{c}{n}") for n, at in pieces for c in names}
-    )
-    results = {}
-    for size, functions in windows:
-        first, *rest = (pieces[p] for p in layout[size])
-        total = {"n": F.coalesce(first["n"], F.lit(0.0)), "s": F.coalesce(first["s"], F.lit(0.0))}
-        total |= {c: F.coalesce(first[c], F.lit(0.0)) if c == "q" else first[c] for c in names if c not in total}
-        for part in rest:
-            total = _merge(total, part)
-        for name in functions:
-            results[f"rolling_{name}_{size}"] = _finish(total, name)
-    return out.select(*df.columns, *[v.alias(k) for k, v in results.items()])
+        results |= {f"rolling_{name}_{size}": _finish(total, name) for name in functions}
+    final = [F.expr(sql).alias(name) for name, sql in results.items()]
+    return out.withColumns(pieces).select(*df.columns, *final)
 
 
 def price_change_column(w: WindowSpec, price: str = "sell_price", step: int = 7) -> dict[str, Column]:

@@ -67,15 +67,15 @@ def create_features(
     if priced:
         columns |= price_change_column(w)
         reach = max(reach, 7)
-    out = with_date_parts(df)
-    if include_cyclical:
-        out = with_cyclical(out)
-    out = with_events(out, event_types)
-    if priced:
-        out = with_price_rank(with_relative_price(out))
+    out = with_price_rank(with_relative_price(df)) if priced else df
     out = with_blocks(out, keys, "date", before=reach, gap_free=gap_free).withColumns(columns)
     out = own_rows(add_rolling(out, w, "sales", settings.rolling_windows, exclude_current))
-    return with_codes(with_ratios(out), codes=codes)
+    out = with_codes(with_ratios(out), codes=codes)
+    # Columns that need only their own row come last, so that no shuffle carries them.
+    out = with_date_parts(out)
+    if include_cyclical:
+        out = with_cyclical(out)
+    return with_events(out, event_types)
 
 
 def training_features(
