@@ -158,3 +158,13 @@ def test_fill_features(case):
     assert fill.fill_features(two, ["lag_1"], "drop").count() == pdf["sell_price"].notna().sum()
     with pytest.raises(ValueError, match="unknown method"):
         fill.fill_features(two, ["lag_1"], "guess")
+
+
+def test_rows_with_null_keys_or_dates_are_kept(spark):
+    df = spark.createDataFrame(
+        [("s", None, "2016-01-01", 1.0), ("s", None, "2016-01-02", 2.0), ("s", "a", None, 3.0)],
+        "store_id string, item_id string, date string, sales double",
+    ).withColumn("date", F.to_date("date"))
+    assert history.with_lags(df).count() == 3
+    assert history.with_expanding(df).count() == 3
+    assert fill.fill_series(df, ["sales"]).count() == 3
