@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -18,6 +19,7 @@ def spark():
         spark__sql__shuffle__partitions="8",
         spark__ui__enabled="false",
         spark__driver__memory="8g",
+        spark__checkpoint__dir=os.environ.get("SHARED_DIR") or tempfile.mkdtemp(prefix="larderflow-tests-"),
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
