@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larderflow.llm import ngram_join
+from larderflow.llm import ngram_join, quality, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -57,3 +57,13 @@ FROM sets JOIN reach ON u = doc_id GROUP BY doc_id, s
 @_query("op9_ngram_jaccard_join", JACCARD_SQL)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_classes(_table(spark, sf_dir, "documents"))
+
+
+@_query("op1_toxicity")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+@_query("op5_quality_classifier")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
