@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from larderflow.llm import text as tx
 from larderflow.llm.components import components
@@ -344,6 +345,21 @@ def links(found: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     return components(first.unionAll(second))
 
 
+def jaccard_sets(docs: DataFrame, id: str, text: str, size: int, threshold: int) -> DataFrame:
+    """(id, n, sid, component) of each row: size and digest of its set, and the least digest reachable by links.
+
+    Texts without words have n = 0 and a null component.
+    """
+    kind = docs.schema[id].dataType.simpleString()
+    told = docs.select(id, text).mapInArrow(_summarise(size), f"id {kind}, n long, sid long, token long, sets long")
+    sets = written(told, "documents")
+    found = candidate_sets(docs, sets, text, size, threshold)
+    joined = written(links(found, threshold), "components").withColumnRenamed("node", "sid")
+    rows = sets.filter("n IS NOT NULL").join(joined, "sid", "left")
+    component = F.when(F.col("n") > 0, F.coalesce("component", "sid"))
+    return written(rows.select("id", "n", "sid", component.alias("component")), "members")
+
+
 def jaccard_classes(
     docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = SIZE, threshold: int = THRESHOLD
 ) -> DataFrame:
@@ -354,14 +370,38 @@ def jaccard_classes(
     with a null id takes part, but never names a component: a component of such rows only has a null ``component_id``.
     Other columns of ``docs`` are not read. An empty table gives no rows.
     """
-    kind = docs.schema[id].dataType.simpleString()
-    told = docs.select(id, text).mapInArrow(_summarise(size), f"id {kind}, n long, sid long, token long, sets long")
-    sets = written(told, "documents")
-    found = candidate_sets(docs, sets, text, size, threshold)
-    joined = written(links(found, threshold), "components").withColumnRenamed("node", "sid")
-    told = sets.filter("n > 0").join(joined, "sid", "left").select("id", "n", F.coalesce("component", "sid").alias("component"))
-    told = written(told, "members")
-    least = told.groupBy("component").agg(F.min("id").alias("component_id"))
-    named = told.join(least, "component").select("id", "n", "component_id")
-    empty = sets.filter("n = 0").select("id", "n", F.col("id").alias("component_id"))
+    told = jaccard_sets(docs, id, text, size, threshold)
+    least = told.filter("n > 0").groupBy("component").agg(F.min("id").alias("component_id"))
+    named = told.filter("n > 0").join(least, "component").select("id", "n", "component_id")
+    empty = told.filter("n = 0").select("id", "n", F.col("id").alias("component_id"))
     return named.unionAll(empty).select(F.col("id").alias(id), F.col("n").alias("n_shingles"), "component_id")
+
+
+def distinct_texts(
+    docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = SIZE, threshold: int = THRESHOLD
+) -> DataFrame:
+    """One row of each group of linked rows, with all its columns: that of the smallest id, nulls last.
+
+    Rows without words are in no group and all stay. Of repeated rows one stays.
+    """
+    told = jaccard_sets(docs, id, text, size, threshold)
+    first = told.filter("n > 0").groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", "sid")).alias("first"))
+    first = first.select(F.col("first.id").alias("_first"), F.col("first.sid").alias("_first_sid"))
+    place = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            digests, sizes = [np.zeros(0, np.uint64)], []
+            for sets, own in shingle_sets(batch.column(place), size):
+                digests.append(own)
+                sizes += map(len, sets)
+            yield pa.record_batch(
+                [*batch.columns, pa.array(np.concatenate(digests).view(np.int64)), pa.array(sizes, pa.int64())],
+                [*batch.schema.names, "_sid", "_n"],
+            )
+
+    schema = StructType([*docs.schema.fields, StructField("_sid", LongType()), StructField("_n", LongType())])
+    marked = docs.mapInArrow(run, schema)
+    same = marked[id].eqNullSafe(F.col("_first")) & (F.col("_sid") == F.col("_first_sid"))
+    kept = marked.filter("_n > 0").join(first, same, "left_semi").dropDuplicates([id, "_sid"])
+    return kept.unionAll(marked.filter("_n = 0")).select(docs.columns)

@@ -229,6 +229,18 @@ def fold(id: str, folds: int):
     return F.crc32(F.col(id).cast("string")) % folds
 
 
+def trained(table: DataFrame, labels: DataFrame, id: str = "doc_id", label: str = "quality") -> Model:
+    """The model learnt from the described texts that have a label and lie outside the held-out fold."""
+    known = labels.select(F.col(id).alias("_id"), F.col(label).cast("double").alias("_label")).filter("_label IS NOT NULL")
+    rows = (
+        table.filter(fold(id, FOLDS) != HELD_OUT).join(known, F.col(id) == F.col("_id"))
+        .select("features", "_label", F.xxhash64(id).alias("_order"), id)
+        .orderBy("_order", id, "_label").limit(SAMPLE).toArrow()
+    )
+    x = np.array(rows.column("features").to_pylist(), float).reshape(-1, len(FEATURES))
+    return fit(x, rows.column("_label").to_numpy())
+
+
 def score(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
     """One row per row of ``docs``: id, ``held_out``, ``score`` (0 to 1, higher: better) and ``predicted`` (0 or 1).
 
@@ -238,14 +250,7 @@ def score(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
     label every score is 0.5. Other columns are not read, and an empty table gives no rows.
     """
     table = written(described(docs, id, text), "features")
-    known = labels.select(F.col(id).alias("_id"), F.col(label).cast("double").alias("_label")).filter("_label IS NOT NULL")
-    rows = (
-        table.filter(fold(id, FOLDS) != HELD_OUT).join(known, F.col(id) == F.col("_id"))
-        .select("features", "_label", F.xxhash64(id).alias("_order"), id)
-        .orderBy("_order", id, "_label").limit(SAMPLE).toArrow()
-    )
-    x = np.array(rows.column("features").to_pylist(), float).reshape(-1, len(FEATURES))
-    model = fit(x, rows.column("_label").to_numpy())
+    model = trained(table, labels, id, label)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -256,3 +261,15 @@ def score(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
     scored = table.mapInArrow(run, f"{id} {kind}, score double")
     held = F.coalesce(fold(id, FOLDS) == HELD_OUT, F.lit(False))
     return scored.select(id, held.alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text scores ``CUT`` or more; see ``score`` for odd rows."""
+    model = trained(written(described(docs, id, text), "features"), labels, id, label)
+    place = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(model.score(describe(batch.column(place))) >= CUT))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larderflow.llm import ngram_join, quality, toxicity
+from larderflow.llm import ngram_join, packing, quality, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -67,3 +67,8 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op5_quality_classifier")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+@_query("op6_best_fit_packing")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.best_fit(_table(spark, sf_dir, "documents"))

@@ -273,18 +273,32 @@ def _regression(rows: list[np.ndarray], masks: np.ndarray, belief: np.ndarray, n
     return weights, by_vote, float(base)
 
 
-def score(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
-    """One row per row of ``docs``: id, ``held_out``, ``score`` (0 to 1, higher: more likely toxic), ``predicted`` (0 or
-    1) and ``votes``, the bits of the ``VOTERS`` that fired.
-
-    Labels are learnt from rows outside the held-out fold; terms from at most ``SAMPLE`` of them, votes from all texts.
-    Scores depend on the text alone. Null and empty texts have no terms and no votes, and get the score that leaves.
-    Rows with a null id are scored, count as not held out and are never learnt from; null labels are not learnt from
-    either. Repeated rows all come back. Without any label the fixed insults and patterns still vote. Other columns are
-    not read, and an empty table gives no rows.
-    """
+class Scorer:
+    """What scoring a text takes: the lexicons, the weights of terms and votes, and the intercept."""
+
+    def __init__(self, lexicon: Table, terms: Table, weights: np.ndarray, by_vote: np.ndarray, base: float) -> None:
+        self.lexicon, self.terms, self.weights, self.by_vote, self.base = lexicon, terms, weights, by_vote, base
+
+    def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Score and votes of each text."""
+        totals, fired = [np.zeros(0)], [np.zeros(0, np.int64)]
+        for t in _terms(column):
+            mask = t.votes(self.lexicon)
+            total = self.base + ((mask[:, None] >> np.arange(len(VOTERS))) & 1) @ self.by_vote
+            places = [self.terms.find(h) for h in (t.words, t.heads)]
+            owner, place = (np.concatenate(x) for x in zip(*[(t.owner[p >= 0], p[p >= 0]) for p in places], strict=True))
+            if len(owner):
+                keys = np.unique(owner * len(self.weights) + place)
+                total += np.bincount(keys // len(self.weights), self.weights[keys % len(self.weights)], len(mask))
+            totals.append(1 / (1 + np.exp(-np.clip(total, -30, 30))))
+            fired.append(mask)
+        return np.concatenate(totals), np.concatenate(fired)
+
+
+def trained(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic") -> Scorer:
+    """Lexicons from a sample of labelled texts, the label model from the votes on all texts, the classifier from both."""
     kind = docs.schema[id].dataType.simpleString()
-    known = labels.select(id, F.col(label).cast("double").alias("_label")).filter(f"_label IS NOT NULL AND {id} IS NOT NULL")
+    known = labels.select(id, F.col(label).cast("double").alias("_label")).filter(F.col("_label").isNotNull())
     known = known.filter(fold(id, FOLDS) != HELD_OUT).groupBy(id).agg(F.max("_label").alias("_label"))
     chosen = known.orderBy(F.xxhash64(id), id).limit(SAMPLE)
     sample = {r[0]: r[1] for r in chosen.collect()}
@@ -293,8 +307,8 @@ def score(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            masks = [t.votes(lexicon) for t in _terms(batch.column(1))]
-            yield pa.record_batch([batch.column(0), pa.array(np.concatenate(masks) if masks else np.zeros(0, np.int64))], [id, "votes"])
+            masks = [np.zeros(0, np.int64), *[t.votes(lexicon) for t in _terms(batch.column(1))]]
+            yield pa.record_batch([batch.column(0), pa.array(np.concatenate(masks))], [id, "votes"])
 
     cast = written(docs.select(id, text).mapInArrow(vote, f"{id} {kind}, votes long"), "votes")
     patterns = cast.join(known, id, "left").groupBy("votes", "_label").count().toArrow()  # at most 3 * 2 ** voters rows
@@ -303,28 +317,45 @@ def score(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
     model = LabelModel(patterns.column("votes").to_numpy(), gold, patterns.column("count").to_numpy().astype(float))
 
     table = Table(hashes, odds)
-    rows = [np.unique(p[p >= 0]) for p in map(table.find, terms)]
+    if not ids:
+        return Scorer(lexicon, table, *model.linear(len(hashes)))
     votes = {r[0]: r[1] for r in cast.join(chosen.select(id), id).select(id, "votes").collect()}  # at most the sample
     masks = np.array([votes[k] for k in ids], np.int64)
     belief = model.posterior(masks, np.where(truth > 0.5, 1, 0))
-    weights, by_vote, base = _regression(rows, masks, belief, len(hashes), odds) if ids else model.linear(len(hashes))
+    rows = [np.unique(p[p >= 0]) for p in map(table.find, terms)]
+    return Scorer(lexicon, table, *_regression(rows, masks, belief, len(hashes), odds))
+
+
+def score(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
+    """One row per row of ``docs``: id, ``held_out``, ``score`` (0 to 1, higher: more likely toxic), ``predicted`` (0 or
+    1) and ``votes``, the bits of the ``VOTERS`` that fired.
+
+    Labels are learnt from rows outside the held-out fold; terms from at most ``SAMPLE`` of them, votes from all texts.
+    Scores depend on the text alone. Null and empty texts have no terms and no votes, and get the score that leaves.
+    Rows with a null id are scored, count as not held out and are never learnt from; null labels are not learnt from
+    either. Repeated rows all come back. Without any label the fixed insults and patterns still vote. Other columns are
+    not read, and an empty table gives no rows.
+    """
+    scorer = trained(docs, labels, id, text, label)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            totals, fired = [np.zeros(0)], [np.zeros(0, np.int64)]
-            for t in _terms(batch.column(1)):
-                n = len(t.offsets) - 1
-                mask = t.votes(lexicon)
-                total = base + ((mask[:, None] >> np.arange(len(VOTERS))) & 1) @ by_vote
-                places = [table.find(h) for h in (t.words, t.heads)]
-                pairs = np.concatenate([np.stack([t.owner[p >= 0], p[p >= 0]], 1) for p in places])
-                if len(pairs):
-                    keys = np.unique(pairs[:, 0] * len(weights) + pairs[:, 1])
-                    total += np.bincount(keys // len(weights), weights[keys % len(weights)], n)
-                totals.append(1 / (1 + np.exp(-np.clip(total, -30, 30))))
-                fired.append(mask)
-            yield pa.record_batch([batch.column(0), pa.array(np.concatenate(totals)), pa.array(np.concatenate(fired))], [id, "score", "votes"])
+            scores, votes = scorer(batch.column(1))
+            yield pa.record_batch([batch.column(0), pa.array(scores), pa.array(votes)], [id, "score", "votes"])
 
+    kind = docs.schema[id].dataType.simpleString()
     scored = docs.select(id, text).mapInArrow(run, f"{id} {kind}, score double, votes long")
     held = F.coalesce(fold(id, FOLDS) == HELD_OUT, F.lit(False))
     return scored.select(id, held.alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"), "votes")
+
+
+def accepted(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text scores below ``CUT``; see ``score`` for odd rows."""
+    scorer = trained(docs, labels, id, text, label)
+    place = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(scorer(batch.column(place))[0] < CUT))
+
+    return docs.mapInArrow(run, docs.schema)
