@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larderflow.llm import ngram_join, packing, quality, toxicity
+from larderflow.llm import license_scan, ngram_join, packing, quality, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -72,3 +72,71 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op6_best_fit_packing")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit(_table(spark, sf_dir, "documents"))
+
+
+RULES = (
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+)
+
+URL_SQL = """
+WITH cut AS (
+    SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), told AS (
+    SELECT page_id, regexp_extract(rest, '^([^/?#]*)([^?#]*)', 2) AS path,
+        translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host
+    FROM cut
+), rules(r_verdict, r_host, r_path) AS (VALUES """ + ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in RULES) + """),
+best AS (
+    SELECT u.host, u.path, max_by(r_host || r_path, length(r_host || r_path)) AS rule,
+        max_by(r_verdict, length(r_host || r_path)) AS verdict
+    FROM (SELECT DISTINCT host, path FROM told) u
+    JOIN rules ON (host = r_host OR ends_with(host, '.' || r_host)) AND starts_with(path, r_path)
+    GROUP BY ALL
+)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM told LEFT JOIN best USING (host, path)
+"""
+
+
+@_query("op3_url_filter", URL_SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(_table(spark, sf_dir, "pages"), url_filter.rule_table(spark, RULES))
+
+
+def _quoted(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+def _canonical_sql(text: str) -> str:
+    """The canonical lines of ``text`` as a list, in SQL."""
+    said = f"replace(translate(coalesce({text}, ''), '{license_scan.UPPER}', '{license_scan.LOWER}'), chr(13), chr(10))"
+    said = f"regexp_replace({said}, {_quoted(license_scan.COPYRIGHT)}, chr(10), 'g')"
+    said = f"regexp_replace({said}, {_quoted(license_scan.PUNCTUATION)}, ' ', 'g')"
+    spelt = "' ' || x || ' '"
+    for one, other in license_scan.SPELLINGS:
+        spelt = f"replace({spelt}, ' {one} ', ' {other} ')"
+    lines = f"list_filter([trim(x) FOR x IN string_split({said}, chr(10))], lambda x: x <> '')"
+    return f"[trim({spelt}) FOR x IN {lines}]"
+
+
+LICENCE_SQL = f"""
+WITH texts(licence, body) AS (VALUES {", ".join(f"({_quoted(n)}, {_quoted(t)})" for n, ts in license_scan.LICENCES.items() for t in ts)}),
+known AS (
+    SELECT md5(array_to_string({_canonical_sql("body")}, ' ')) AS digest, min(licence) AS licence FROM texts GROUP BY 1
+), told AS (SELECT doc_id, {_canonical_sql("text")} AS lines FROM documents
+), whole AS (SELECT doc_id, md5(array_to_string(lines, ' ')) AS digest FROM told
+), hits AS (
+    SELECT doc_id, string_agg(DISTINCT licence, ',' ORDER BY licence) AS line_licences, count(*) AS n_lines
+    FROM (SELECT doc_id, md5(unnest(lines)) AS digest FROM told) JOIN known USING (digest) GROUP BY doc_id
+)
+SELECT doc_id, digest, licence, line_licences, coalesce(n_lines, 0) AS n_lines
+FROM whole LEFT JOIN known USING (digest) LEFT JOIN hits USING (doc_id)
+"""
+
+
+@_query("op10_license_scan", LICENCE_SQL)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_table(spark, sf_dir, "documents"), license_scan.known_digests(spark))
