@@ -9,8 +9,8 @@ orders 1 and 2.
 
 Sets are compared, not documents: documents with equal sets are one class from the start. In dense classes of near
 copies not all pairs are looked at. The sets sharing a prefix token are first compared with one anchor; what that joins
-is one component, and only pairs that still lie in different components are compared afterwards. So every link between
-two components is found, and components are exact.
+is one component, and only sets that still lie in different components are compared afterwards, in tiles. So every two
+components with a link between them are joined, and components are exact.
 """
 
 from __future__ import annotations
@@ -31,6 +31,9 @@ SIZE = 5
 THRESHOLD = 75
 # Tokens that one task sorts in memory; the number of tasks follows from the counted tokens.
 TOKENS_PER_TASK = 3_000_000
+# Tokens of the sets of a tile; a tile with a single longer set is larger.
+TILE_TOKENS = 400_000
+ORDERS = ("by_count", "by_value", "by_hash")
 # Tokens gathered before they are dealt out to tasks.
 TOKENS_PER_PACK = 1_000_000
 # A token in more than 1 of so many sets is common. At most RARITY * (mean set size) tokens can be, at any corpus size.
@@ -323,26 +326,119 @@ def links(found: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     tried = written(pairs, "pairs")
     first = written(_verified(tried, found, threshold), "links")
     joined = written(components(first), "components")
-    # 2: what is still apart: per token, all sets outside its largest component against the sets of other components.
-    told = posted.join(joined.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-    told = written(told, "postings")
-    parts = told.groupBy("token", "component").agg(F.count("*").alias("sets"))
-    largest = (
-        parts.groupBy("token").agg(F.max(F.struct("sets", "component")).alias("most"), F.count("*").alias("parts"))
-        .filter("parts > 1").select("token", F.col("most.component").alias("largest"))
-    )
-    apart = told.join(largest, "token")
-    other = apart.select("token", F.col("sid").alias("o_sid"), F.col("n").alias("o_n"), F.col("component").alias("o_component"), "largest")
-    rest = (
-        apart.filter(F.col("component") != F.col("largest")).drop("largest").join(other, "token")
-        .filter((F.col("component") != F.col("o_component")) & _similar("n", "o_n", threshold))
-        .filter((F.col("o_component") == F.col("largest")) | (F.col("sid") > F.col("o_sid")))
-        .select(F.greatest("sid", "o_sid").alias("u"), F.least("sid", "o_sid").alias("v"))
-        .distinct()
-        .join(tried, ["u", "v"], "left_anti")
-    )
-    second = _verified(rest, found, threshold)
-    return components(first.unionAll(second))
+    # 2: what is still apart.
+    told = posted.select("token", "sid").join(joined.withColumnRenamed("node", "sid"), "sid", "left")
+    told = written(told.withColumn("component", F.coalesce("component", "sid")), "postings")
+    return components(first.unionAll(_links_apart(told, found, threshold)))
+
+
+def _links_apart(posted: DataFrame, found: DataFrame, threshold: int) -> DataFrame:
+    """A link (u, v) for every two components (token, sid, component) that have one, at least where it joins them.
+
+    Tokens of one component only have nothing to tell. The others tie sets together that must be compared: such a
+    cluster is cut into tiles of bounded size, and pairs of tiles are compared, each in one task. Sets of a component
+    are put together, so that tiles of the same component alone are not paired. No pair of sets becomes a row unless it
+    links two components.
+    """
+    mixed = posted.groupBy("token").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.min("sid").alias("anchor"))
+    mixed = mixed.filter("a < b").select("token", "anchor")
+    ties = written(posted.join(mixed, "token").select(F.col("sid").alias("u"), F.col("anchor").alias("v"), "component"), "ties")
+    clusters = components(ties.select("u", "v")).select(F.col("node").alias("sid"), F.col("component").alias("cluster"))
+    inside = ties.select(F.col("u").alias("sid"), "component").distinct().join(clusters, "sid")
+    inside = written(inside.join(found, "sid").withColumn("weight", F.size("tokens").cast("long")), "clusters")
+    total = inside.groupBy("cluster", "component").agg(F.sum("weight").alias("weight"))
+    large = total.filter(F.col("weight") > TILE_TOKENS).select("cluster", "component", F.ceil(F.col("weight") / TILE_TOKENS).alias("parts"))
+    small = total.filter(F.col("weight") <= TILE_TOKENS).groupBy("cluster").agg(F.ceil(F.sum("weight") / TILE_TOKENS).alias("buckets"))
+    placed = inside.join(large, ["cluster", "component"], "left").join(small, "cluster", "left")
+    home = F.when(F.col("parts").isNotNull(), F.struct("component", F.pmod(F.hash("sid"), "parts").alias("part")))
+    home = F.coalesce(home, F.struct(F.lit(None).cast("long").alias("component"), F.pmod(F.hash("component"), "buckets").alias("part")))
+    tiles = written(
+        placed.withColumn("home", F.xxhash64("cluster", home))
+        .groupBy("cluster", "home").applyInArrow(_tile, "cluster long, home long, low long, high long, sids binary, components binary, "
+            "sizes binary, lengths binary, tokens binary, orders array<binary>"),
+        "tiles",
+    )
+    marks = tiles.select("cluster", "home", "low", "high")
+    others = marks.select("cluster", F.col("home").alias("other"), F.col("low").alias("o_low"), F.col("high").alias("o_high"))
+    pairs = marks.join(others, "cluster").filter("home <= other AND NOT (low = high AND low = o_low AND low = o_high)")
+    names = ("sids", "components", "sizes", "lengths", "tokens", "orders")
+    left = tiles.select("cluster", "home", F.struct(*names).alias("left"))
+    right = tiles.select("cluster", F.col("home").alias("other"), F.struct(*names).alias("right"))
+    met = pairs.select("cluster", "home", "other").join(left, ["cluster", "home"]).join(right, ["cluster", "other"])
+    return met.select("left", "right").mapInArrow(_compare(threshold), "u long, v long")
+
+
+def _tile(table: pa.Table) -> pa.Table:
+    """The sets of a tile, packed: ids, components, sizes, tokens and their three prefixes."""
+
+    def packed(name: str) -> tuple[bytes, bytes]:
+        lists = table.column(name).to_pylist()
+        flat = np.concatenate([np.array(x, np.int64) for x in lists])
+        return np.array([len(x) for x in lists], np.int64).tobytes(), flat.tobytes()
+
+    component = table.column("component").to_numpy()
+    lengths, tokens = packed("tokens")
+    orders = [x for name in ORDERS for x in packed(name)]
+    return pa.table(
+        {
+            "cluster": table.column("cluster")[:1], "home": table.column("home")[:1], "low": [component.min()], "high": [component.max()],
+            "sids": [table.column("sid").to_numpy().tobytes()], "components": [component.tobytes()],
+            "sizes": [table.column("n").to_numpy().tobytes()], "lengths": [lengths], "tokens": [tokens], "orders": [orders],
+        }
+    )
+
+
+def _common_counts(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Of two lists of sets (lengths, tokens), how many tokens each two sets share."""
+    total = np.zeros((len(left[0]), len(right[0])), np.float32)
+    both = np.intersect1d(left[1], right[1])
+    sides = []
+    for lengths, tokens in (left, right):
+        place = np.minimum(np.searchsorted(both, tokens), max(len(both) - 1, 0))
+        hit = both[place] == tokens if len(both) else np.zeros(len(tokens), bool)
+        place, owner = place[hit], np.repeat(np.arange(len(lengths)), lengths)[hit]
+        order = np.argsort(place, kind="stable")
+        sides.append((place[order], owner[order], len(lengths)))
+    for start in range(0, len(both), 2048):
+        parts = []
+        for place, owner, n in sides:
+            a, b = np.searchsorted(place, [start, start + 2048])
+            part = np.zeros((n, min(2048, len(both) - start)), np.float32)
+            part[owner[a:b], place[a:b] - start] = 1
+            parts.append(part)
+        total += parts[0] @ parts[1].T
+    return total
+
+
+def _compare(threshold: int):
+    """Links between sets of different components in pairs of tiles: one for each two components."""
+
+    def longs(blob: bytes) -> np.ndarray:
+        return np.frombuffer(blob, np.int64)
+
+    def links_of(left: dict, right: dict) -> tuple[np.ndarray, np.ndarray]:
+        sides = [{k: longs(side[k]) for k in ("sids", "components", "sizes", "lengths", "tokens")} for side in (left, right)]
+        a, b = sides
+        small, large = np.minimum.outer(a["sizes"], b["sizes"]), np.maximum.outer(a["sizes"], b["sizes"])
+        open_ = (a["components"][:, None] != b["components"][None]) & (100 * small >= threshold * large)
+        for k in range(len(ORDERS)):
+            if not open_.any():
+                return longs(b""), longs(b"")
+            prefixes = [(longs(side["orders"][2 * k]), longs(side["orders"][2 * k + 1])) for side in (left, right)]
+            open_ &= _common_counts(*prefixes) > 0
+        common = _common_counts((a["lengths"], a["tokens"]), (b["lengths"], b["tokens"]))
+        u, v = np.nonzero(open_ & (100 * common.astype(np.int64) >= threshold * (small + large - common.astype(np.int64))))
+        ties = np.stack([a["components"][u], b["components"][v]], 1)
+        _, one = np.unique(np.sort(ties, 1), axis=0, return_index=True)
+        return a["sids"][u[one]], b["sids"][v[one]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(len(batch)):
+                u, v = links_of(batch.column(0)[k].as_py(), batch.column(1)[k].as_py())
+                yield pa.record_batch([pa.array(u), pa.array(v)], ["u", "v"])
+
+    return run
 
 
 def jaccard_sets(docs: DataFrame, id: str, text: str, size: int, threshold: int) -> DataFrame:
