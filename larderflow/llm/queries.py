@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larderflow.llm import license_scan, ngram_join, packing, quality, toxicity, url_filter
+from larderflow.llm import embedding_dedup, html_extract, license_scan, ngram_join, packing, quality, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -140,3 +140,31 @@ FROM whole LEFT JOIN known USING (digest) LEFT JOIN hits USING (doc_id)
 @_query("op10_license_scan", LICENCE_SQL)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(_table(spark, sf_dir, "documents"), license_scan.known_digests(spark))
+
+
+COSINE_SQL = """
+WITH RECURSIVE usable AS (
+    SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0
+        AND len(list_filter(embedding, lambda e: e <> 0)) > 0
+), pairs AS (
+    SELECT a.vec_id AS u, b.vec_id AS v FROM usable a
+    JOIN usable b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+    WHERE list_cosine_similarity(a.x, b.x) >= 0.98
+), reach(u, v) AS (
+    SELECT vec_id, vec_id FROM embeddings UNION SELECT reach.u, pairs.v FROM reach JOIN pairs ON reach.v = pairs.u
+), links AS (SELECT u, count(*) AS n FROM pairs GROUP BY u)
+SELECT vec_id, coalesce(any_value(n), 0) AS n_links, min(reach.v) AS component_id, vec_id = min(reach.v) AS kept
+FROM embeddings JOIN reach ON reach.u = vec_id LEFT JOIN links ON links.u = vec_id GROUP BY vec_id
+"""
+
+
+@_query("op2_embedding_near_dedup", COSINE_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+@_query("op7_html_extraction")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(_table(spark, sf_dir, "pages"))
