@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from larderflow.llm import embedding_dedup, html_extract, license_scan, ngram_join, packing, quality, toxicity, url_filter
+from larderflow.llm import ann, embedding_dedup, html_extract, license_scan, ngram_join, packing, quality, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -168,3 +169,8 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op7_html_extraction")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(_table(spark, sf_dir, "pages"))
+
+
+@_query("op8_approximate_neighbours")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
