@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larderflow.llm import ann, embedding_dedup, html_extract, license_scan, ngram_join, packing, quality, toxicity, url_filter
+from larderflow.llm import ann, embedding_dedup, html_extract, license_scan, ngram_join, packing, quality, sentencepiece_scan, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -174,3 +174,12 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op8_approximate_neighbours")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
+# Where the public vocabulary files lie.
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+@_query("op4_sentencepiece")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_scan.round_trips(_table(spark, sf_dir, "documents"), PIECES)
