@@ -481,8 +481,9 @@ def distinct_texts(
     Rows without words are in no group and all stay. Of repeated rows one stays.
     """
     told = jaccard_sets(docs, id, text, size, threshold)
+    sid, n, first_id, first_sid = _unused(docs.columns, "sid", "n", "first_id", "first_sid")
     first = told.filter("n > 0").groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", "sid")).alias("first"))
-    first = first.select(F.col("first.id").alias("_first"), F.col("first.sid").alias("_first_sid"))
+    first = first.select(F.col("first.id").alias(first_id), F.col("first.sid").alias(first_sid))
     place = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -493,11 +494,23 @@ def distinct_texts(
                 sizes += map(len, sets)
             yield pa.record_batch(
                 [*batch.columns, pa.array(np.concatenate(digests).view(np.int64)), pa.array(sizes, pa.int64())],
-                [*batch.schema.names, "_sid", "_n"],
+                [*batch.schema.names, sid, n],
             )
 
-    schema = StructType([*docs.schema.fields, StructField("_sid", LongType()), StructField("_n", LongType())])
+    schema = StructType([*docs.schema.fields, StructField(sid, LongType()), StructField(n, LongType())])
     marked = docs.mapInArrow(run, schema)
-    same = marked[id].eqNullSafe(F.col("_first")) & (F.col("_sid") == F.col("_first_sid"))
-    kept = marked.filter("_n > 0").join(first, same, "left_semi").dropDuplicates([id, "_sid"])
-    return kept.unionAll(marked.filter("_n = 0")).select(docs.columns)
+    same = F.col(id).eqNullSafe(F.col(first_id)) & (F.col(sid) == F.col(first_sid))
+    kept = marked.filter(F.col(n) > 0).join(first, same, "left_semi").dropDuplicates([id, sid])
+    return kept.unionAll(marked.filter(F.col(n) == 0)).select(docs.columns)
+
+
+def _unused(columns: list[str], *names: str) -> list[str]:
+    """Names that no column has."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name in taken:
+            name = f"_{name}"
+        taken.add(name)
+        out.append(name)
+    return out

@@ -163,6 +163,7 @@ def _sample_terms(docs: DataFrame, sample: dict, id: str, text: str) -> tuple[li
 
     kind = docs.schema[id].dataType.simpleString()
     got = docs.select(id, text).mapInArrow(run, f"{id} {kind}, label double, terms binary").toArrow()
+    got = got.sort_by([(id, "ascending"), ("terms", "ascending")])  # sums are the same in every run
     return got.column(id).to_pylist(), got.column("label").to_numpy(), [np.frombuffer(t, np.uint64) for t in got.column("terms").to_pylist()]
 
 
@@ -312,6 +313,7 @@ def trained(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str =
 
     cast = written(docs.select(id, text).mapInArrow(vote, f"{id} {kind}, votes long"), "votes")
     patterns = cast.join(known, id, "left").groupBy("votes", "_label").count().toArrow()  # at most 3 * 2 ** voters rows
+    patterns = patterns.sort_by([("votes", "ascending"), ("_label", "ascending")])
     gold = np.nan_to_num(patterns.column("_label").to_numpy().astype(float), nan=-1)
     gold = np.where(gold < 0, -1, gold > 0.5)
     model = LabelModel(patterns.column("votes").to_numpy(), gold, patterns.column("count").to_numpy().astype(float))
