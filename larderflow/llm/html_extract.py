@@ -69,6 +69,8 @@ APART_NAMES = frozenset(
     "related recommended recommendations comment comments commentlist reply replies respond disqus discussion widget widgets "
     "pagination pager skip copyright legal disclaimer complementary contentinfo form".split()
 )
+# Names of articles that end so tell how the page is set up, as in "comments-open".
+SETTINGS = frozenset("open closed enabled disabled on off".split())
 
 _TAG = re.compile(
     r"<!--(?:>|->|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*\"[^\"]*\"|=\s*'[^']*'|=)*+)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S
@@ -195,8 +197,9 @@ def _style(name: str, attributes: str, sure: bool) -> tuple[str, float]:
         prior = 0.0
     for one in [*names, *named.get("role", "").split()]:
         parts = _WORDS.findall(one)
-        strict = name in CONTENT or name in ("html", "body")
-        if parts and (parts == [one] if strict else True) and (parts[0] in APART_NAMES or parts[-1] in APART_NAMES):
+        if name in ("html", "body") or (name in CONTENT and parts[-1:] and parts[-1] in SETTINGS):
+            parts = parts if len(parts) == 1 else []
+        if parts and (parts[0] in APART_NAMES or parts[-1] in APART_NAMES):
             prior = 0.0
     found = _DIGITS.sub("0", f"{name}.{'.'.join(sorted(set(names)))}"), prior
     if len(attributes) < 200 and len(_STYLES) < 50_000:
