@@ -30,7 +30,7 @@ from larderflow.session import written
 SIZE = 5
 THRESHOLD = 75
 # Tokens that one task sorts in memory; the number of tasks follows from the counted tokens.
-TOKENS_PER_TASK = 3_000_000
+TOKENS_PER_TASK = 2_000_000
 # Tokens of the sets of a tile; a tile with a single longer set is larger.
 TILE_TOKENS = 400_000
 ORDERS = ("by_count", "by_value", "by_hash")
@@ -105,7 +105,7 @@ def _summarise(size: int):
                         seen.add(sid)
                         held.append(tokens)
                         total += len(tokens)
-                if total >= 4 * TOKENS_PER_PACK:
+                if total >= 2 * TOKENS_PER_PACK:
                     yield row_batch(ids[:0], [], none, *_frequent(held))
                     seen, held, total = set(), [], 0
             yield row_batch(ids, sizes, np.concatenate(digests), none, none)
