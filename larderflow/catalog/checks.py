@@ -119,11 +119,11 @@ def date_range(spark, sf_dir):
 @query(
     "v09_null_counts",
     f"""{PANEL} {" union all ".join(f"select '{c}' \"column\", count(*) - count({c}) n_null from panel"
-        for c in ("date", "d", "event_name_1", "event_type_1", "snap_CA", "sell_price"))}""",
+        for c in ("store_id", "item_id", "state_id", "dept_id", "cat_id", "date", "sales", "sell_price", "d", "wm_yr_wk",
+                  "event_name_1", "event_type_1", "snap_CA", "snap_TX", "snap_WI", "split"))}""",
 )
 def null_counts(spark, sf_dir):
-    columns = ["date", "d", "event_name_1", "event_type_1", "snap_CA", "sell_price"]
-    return quality.null_counts(tables.panel(spark, sf_dir), columns)
+    return quality.null_counts(tables.panel(spark, sf_dir))
 
 
 @query(

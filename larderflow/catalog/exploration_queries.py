@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from larderflow.catalog import tables
 from larderflow.catalog.registry import query
 from larderflow.catalog.sql import PANEL, SPARSE, WEEKLY
-from larderflow.operators import exploration, reshape
+from larderflow.operators import exploration, quality, reshape, splits
+from larderflow.schemas import IDENTIFIERS, day_columns
 from larderflow.session import fresh_path
+from larderflow.settings import Settings
 from larderflow.sources import files, star
 
 
@@ -148,13 +150,101 @@ def _raw_folder(spark, sf_dir):
 def read_wide_sales(spark, sf_dir):
     folder = _raw_folder(spark, sf_dir)
     sales, _, _ = files.read_raw(spark, folder)
-    return reshape.melt_sales(sales).select("store_id", "item_id", "d", "sales")
+    return reshape.melt_sales(sales).select("store_id", "item_id", "d", F.col("sales").cast("int").alias("sales"))
 
 
 @query("s01_read_wide_sales_as_text", f"{PANEL} select store_id, item_id, d, cast(sales as int) sales from panel")
 def read_wide_sales_as_text(spark, sf_dir):
     folder = _raw_folder(spark, sf_dir)
-    return files.read_sales_long(spark, f"{folder}/sales_train_evaluation.csv").select("store_id", "item_id", "d", "sales")
+    long = files.read_sales_long(spark, f"{folder}/sales_train_evaluation.csv")
+    return long.select("store_id", "item_id", "d", F.col("sales").cast("int").alias("sales"))
+
+
+@query(
+    "s01_fractional_cells",
+    f"{PANEL} select store_id, item_id, d, case when sales <> 1 then sales / 4 end sales from panel",
+)
+def fractional_cells(spark, sf_dir):
+    """Quarter units are read as they are; a cell that is no number has no value."""
+    path = fresh_path(spark, "fractional")
+    _written_cells(tables.wide(spark, sf_dir)).write.option("header", True).csv(path)
+    return reshape.melt_sales(files.read_sales(spark, path)).select("store_id", "item_id", "d", "sales")
+
+
+def _written_cells(wide):
+    """Units in quarters as text, and ``n/a`` for a single unit."""
+    days = day_columns(wide.columns)
+    cells = F.expr(f"transform(array({', '.join(days)}), x -> if(x = 1, 'n/a', cast(x / 4 as string)))")
+    return wide.select(*IDENTIFIERS, F.explode(F.array(cells)).alias("_c")).selectExpr(
+        *IDENTIFIERS, *[f"_c[{i}] {c}" for i, c in enumerate(days)]
+    )
+
+
+@query(
+    "v05_unreadable_cells",
+    f"""{PANEL} select 'unreadable' "check", 'error' severity, count(distinct (store_id, item_id)) failed_count
+        from panel where sales = 1""",
+)
+def unreadable_cells(spark, sf_dir):
+    """Lines with a cell that is no number fail the sales check."""
+    path = fresh_path(spark, "unreadable")
+    _written_cells(tables.wide(spark, sf_dir)).write.option("header", True).csv(path)
+    report = quality.check_sales(files.read_sales(spark, path))
+    return report.where("check = 'unreadable'").select("check", "severity", "failed_count")
+
+
+@query("s03_mixed_headers", f"with {WEEKLY.strip()} select * from weekly")
+def mixed_headers(spark, sf_dir):
+    """Files of one folder with their columns in different orders."""
+    path = fresh_path(spark, "prices")
+    weekly = tables.weekly(spark, sf_dir)
+    odd = F.col("wm_yr_wk") % 2 == 1
+    weekly.where(odd).write.option("header", True).option("quoteAll", True).csv(path)
+    turned = weekly.where(~odd).select("item_id", "store_id", "sell_price", "wm_yr_wk")
+    turned.write.mode("append").option("header", True).csv(path)
+    return files.read_prices(spark, path).select("store_id", "item_id", "wm_yr_wk", "sell_price")
+
+
+@query(
+    "s04_dataset_exists",
+    f"""with {WEEKLY.strip()} select * from (values ('sales_train_evaluation.csv', false), ('calendar.csv', false),
+        ('sell_prices.csv', true)) t(file, present), (select count(*) n_prices from weekly)""",
+)
+def dataset_exists(spark, sf_dir):
+    """Which raw files a folder has that only holds the prices."""
+    folder = fresh_path(spark, "partial")
+    tables.weekly(spark, sf_dir).write.option("header", True).csv(f"{folder}/sell_prices.csv")
+    there = files.check_dataset_exists(spark, folder)
+    listed = F.array(*[F.struct(F.lit(n).alias("file"), F.lit(p).alias("present")) for n, p in there.items()])
+    read = files.read_prices(spark, f"{folder}/sell_prices.csv")
+    return read.agg(F.count(F.lit(1)).alias("n_prices")).select(F.inline(listed), "n_prices")
+
+
+@query(
+    "s10_settings",
+    f"""{PANEL} select case when date <= date '1999-12-31' then 'train' when date <= date '2000-06-30' then 'val'
+        when date <= date '2000-12-31' then 'test' else 'outside' end split, count(*) n_rows from panel group by 1""",
+)
+def settings(spark, sf_dir):
+    """Split dates from a configuration mapping."""
+    ends = {"train_end_date": "1999-12-31", "validation_end_date": "2000-06-30", "test_end_date": "2000-12-31"}
+    data = Settings.from_mapping({"data": ends}).data
+    rows = splits.with_split(tables.panel(spark, sf_dir), data.train_end, data.val_end, data.test_end, drop_rest=False)
+    return rows.groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@query(
+    "s05_processed_full",
+    f"""{PANEL} select case when date > date '2001-10-07' or item_id = 'SMALL' then 'outside' else split end split,
+        count(*) n_rows, sum(sales) units from panel group by 1""",
+)
+def processed_full(spark, sf_dir):
+    """Rows after the last split or without a date are written to a partition of their own."""
+    path = fresh_path(spark, "full")
+    rows = tables.panel(spark, sf_dir).drop("split").withColumn("date", F.when(F.col("item_id") != "SMALL", F.col("date")))
+    whole = splits.with_split(rows, star.TRAIN_END, star.VAL_END, star.VAL_END, drop_rest=False)
+    files.write_splits(whole, path)
+    return spark.read.parquet(path).groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("sales").alias("units"))
 
 
 @query(
@@ -173,7 +263,7 @@ def read_calendar(spark, sf_dir):
 def read_prices(spark, sf_dir):
     path = fresh_path(spark, "prices")
     tables.weekly(spark, sf_dir).write.option("header", True).csv(path)
-    return files.read_prices(spark, path)
+    return files.read_prices(spark, path).select("store_id", "item_id", "wm_yr_wk", "sell_price")
 
 
 @query(

@@ -111,6 +111,18 @@ def event_types(spark, sf_dir):
     return tables.panel(spark, sf_dir).select(*KEYS, *[v.alias(k) for k, v in flags.items()])
 
 
+@query(
+    "d09_default_event_types",
+    f"""{PANEL} select store_id, item_id, date, cast(event_name_1 is not null as int) has_event,
+        {", ".join(f"cast(coalesce(event_type_1, 'None') = '{t}' as int) event_type_{t}" for t in star.EVENT_TYPES)} from panel""",
+)
+def default_event_types(spark, sf_dir):
+    """One flag for every event type that the data has, without naming them."""
+    rows = tables.panel(spark, sf_dir).select(*KEYS, "event_name_1", "event_type_1")
+    out = calendar.with_events(rows, calendar.event_vocabulary(rows))
+    return out.drop("event_name_1", "event_type_1")
+
+
 @query("d10_snap", f"{PANEL} select store_id, item_id, date, snap_CA, snap_TX, snap_WI from panel")
 def snap(spark, sf_dir):
     out = calendar.with_events(tables.panel(spark, sf_dir), star.EVENT_TYPES)
@@ -354,13 +366,45 @@ _F_CTES, _F_JOINS, _F_PICKS = _codes(CODED, "filled")
 )
 def all_features(spark, sf_dir):
     built = feature_plan.create_features(
-        tables.filled(spark, sf_dir), include_cyclical=True, include_diff=True, event_types=star.EVENT_TYPES
+        tables.filled(spark, sf_dir), include_cyclical=True, include_diff=True, event_types=star.EVENT_TYPES, gap_free=True
     )
     names = [*feature_plan.feature_columns(include_target=True), "diff_1", "diff_7"]
     rough = [f"rolling_std_{n}" for n in (7, 14, 28)] + ["ratio_7_28", "ratio_14_28"]
     return rounded(rounded(built.select(*KEYS, *names), *rough), "price_relative", digits=6)
 
 
+@query(
+    "w18_features_with_gaps",
+    f"""{FILLED}, x as (select * from filled where day(date) % 3 <> 0)
+        select store_id, item_id, date, lag(sales, 28) {W}) lag_28, round(avg(sales) {_rows(27)}, 6) rolling_mean_28,
+        sell_price - lag(sell_price, 7) {W}) price_change_7 from x""",
+)
+def features_with_gaps(spark, sf_dir):
+    """Days are missing and nothing says so: steps still are rows."""
+    rows = tables.filled(spark, sf_dir).where(F.dayofmonth("date") % 3 != 0)
+    built = feature_plan.create_features(rows, event_types=star.EVENT_TYPES)
+    return rounded(built.select(*KEYS, "lag_28", "rolling_mean_28", "price_change_7"), "rolling_mean_28", digits=6)
+
+
+@query(
+    "w17_fill_methods",
+    f"""{PANEL} select m "method", count(*) n_rows from panel, (values ('drop'), ('fill_zero')) t(m)
+        where m = 'fill_zero' or sell_price is not null group by 1
+        union all select 'interpolate', cast(null as bigint)""",
+)
+def fill_methods(spark, sf_dir):
+    """Rows left by each method; an unknown one raises and has none."""
+    rows = tables.panel(spark, sf_dir).select(*KEYS, "sell_price")
+    parts = []
+    for method in ("drop", "fill_zero", "interpolate"):
+        try:
+            told = fill.fill_features(rows, ["sell_price"], method).agg(F.count(F.lit(1)).alias("n_rows"))
+        except ValueError:
+            told = rows.limit(1).select(F.lit(None).cast("bigint").alias("n_rows"))
+        parts.append(told.select(F.lit(method).alias("method"), "n_rows"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query(
     "w19_training_rows",
     f"""{PANEL}, x as (select store_id, item_id, date, split, sales, lag(sales, 28) {W}) lag_28,
@@ -371,5 +415,5 @@ def all_features(spark, sf_dir):
 )
 def training_rows(spark, sf_dir):
     """Past-only features on the whole panel; validation and test keep all their rows."""
-    built = feature_plan.training_features(tables.filled(spark, sf_dir), event_types=star.EVENT_TYPES)
+    built = feature_plan.training_features(tables.filled(spark, sf_dir), event_types=star.EVENT_TYPES, gap_free=True)
     return built.select(*KEYS, "split", "sales", "lag_28", "rolling_mean_28")

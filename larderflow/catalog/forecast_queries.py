@@ -110,7 +110,7 @@ BOOST_FEATURES = (
 def training(spark, sf_dir):
     """Past-only features of all splits."""
     return staged(
-        spark, sf_dir, "training", lambda s, d: training_features(tables.filled(s, d), event_types=star.EVENT_TYPES)
+        spark, sf_dir, "training", lambda s, d: training_features(tables.filled(s, d), event_types=star.EVENT_TYPES, gap_free=True)
     )
 
 

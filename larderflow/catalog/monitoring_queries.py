@@ -191,13 +191,13 @@ def window_metrics_stream(spark, sf_dir):
 
 @query(
     "t02_window_drift_stream",
-    f"""with {WINDOWS}, ref as (select avg(value) r from events where value > 0)
+    f"""with {WINDOWS}, ref as (select avg(value) r from events)
         select cast(s as date) window_start, 'value' "column", round(abs(m - r) / abs(r), 6) drift_score,
         abs(m - r) / abs(r) > 0.15 has_drift, round(r, 4) reference_mean, round(m, 4) current_mean from closed, ref""",
 )
 def window_drift_stream(spark, sf_dir):
-    """Window means against a profile of the non-zero values."""
-    profile = monitoring.profile(star.table(spark, sf_dir, "events").where("value > 0"), ["value"])
+    """Window means against a profile of the whole table."""
+    profile = monitoring.profile(star.table(spark, sf_dir, "events"), ["value"])
     stream = monitor.windowed_drift(_event_stream(spark, sf_dir), profile, ["value"])
     output = fresh_path(spark, "window-drift")
     monitor.run_available(stream, output, fresh_path(spark, "window-drift-state"))

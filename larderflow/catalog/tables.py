@@ -28,7 +28,9 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark,
         sf_dir,
         "features",
-        lambda s, d: create_features(filled(s, d), include_cyclical=True, include_diff=True, event_types=star.EVENT_TYPES),
+        lambda s, d: create_features(
+            filled(s, d), include_cyclical=True, include_diff=True, event_types=star.EVENT_TYPES, gap_free=True
+        ),
     )
 
 

@@ -59,9 +59,18 @@ def event_type_flags(types: Sequence[str], column: str = "event_type_1") -> dict
     return {f"event_type_{t}": (filled == t).cast("int") for t in types}
 
 
+MAX_EVENT_TYPES = 1000
+
+
 def event_vocabulary(calendar: DataFrame, column: str = "event_type_1") -> list[str]:
-    """Event types of the calendar, sorted; read from the dimension, so it does not grow with the facts."""
-    rows = calendar.select(F.coalesce(F.col(column), F.lit(NO_EVENT)).alias("t")).distinct().orderBy("t").collect()
+    """Event types of the calendar, sorted; read from the dimension, so it does not grow with the facts.
+
+    Each type becomes a feature column, so more than ``MAX_EVENT_TYPES`` of them raise.
+    """
+    types = calendar.select(F.coalesce(F.col(column), F.lit(NO_EVENT)).alias("t")).distinct().orderBy("t")
+    rows = types.limit(MAX_EVENT_TYPES + 1).collect()
+    if len(rows) > MAX_EVENT_TYPES:
+        raise ValueError(f"{column} has more than {MAX_EVENT_TYPES} values")
     return [r.t for r in rows]
 
 

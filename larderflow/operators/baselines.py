@@ -191,6 +191,11 @@ def interpolated(sorted_values: Column, p: float) -> Column:
     return low + (high - low) * (at - F.floor(at))
 
 
+def quantile_name(q: float) -> str:
+    """``p10`` for 0.1, ``p99_5`` for 0.995."""
+    return f"p{q * 100:.10g}".replace(".", "_")
+
+
 def quantile_forecast(
     df: DataFrame,
     horizon: int = 7,
@@ -226,7 +231,7 @@ def quantile_forecast(
     ordered = steps.withColumn("_resid", F.sort_array(residuals))
     bounds = [
         F.greatest(F.col("_point") + F.coalesce(interpolated(F.col("_resid"), q), F.lit(0.0)), F.lit(0.0)).alias(
-            f"p{round(q * 100)}"
+            quantile_name(q)
         )
         for q in quantiles
     ]

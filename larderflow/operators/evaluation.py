@@ -76,11 +76,15 @@ def summary(model_metrics: DataFrame, baseline: str) -> DataFrame:
 
 
 def aligned(predictions: DataFrame, models: Sequence[str], by: Sequence[str] = ("date",)) -> DataFrame:
-    """Actual and every model's prediction side by side, summed over the series of each date."""
-    actual_of = models[0]
+    """Actual and every model's prediction side by side, summed over the series of each date.
+
+    Each row of a series and date has one actual, whichever of the models scored it.
+    """
+    chosen = predictions.where(F.col("model").isin(*models))
+    keys = [c for c in chosen.columns if c not in ("model", "y_true", "y_pred")]
     wide = [F.sum(F.when(F.col("model") == m, F.col("y_pred"))).alias(m) for m in models]
-    actual = F.sum(F.when(F.col("model") == actual_of, F.col("y_true"))).alias("actual")
-    return predictions.groupBy(*by).agg(actual, *wide)
+    rows = chosen.groupBy(*keys).agg(F.max("y_true").alias("actual"), *wide)
+    return rows.groupBy(*by).agg(F.sum("actual").alias("actual"), *[F.sum(m).alias(m) for m in models])
 
 
 def metric_bars(model_metrics: DataFrame) -> DataFrame:

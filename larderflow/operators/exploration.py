@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larderflow.operators.quality import null_counts
-from larderflow.operators.ranks import column_quantiles, exact_quantiles, unpivot_numeric
+from larderflow.operators.ranks import column_quantiles, exact_quantiles, wide_statistics
 
 # Weekday names, Monday first.
 WEEKDAYS = ("Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun")
@@ -38,17 +38,8 @@ def info(df: DataFrame) -> DataFrame:
 
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Count, mean, std, min, exact quartiles and max per column."""
-    basics = (
-        unpivot_numeric(df, columns)
-        .groupBy("column")
-        .agg(
-            F.count("value").alias("count"),
-            F.avg("value").alias("mean"),
-            F.stddev_samp("value").alias("std"),
-            F.min("value").alias("min"),
-            F.max("value").alias("max"),
-        )
-    )
+    measures = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+    basics = wide_statistics(df, columns, measures)
     quartiles = column_quantiles(df, columns, [0.25, 0.5, 0.75]).select(
         "column",
         F.element_at("quantiles", 1).alias("p25"),

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from larderflow.operators.ranks import column_quantiles, exact_quantiles
 from larderflow.operators.series import BLOCK_ROWS, time_chunk
 from larderflow.schemas import SERIES
-from larderflow.session import written
 
 
 def _carried(df: DataFrame, columns: Sequence[str], keys: Sequence[str], date: str, days: int) -> DataFrame:
@@ -67,10 +66,10 @@ def fill_series(
 
 
 def fill_item_median(
-    df: DataFrame, price: str = "sell_price", item: Sequence[str] = ("item_id",)
+    df: DataFrame, price: str = "sell_price", item: Sequence[str] = ("item_id",), source: DataFrame | None = None
 ) -> DataFrame:
-    """Still-missing prices take the exact median of the item over all stores."""
-    medians = exact_quantiles(df, price, [0.5], item).select(
+    """Still-missing prices take the exact median of the item over all stores, from ``source`` if it is given."""
+    medians = exact_quantiles(df if source is None else source, price, [0.5], item).select(
         *item, F.element_at("quantiles", 1).alias("_median")
     )
     return (
@@ -86,13 +85,13 @@ def fill_prices(
 ) -> DataFrame:
     """Forward fill, backward fill, then item median where a price is still missing.
 
-    The series fill is written once to the shared folder: the test for missing prices and the medians read it from
-    there instead of filling again.
+    After both fills only series without any price miss one. Medians are taken of the items that have such a series, so
+    where there is none the second fill and its shuffles have no rows to work on.
     """
-    filled = written(fill_series(df, [price], keys, date), "series-filled")
-    if filled.where(F.col(price).isNull()).isEmpty():
-        return filled
-    return fill_item_median(filled, price)
+    narrow = df.select(*dict.fromkeys([*keys, "item_id", date, price]))
+    unpriced = narrow.groupBy(*keys).agg(F.count(price).alias("_n")).where("_n = 0").select("item_id").distinct()
+    source = fill_series(narrow.join(unpriced, "item_id", "left_semi"), [price], keys, date)
+    return fill_item_median(fill_series(df, [price], keys, date), price, source=source)
 
 
 def fill_features(

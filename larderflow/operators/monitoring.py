@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larderflow.operators.evaluation import metrics
-from larderflow.operators.ranks import unpivot_numeric
+from larderflow.operators.ranks import wide_statistics
 from larderflow.settings import MonitoringSettings
 
 
@@ -17,16 +17,7 @@ def profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     present = [c for c in columns if c in df.columns]
     if not present:
         return df.sparkSession.createDataFrame([], "column string, mean double, std double, min double, max double")
-    return (
-        unpivot_numeric(df, present)
-        .groupBy("column")
-        .agg(
-            F.avg("value").alias("mean"),
-            F.stddev_samp("value").alias("std"),
-            F.min("value").alias("min"),
-            F.max("value").alias("max"),
-        )
-    )
+    return wide_statistics(df, present, {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max})
 
 
 def relative_shift(reference: Column, current: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larderflow.schemas import DAY_PREFIX, IDENTIFIERS, day_columns
+from larderflow.schemas import DAY_PREFIX, IDENTIFIERS, UNREADABLE, day_columns
 
 REPORT = T.StructType(
     [
@@ -45,22 +45,36 @@ def schema_issues(df: DataFrame, expected: Mapping[str, str]) -> list[tuple[str,
     return issues
 
 
-def count_report(df: DataFrame, dataset: str, checks: Sequence[tuple[str, str, Column]]) -> DataFrame:
-    """Run every ``(check, severity, failing rows count)`` in one pass and return one row per check."""
-    counts = df.agg(*[F.coalesce(expr, F.lit(0)).cast("bigint").alias(f"c{i}") for i, (_, _, expr) in enumerate(checks)])
+def count_report(df: DataFrame, dataset: str, checks: Sequence[tuple]) -> DataFrame:
+    """Run every ``(check, severity, failing rows count[, detail])`` in one pass and return one row per check.
+
+    ``detail``, an aggregate too, says more about a failure; by default it is what stands behind the colon of the check's
+    name. It is null for checks that pass.
+    """
+    measures = []
+    for i, (name, _, expr, *detail) in enumerate(checks):
+        told = detail[0] if detail else F.lit(name.partition(":")[2] or None)
+        measures += [F.coalesce(expr, F.lit(0)).cast("bigint").alias(f"c{i}"), told.cast("string").alias(f"d{i}")]
+    counts = df.agg(*measures)
     rows = [
         F.struct(
             F.lit(name).alias("check"),
             F.lit(severity).alias("severity"),
             F.col(f"c{i}").alias("failed_count"),
+            F.when(F.col(f"c{i}") > 0, F.col(f"d{i}")).alias("detail"),
         )
-        for i, (name, severity, _) in enumerate(checks)
+        for i, (name, severity, *_) in enumerate(checks)
     ]
     return counts.select(F.inline(F.array(*rows))).select(
-        F.lit(dataset).alias("dataset"), "check", "severity", "failed_count", F.lit(None).cast("string").alias("detail")
+        F.lit(dataset).alias("dataset"), "check", "severity", "failed_count", "detail"
     )
 
 
+def unreadable_checks(columns: Iterable[str]) -> list[tuple]:
+    """Rows with a cell that its column could not hold, where the reader kept them; the detail is one such row."""
+    return [("unreadable", "error", F.count(UNREADABLE), F.min(UNREADABLE))] if UNREADABLE in columns else []
+
+
 def null_checks(columns: Iterable[str], severity: str = "error") -> list[tuple[str, str, Column]]:
     return [(f"null:{c}", severity, F.count_if(F.col(c).isNull())) for c in columns]
 
@@ -105,16 +119,20 @@ def _stack(reports: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), reports)
 
 
-def sales_checks(df: DataFrame) -> list[tuple[str, str, Column]]:
-    """Null keys and negative sales of a wide or a long sales table."""
+def sales_checks(df: DataFrame) -> list[tuple]:
+    """Null keys, unreadable cells and negative sales of a wide or a long sales table."""
     columns = df.columns
     keys = [c for c in IDENTIFIERS if c in columns]
     days = day_columns(columns)
     if days:
-        negative = F.expr(f"exists(array({', '.join(f'`{c}`' for c in days)}), x -> x < 0)")
+        # The place of the first negative day of a row; its smallest over the rows names the first bad column.
+        place = F.expr(f"array_position(transform(array({', '.join(f'`{c}`' for c in days)}), x -> x < 0), true)")
+        negative = F.count_if(place > 0)
+        detail = F.get(F.array(*[F.lit(c) for c in days]), (F.min(F.when(place > 0, place)) - 1).cast("int"))
     else:
-        negative = F.col("sales") < 0 if "sales" in columns else F.lit(False)
-    return [*null_checks(keys), ("negative_sales", "error", F.count_if(negative))]
+        below = F.col("sales") < 0 if "sales" in columns else F.lit(False)
+        negative, detail = F.count_if(below), F.lit("sales")
+    return [*null_checks(keys), *unreadable_checks(columns), ("negative_sales", "error", negative, detail)]
 
 
 def check_sales(df: DataFrame, dataset: str = "sales") -> DataFrame:
@@ -146,7 +164,8 @@ def check_calendar(df: DataFrame, dataset: str = "calendar") -> DataFrame:
     keys = [c for c in CALENDAR_KEYS if c in df.columns]
     ranges = {c: r for c, r in CALENDAR_RANGES.items() if c in df.columns}
     checks = [*null_checks(keys), *range_checks(ranges)]
-    checks += null_checks([c for c in df.columns if c not in keys], "warning")
+    checks += null_checks([c for c in df.columns if c not in keys and c != UNREADABLE], "warning")
+    checks += unreadable_checks(df.columns)
     reports = [_issue_rows(df, dataset, schema_issues(df, expected))]
     if "date" in df.columns:
         unparsed = F.col("date").isNotNull() & F.expr("try_cast(`date` as date)").isNull()
@@ -158,7 +177,7 @@ def check_calendar(df: DataFrame, dataset: str = "calendar") -> DataFrame:
 def check_prices(df: DataFrame, dataset: str = "prices") -> DataFrame:
     """Schema, any null, non-positive prices (errors) and unusually high prices (warning)."""
     expected = {"store_id": "string", "item_id": "string", "wm_yr_wk": "int", "sell_price": "double"}
-    checks = null_checks(df.columns)
+    checks = [*null_checks([c for c in df.columns if c != UNREADABLE]), *unreadable_checks(df.columns)]
     if "sell_price" in df.columns:
         checks += [
             ("positive:sell_price", "error", F.count_if(F.col("sell_price") <= 0)),
@@ -199,6 +218,7 @@ def gate(sales: DataFrame, calendar: DataFrame, prices: DataFrame) -> tuple[Data
     """
     failing = check_all(sales, calendar, prices).where("severity = 'error' and failed_count > 0").collect()
     if failing:
-        text = "; ".join(f"{r.dataset}.{r.check}: {r.detail or r.failed_count}" for r in failing)
+        told = [f"{r.dataset}.{r.check}: {r.failed_count}" + (f" ({r.detail})" if r.detail else "") for r in failing]
+        text = "; ".join(told)
         raise ValidationFailed(text)
     return sales, calendar, prices

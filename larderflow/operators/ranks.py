@@ -7,7 +7,7 @@ it. The cuts only balance work: any cuts give the same exact result.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -54,6 +54,17 @@ def running_weight(values: DataFrame, keys: Sequence[str], value: str, weight: s
     )
 
 
+def wide_statistics(df: DataFrame, columns: Sequence[str], measures: Mapping[str, Callable[[Column], Column]]) -> DataFrame:
+    """``(column, <measures>)`` with one row per column: one aggregate over the rows as they are, then its row is turned.
+
+    Values are taken as doubles.
+    """
+    values = [F.col(c).cast("double") for c in columns]
+    told = df.agg(*[measure(v).alias(f"{i}_{name}") for i, v in enumerate(values) for name, measure in measures.items()])
+    rows = [F.struct(F.lit(c).alias("column"), *[F.col(f"{i}_{name}").alias(name) for name in measures]) for i, c in enumerate(columns)]
+    return told.select(F.inline(F.array(*rows)))
+
+
 def value_ranks(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
     """One row per distinct non-null (keys, value): ``n`` equal rows, ``below`` smaller rows, ``total`` rows."""
     counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larderflow.schemas import DAY_PREFIX, EVENTS, IDENTIFIERS, NO_EVENT, SERIES, SNAP, day_columns
+from larderflow.schemas import DAY_PREFIX, EVENTS, IDENTIFIERS, NO_EVENT, SERIES, SNAP, UNREADABLE, day_columns
 
 
 def melt_sales(wide: DataFrame, ids: Sequence[str] = IDENTIFIERS) -> DataFrame:
@@ -34,19 +34,19 @@ def day_name(days: Sequence[str], position: Column) -> Column:
 
 def prepare_calendar(calendar: DataFrame) -> DataFrame:
     """Parse the date, fill absent events with ``'None'`` and absent SNAP flags with 0."""
-    return fill_events(calendar.withColumn("date", F.to_date("date")))
+    return fill_events(calendar.drop(UNREADABLE).withColumn("date", F.to_date("date")))
 
 
 def join_calendar(long: DataFrame, calendar: DataFrame, on: str = "d") -> DataFrame:
     """Left join on the day key; the calendar is one row per day, so its measured size decides the broadcast."""
-    return long.join(calendar, on, "left")
+    return long.join(calendar.drop(UNREADABLE), on, "left")
 
 
 def join_prices(
     df: DataFrame, prices: DataFrame, keys: Sequence[str] = (*SERIES, "wm_yr_wk")
 ) -> DataFrame:
     """Left join of weekly prices on (store, item, week)."""
-    return df.join(prices, list(keys), "left")
+    return df.join(prices.drop(UNREADABLE), list(keys), "left")
 
 
 def event_columns(columns: Sequence[str]) -> list[str]:
@@ -89,7 +89,8 @@ def densify(
     """Gap-free daily panel: each series on each day, ``zero_columns`` 0 where no fact exists.
 
     Days come from a ``sequence`` per series, so there is no cross join. Without bounds, the range of the facts is used.
-    Facts must be unique per series and day and have no null keys, which the quality checks establish.
+    Facts must be unique per series and day and have no null keys, which the quality checks establish. Facts outside of
+    stated bounds have no day to stand on; :func:`outside_bounds` counts them.
     """
     keys, static = list(keys), list(static)
     if start is None or end is None:
@@ -105,6 +106,16 @@ def densify(
     return dense.na.fill(0, list(zero_columns))
 
 
+def outside_bounds(facts: DataFrame, start: str, end: str, date: str = "date") -> DataFrame:
+    """One row: facts before ``start``, after ``end`` and without a date, which a panel with these bounds leaves out."""
+    day = F.col(date)
+    return facts.agg(
+        F.count_if(day < F.lit(start).cast("date")).alias("n_before"),
+        F.count_if(day > F.lit(end).cast("date")).alias("n_after"),
+        F.count_if(day.isNull()).alias("n_undated"),
+    )
+
+
 def ordered_columns(df: DataFrame) -> DataFrame:
     """Keys and labels first, then the rest in table order."""
     lead = [c for c in (*IDENTIFIERS, "date", "d", "sales", "sell_price", *EVENTS, *SNAP) if c in df.columns]

@@ -5,18 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larderflow.schemas import SPLITS
+from larderflow.schemas import OUTSIDE, SPLITS
 
 
 def with_split(
     df: DataFrame, train_end: str, val_end: str, test_end: str, date: str = "date", drop_rest: bool = True
 ) -> DataFrame:
-    """Add ``split``; rows after ``test_end`` belong to no split and are dropped."""
+    """Add ``split``. Rows after ``test_end`` and rows without a date belong to no split: they are dropped, or kept as
+    ``outside`` with ``drop_rest=False``."""
     day = F.to_date(date)
     bounds = [F.lit(b).cast("date") for b in (train_end, val_end, test_end)]
     split = F.when(day <= bounds[0], SPLITS[0]).when(day <= bounds[1], SPLITS[1]).when(day <= bounds[2], SPLITS[2])
-    out = df.withColumn("split", split)
-    return out.where(F.col("split").isNotNull()) if drop_rest else out
+    if drop_rest:
+        return df.withColumn("split", split).where(F.col("split").isNotNull())
+    return df.withColumn("split", F.coalesce(split, F.lit(OUTSIDE)))
 
 
 def split_report(df: DataFrame, date: str = "date") -> DataFrame:

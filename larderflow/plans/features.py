@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 
-from larderflow.functions.calendar import date_feature_names, with_cyclical, with_date_parts, with_events
+from larderflow.functions.calendar import date_feature_names, event_vocabulary, with_cyclical, with_date_parts, with_events
 from larderflow.operators.encoding import with_codes
 from larderflow.operators.fill import fill_features
 from larderflow.operators.history import (
@@ -20,7 +20,7 @@ from larderflow.operators.history import (
 )
 from larderflow.operators.pricing import with_price_rank, with_relative_price
 from larderflow.operators.series import block_window, own_rows, with_blocks
-from larderflow.schemas import CATEGORIES, NO_EVENT, SERIES, SNAP, SPLITS
+from larderflow.schemas import CATEGORIES, SERIES, SNAP, SPLITS
 from larderflow.settings import FeatureSettings
 
 
@@ -45,16 +45,17 @@ def create_features(
     settings: FeatureSettings = FeatureSettings(),
     include_cyclical: bool = False,
     include_diff: bool = False,
-    event_types: Sequence[str] = (NO_EVENT,),
+    event_types: Sequence[str] | None = None,
     keys: Sequence[str] = SERIES,
-    gap_free: bool = True,
+    gap_free: bool = False,
     exclude_current: bool = False,
     codes: DataFrame | None = None,
 ) -> DataFrame:
     """Date, event, price, lag, difference, rolling, ratio and category features.
 
-    Everything that needs the series order is one window stage over one shuffle. ``gap_free=False`` gives the same
-    result for panels with missing days.
+    Everything that needs the series order is one window stage over one shuffle. ``gap_free=True`` states that every
+    series has a row for every day and saves a shuffle; without it days may be missing. Event types are those of the
+    data unless named: one more pass over that column, so name them where the calendar is at hand.
     """
     w = block_window(keys, "date")
     columns = lag_columns(w, "sales", settings.lag_periods)
@@ -67,14 +68,18 @@ def create_features(
     if priced:
         columns |= price_change_column(w)
         reach = max(reach, 7)
-    out = with_price_rank(with_relative_price(df)) if priced else df
+    # Codes are joined before rows are copied into the halos of blocks, so the copies are not looked up again.
+    out = with_codes(df, codes=codes)
+    out = with_price_rank(with_relative_price(out)) if priced else out
     out = with_blocks(out, keys, "date", before=reach, gap_free=gap_free).withColumns(columns)
     out = own_rows(add_rolling(out, w, "sales", settings.rolling_windows, exclude_current))
-    out = with_codes(with_ratios(out), codes=codes)
+    out = with_ratios(out)
     # Columns that need only their own row come last, so that no shuffle carries them.
     out = with_date_parts(out)
     if include_cyclical:
         out = with_cyclical(out)
+    if event_types is None:
+        event_types = event_vocabulary(df) if "event_type_1" in df.columns else ()
     return with_events(out, event_types)
 
 

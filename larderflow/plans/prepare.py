@@ -7,7 +7,6 @@ from pyspark.sql import DataFrame
 from larderflow.operators.fill import fill_prices
 from larderflow.operators.reshape import fill_events, join_calendar, join_prices, melt_sales, prepare_calendar
 from larderflow.operators.splits import with_split
-from larderflow.session import written
 from larderflow.settings import DataSettings
 
 
@@ -19,10 +18,9 @@ def merge_tables(long: DataFrame, calendar: DataFrame, prices: DataFrame) -> Dat
 def prepare_panel(
     sales: DataFrame, calendar: DataFrame, prices: DataFrame, settings: DataSettings = DataSettings()
 ) -> DataFrame:
-    """Melt, join, fill and split.
+    """Melt, join, fill and split; rows in no split are kept as ``outside``.
 
-    Filling reads the merged table several times, so it is written once to the shared folder; write the result too, and
-    build features from the written table.
+    Nothing is computed or written here. Write the result, and build features from the written table.
     """
-    merged = written(merge_tables(melt_sales(sales), calendar, prices), "merged")
-    return with_split(fill_prices(merged), settings.train_end, settings.val_end, settings.test_end)
+    merged = merge_tables(melt_sales(sales), calendar, prices)
+    return with_split(fill_prices(merged), settings.train_end, settings.val_end, settings.test_end, drop_rest=False)

@@ -11,7 +11,11 @@ SNAP = ("snap_CA", "snap_TX", "snap_WI")
 EVENTS = ("event_name_1", "event_type_1", "event_name_2", "event_type_2")
 NO_EVENT = "None"
 DAY_PREFIX = "d_"
+# Column in which readers leave what they could not read.
+UNREADABLE = "_unreadable"
 SPLITS = ("train", "val", "test")
+# Rows after the last split or without a date.
+OUTSIDE = "outside"
 
 # The three raw files every run needs.
 RAW_FILES = {

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larderflow.operators.reshape import day_name
-from larderflow.schemas import CALENDAR, DAY_PREFIX, IDENTIFIERS, METRIC_HISTORY, PRICES, RAW_FILES, wide_sales
+from larderflow.schemas import CALENDAR, DAY_PREFIX, IDENTIFIERS, METRIC_HISTORY, PRICES, RAW_FILES, UNREADABLE, wide_sales
+
+# Columns a CSV file may have at most; a wider one raises.
+MAX_COLUMNS = 100_000
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -23,40 +28,71 @@ def check_dataset_exists(spark: SparkSession, folder: str) -> dict[str, bool]:
 
 
 def csv_header(spark: SparkSession, path: str) -> list[str]:
-    """Column names of a CSV file; only its first line is read."""
-    return spark.read.text(path).first()[0].split(",")
+    """Column names of a CSV file, quotes and all as the CSV reader takes them; only its first line is read."""
+    return spark.read.option("header", True).option("maxColumns", MAX_COLUMNS).csv(path).columns
+
+
+def csv_files(spark: SparkSession, path: str) -> list[str]:
+    """The data files of a folder, or the file itself."""
+    jvm = spark.sparkContext._jvm
+    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
+    listed = hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(hadoop_path)
+    return sorted(str(f.getPath()) for f in listed if f.isFile() and f.getLen() and f.getPath().getName()[0] not in "._")
 
 
 def read_csv(spark: SparkSession, path: str, known: T.StructType) -> DataFrame:
-    """CSV with the declared types of known columns and text for the others, in the order of the header."""
+    """CSV with the declared types of known columns and text for the others, in the order of the first header.
+
+    The files of a folder may have their columns in different orders; each is read by its own header, and a file with
+    other columns than the first raises. A row with a cell that its column's type cannot hold has null there and its
+    whole line in the column ``_unreadable``.
+    """
     kinds = {f.name: f.dataType for f in known}
-    fields = [T.StructField(c, kinds.get(c, T.StringType())) for c in csv_header(spark, path)]
-    return spark.read.schema(T.StructType(fields)).option("header", True).option("maxColumns", 100_000).csv(path)
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for file in csv_files(spark, path) or [path]:
+        groups.setdefault(tuple(csv_header(spark, file)), []).append(file)
+    first = next(iter(groups))
+    parts = []
+    for header, files in groups.items():
+        if set(header) != set(first):
+            raise ValueError(f"columns of {files[0]} differ from those of the first file: {sorted(set(header) ^ set(first))}")
+        fields = [T.StructField(c, kinds.get(c, T.StringType())) for c in header]
+        reader = spark.read.schema(T.StructType([*fields, T.StructField(UNREADABLE, T.StringType())]))
+        reader = reader.option("header", True).option("maxColumns", MAX_COLUMNS)
+        parts.append(reader.option("columnNameOfCorruptRecord", UNREADABLE).csv(files))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def read_sales(spark: SparkSession, path: str) -> DataFrame:
-    """Wide daily sales; every day column of the header is an integer."""
-    days = [T.StructField(c, T.IntegerType()) for c in csv_header(spark, path) if c.startswith(DAY_PREFIX)]
+    """Wide daily sales; every day column of the header is a number, as units may be fractions."""
+    header = csv_header(spark, (csv_files(spark, path) or [path])[0])
+    days = [T.StructField(c, T.DoubleType()) for c in header if c.startswith(DAY_PREFIX)]
     return read_csv(spark, path, T.StructType([*wide_sales(0).fields, *days]))
 
 
 def read_sales_long(spark: SparkSession, path: str) -> DataFrame:
     """Long sales straight from the text lines of a wide CSV without quoted commas.
 
-    One split and one ``posexplode`` per line replace thousands of typed columns.
+    One split and one ``posexplode`` per line replace thousands of typed columns. A cell that is neither empty nor a
+    number has null sales and its text in ``_unreadable``.
     """
     header = csv_header(spark, path)
     days = [i for i, c in enumerate(header) if c.startswith(DAY_PREFIX)]
     if not days or days != list(range(days[0], len(header))):
         raise ValueError("day columns must be the last columns of the file")
     ids = [c for c in IDENTIFIERS if c in header]
-    lines = spark.read.text(path).where(F.col("value") != ",".join(header)).select(F.split("value", ",", -1).alias("_cells"))
+    first_line = spark.read.text(path).first()[0]
+    if first_line.replace('"', "").split(",") != header:
+        raise ValueError("the header has quoted commas; use read_sales")
+    lines = spark.read.text(path).where(F.col("value") != first_line).select(F.split("value", ",", -1).alias("_cells"))
     parts = lines.select(
         *[F.col("_cells")[header.index(c)].alias(c) for c in ids], F.slice("_cells", days[0] + 1, len(days)).alias("_days")
     )
     exploded = parts.select(*ids, F.posexplode("_days").alias("_pos", "_cell"))
     names = [header[i] for i in days]
-    return exploded.select(*ids, day_name(names, F.col("_pos")).alias("d"), F.expr("try_cast(_cell as int)").alias("sales"))
+    number = F.expr("try_cast(_cell as double)")
+    unreadable = F.when(number.isNull() & (F.trim("_cell") != ""), F.col("_cell"))
+    return exploded.select(*ids, day_name(names, F.col("_pos")).alias("d"), number.alias("sales"), unreadable.alias(UNREADABLE))
 
 
 def read_calendar(spark: SparkSession, path: str) -> DataFrame:

@@ -5,11 +5,12 @@ The same functions run on batch tables, which gives the batch twin of each strea
 
 from __future__ import annotations
 
+import time
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from larderflow.functions import errors
 from larderflow.operators.monitoring import relative_shift
@@ -56,17 +57,14 @@ def windowed_drift(
     watermark: str = WATERMARK,
 ) -> DataFrame:
     """Mean of each column per window against a saved static profile."""
-    pairs = [F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns]
+    pairs = [F.struct(F.lit(c).alias("column"), F.col(c).alias("current_mean")) for c in columns]
     timed = values.withColumn(ts, F.col(ts).cast("timestamp"))
     if timed.isStreaming:
         timed = timed.withWatermark(ts, watermark)
     means = (
-        timed.select(ts, F.inline(F.array(*pairs)))
-        .groupBy(F.window(ts, _interval(settings)), "column")
-        .agg(F.avg("value").alias("current_mean"))
-        .select(
-            F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "column", "current_mean"
-        )
+        timed.groupBy(F.window(ts, _interval(settings)))
+        .agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in columns])
+        .select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), F.inline(F.array(*pairs)))
     )
     reference = profile.select("column", F.col("mean").alias("reference_mean"))
     return (
@@ -77,6 +75,38 @@ def windowed_drift(
     )
 
 
+class LateRows(StreamingQueryListener):
+    """Counts, batch by batch, the rows that queries dropped for arriving after the watermark.
+
+    A query's own reports only go back over its last batches; this listener hears of every batch.
+    """
+
+    def __init__(self) -> None:
+        self.batches: dict[str, dict[int, int]] = {}
+        self.ended: set[str] = set()
+
+    def onQueryStarted(self, event) -> None:
+        self.batches.setdefault(str(event.runId), {})
+
+    def onQueryProgress(self, event) -> None:
+        progress = event.progress
+        dropped = sum(op.numRowsDroppedByWatermark for op in progress.stateOperators)
+        self.batches.setdefault(str(progress.runId), {})[progress.batchId] = dropped
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.ended.add(str(event.runId))
+
+    def total(self, query: StreamingQuery, timeout: float = 30.0) -> int:
+        """Rows that an ended query dropped; events arrive a little after the query has ended."""
+        run, until = str(query.runId), time.monotonic() + timeout
+        while run not in self.ended and time.monotonic() < until:
+            time.sleep(0.05)
+        return sum(self.batches.get(run, {}).values())
+
+
 def run_available(stream: DataFrame, output: str, checkpoint: str) -> StreamingQuery:
     """Process all available input into a parquet table and stop; a restart goes on from the checkpoint."""
     query = (
@@ -91,8 +121,12 @@ def run_available(stream: DataFrame, output: str, checkpoint: str) -> StreamingQ
     return query
 
 
-def dropped_late_rows(query: StreamingQuery) -> int:
-    """Rows dropped for arriving after the watermark, from the query's progress reports."""
-    return sum(
-        int(op.get("numRowsDroppedByWatermark", 0)) for progress in query.recentProgress for op in progress["stateOperators"]
-    )
+def run_counting_late_rows(stream: DataFrame, output: str, checkpoint: str) -> tuple[StreamingQuery, int]:
+    """:func:`run_available`, and how many rows of all its batches came after the watermark and were dropped."""
+    listener, streams = LateRows(), stream.sparkSession.streams
+    streams.addListener(listener)
+    try:
+        query = run_available(stream, output, checkpoint)
+        return query, listener.total(query)
+    finally:
+        streams.removeListener(listener)

@@ -99,11 +99,25 @@ def test_stream_matches_batch_on_closed_windows_and_drops_late_rows(spark):
     found = spark.read.parquet(output).orderBy("window_start").collect()
     assert found == closed and [r.n for r in found] == [3]
     put(spark, folder, 1, 16)
-    query = monitor.run_available(monitor.windowed_metrics(stream_of(spark, folder)), output, state)
-    assert monitor.dropped_late_rows(query) == 1
+    _, late = monitor.run_counting_late_rows(monitor.windowed_metrics(stream_of(spark, folder)), output, state)
+    assert late == 1
     assert spark.read.parquet(output).count() == 1
 
 
+def test_late_rows_of_more_batches_than_a_query_remembers(spark):
+    folder, output, state = (fresh_path(spark, n) for n in ("in", "out", "state"))
+    kept = spark.conf.get("spark.sql.streaming.numRecentProgressUpdates")
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "2")
+    try:
+        put(spark, folder, 40)
+        for day in range(6):
+            put(spark, folder, day)
+        query, late = monitor.run_counting_late_rows(monitor.windowed_metrics(stream_of(spark, folder)), output, state)
+        assert len(query.recentProgress) <= 2 and late >= 5
+    finally:
+        spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", kept)
+
+
 def test_stream_drift(spark):
     folder, output, state = (fresh_path(spark, n) for n in ("in", "out", "state"))
     put(spark, folder, 0, 3, 20)

@@ -63,7 +63,7 @@ def test_prepare_panel_fills_and_splits(spark):
     rows = panel.collect()
     assert {r.sell_price for r in rows if r.item_id == "a"} == {4.0}
     assert {r.sell_price for r in rows if r.item_id == "b"} == {None}
-    assert {r["split"]: r["count"] for r in panel.groupBy("split").count().collect()} == {"train": 14, "val": 4, "test": 2}
+    assert {r["split"]: r["count"] for r in panel.groupBy("split").count().collect()} == {"train": 14, "val": 4, "test": 2, "outside": 4}
 
 
 def test_densify_uses_no_cross_join(spark):

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import datetime as dt
 import math
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
 from larderflow.functions import calendar
-from larderflow.operators import reshape
+from larderflow.operators import quality, reshape
 from larderflow.session import fresh_path, shared_folder
 from larderflow.settings import Settings
 from larderflow.sources import files
@@ -38,18 +39,50 @@ def raw(tmp_path_factory):
 
 def test_read_raw(spark, raw):
     sales, cal, prices = files.read_raw(spark, raw)
-    assert dict(sales.dtypes)["d_2"] == "int" and dict(cal.dtypes)["wday"] == "int"
+    assert dict(sales.dtypes)["d_2"] == "double" and dict(cal.dtypes)["wday"] == "int"
     assert [r.event_name_1 for r in cal.orderBy("d").collect()] == ["NewYear", None]
     assert {r.item_id: r.sell_price for r in prices.collect()} == {"a": 2.5, "b": None}
 
 
 def test_text_reader_equals_typed_reader(spark, raw):
     typed = reshape.melt_sales(files.read_sales(spark, f"{raw}/sales_train_evaluation.csv"))
-    text = files.read_sales_long(spark, f"{raw}/sales_train_evaluation.csv")
+    text = files.read_sales_long(spark, f"{raw}/sales_train_evaluation.csv").drop("_unreadable")
     assert sorted(map(str, typed.collect())) == sorted(map(str, text.collect()))
     assert text.count() == 4
 
 
+def test_cells_that_are_no_numbers(spark, tmp_path):
+    path = tmp_path / "sales.csv"
+    path.write_text('"id",item_id,dept_id,cat_id,store_id,state_id,d_1,d_2\na,i,d,c,s,t,1.0,2.5\nb,i,d,c,s,t,abc,-1\n')
+    sales = files.read_sales(spark, str(path))
+    assert sales.columns[0] == "id"
+    assert sorted((r.id, r.d_1, r.d_2) for r in sales.collect()) == [("a", 1.0, 2.5), ("b", None, -1.0)]
+    report = {r.check: r for r in quality.check_sales(sales).collect() if r.failed_count}
+    assert set(report) == {"unreadable", "negative_sales"}
+    assert report["unreadable"].detail == "b,i,d,c,s,t,abc,-1" and report["negative_sales"].detail == "d_2"
+    long = files.read_sales_long(spark, str(path))
+    assert sorted((r.id, r.d, r.sales, r._unreadable) for r in long.collect()) == [
+        ("a", "d_1", 1.0, None), ("a", "d_2", 2.5, None), ("b", "d_1", None, "abc"), ("b", "d_2", -1.0, None)
+    ]
+
+
+def test_files_with_other_column_orders(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("store_id,item_id,wm_yr_wk,sell_price\ns,a,1,2.5\n")
+    (tmp_path / "b.csv").write_text("sell_price,item_id,store_id,wm_yr_wk\n3.5,b,t,2\n")
+    prices = files.read_prices(spark, str(tmp_path))
+    assert sorted((r.store_id, r.item_id, r.wm_yr_wk, r.sell_price) for r in prices.collect()) == [("s", "a", 1, 2.5), ("t", "b", 2, 3.5)]
+    (tmp_path / "c.csv").write_text("sell_price,item_id,shop,wm_yr_wk\n3.5,b,t,2\n")
+    with pytest.raises(ValueError, match="shop"):
+        files.read_prices(spark, str(tmp_path))
+
+
+def test_shared_folder_must_be_named(spark):
+    assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
+    nameless = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default=None: default))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(nameless)
+
+
 def test_missing_files_are_named(spark, tmp_path):
     assert set(files.check_dataset_exists(spark, str(tmp_path)).values()) == {False}
     with pytest.raises(FileNotFoundError, match="calendar.csv"):
