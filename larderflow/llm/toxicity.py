@@ -30,9 +30,8 @@ LEXICONS = 6
 LEXICON_TERMS = 3_000
 # Terms the linear classifier has a weight for, at most.
 WEIGHTS = 40_000
-# A lexicon term is in so many labelled toxic texts at least, and in so many times more of them than expected.
-SUPPORT = 4
-LIFT = 8.0
+# Share of toxic texts among those that have a lexicon term, at least.
+PRECISION = 0.9
 STEPS = 150
 
 # Common English insults.
@@ -167,33 +166,71 @@ def _sample_terms(docs: DataFrame, sample: dict, id: str, text: str) -> tuple[li
     return got.column(id).to_pylist(), got.column("label").to_numpy(), [np.frombuffer(t, np.uint64) for t in got.column("terms").to_pylist()]
 
 
-def _associated(labels: np.ndarray, terms: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Terms of two or more sampled texts, with how many toxic and how many other texts have them."""
+def family_weights(terms: list[np.ndarray]) -> np.ndarray:
+    """1 over the number of near copies of each sampled text, so that a text copied often tells no more than another.
+
+    Near copies have the same minima of six hashes of their terms, in any of six such bands. Terms that more than a
+    twentieth of the texts have say nothing of copies and are left out.
+    """
+    if not terms:
+        return np.zeros(0)
+    known, counts = np.unique(np.concatenate(terms), return_counts=True)
+    usual = known[counts > max(2, len(terms) / 20)]
+    root = list(range(len(terms)))
+
+    def find(k: int) -> int:
+        while root[k] != k:
+            root[k] = root[root[k]]
+            k = root[k]
+        return k
+
+    salts = tx.mix(np.arange(1, 37, dtype=np.uint64))
+    seen: dict[tuple, int] = {}
+    for k, own in enumerate(terms):
+        rare = np.setdiff1d(own, usual, assume_unique=True)
+        if len(rare):
+            least = np.array([tx.mix(rare ^ salt).min() for salt in salts]).reshape(6, 6)
+            for band, minima in enumerate(least):
+                root[find(k)] = find(seen.setdefault((band, minima.tobytes()), k))
+    members = [find(k) for k in range(len(terms))]
+    return 1 / np.bincount(members, minlength=len(terms))[members]
+
+
+def _associated(labels: np.ndarray, terms: list[np.ndarray], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Terms of two or more sampled texts, with the weight of toxic and of other texts that have them."""
     if not terms:
         return np.zeros(0, np.uint64), np.zeros(0), np.zeros(0)
-    sizes = [len(t) for t in terms]
-    flat, toxic = np.concatenate(terms), np.repeat(labels > 0.5, sizes)
+    owner = np.repeat(np.arange(len(terms), dtype=np.int32), [len(t) for t in terms])
+    flat = np.concatenate(terms)
     order = np.argsort(flat, kind="stable")
-    flat, toxic = flat[order], toxic[order]
+    flat, owner = flat[order], owner[order]
     first = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]]) if len(flat) else np.zeros(0, np.int64)
-    total = np.diff(np.r_[first, len(flat)])
-    with_term = np.add.reduceat(toxic.astype(np.int64), first) if len(first) else first
-    often = total > 1
-    return flat[first][often], with_term[often].astype(float), (total - with_term)[often].astype(float)
+    if not len(first):
+        return flat, np.zeros(0), np.zeros(0)
+    toxic = np.add.reduceat((weights * (labels > 0.5))[owner], first)
+    clean = np.add.reduceat((weights * (labels <= 0.5))[owner], first)
+    often = np.diff(np.r_[first, len(flat)]) > 1
+    return flat[first][often], toxic[often], clean[often]
+
 
+def lexicons(labels: np.ndarray, terms: list[np.ndarray], weights: np.ndarray) -> tuple[Table, np.ndarray, np.ndarray]:
+    """The lexicon voters' terms, and the terms worth a weight in the classifier with their log odds.
 
-def lexicons(labels: np.ndarray, terms: list[np.ndarray]) -> tuple[Table, np.ndarray, np.ndarray]:
-    """The lexicon voters' terms, and the terms worth a weight in the classifier with their log odds."""
-    hashes, a, b = _associated(labels, terms)
-    n1, n0 = max(1, (labels > 0.5).sum()), max(1, (labels <= 0.5).sum())
+    A term counts if its likelihood ratio against no association at all is beyond what the best of so many unassociated
+    terms reaches by chance once in ten times; lexicon terms are those that nearly only toxic texts have.
+    """
+    hashes, a, b = _associated(labels, terms, weights)
+    n1, n0 = (max(1e-9, float(weights[side].sum())) for side in (labels > 0.5, labels <= 0.5))
     odds = np.log((a + 0.5) / (n1 + 1)) - np.log((b + 0.5) / (n0 + 1))
-    strong = np.flatnonzero((a >= SUPPORT) & (a / n1 >= LIFT * (b + 1) / n0))
+    total, rate = a + b, n1 / (n1 + n0)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        ratio = 2 * (np.where(a > 0, a * np.log(a / (total * rate)), 0) + np.where(b > 0, b * np.log(b / (total * (1 - rate))), 0))
+    sure = ratio > 2 * np.log(max(len(hashes), 1) / 0.1)
+    strong = np.flatnonzero(sure & (a >= PRECISION * total))
     strong = strong[np.lexsort((hashes[strong], -a[strong]))][:LEXICON_TERMS]
     lexicon = Table(hashes[strong], np.arange(len(strong)) % LEXICONS)
-    expected = (a + b) * n1 / (n1 + n0)
-    surprise = (a - expected) ** 2 / np.maximum(expected, 1e-9)
-    chosen = np.lexsort((hashes, -surprise))[:WEIGHTS]
-    chosen = chosen[surprise[chosen] > 3]
+    chosen = np.flatnonzero(sure)
+    chosen = chosen[np.lexsort((hashes[chosen], -ratio[chosen]))][:WEIGHTS]
     return lexicon, hashes[chosen], odds[chosen]
 
 
@@ -219,8 +256,8 @@ class LabelModel:
         known = gold >= 0
         said = (gold == 1).astype(float)
         self.said = np.array([((w * said)[known].sum() + 0.5) / (w[known].sum() + 10) for w in (clean, toxic)])
-        self.said[1] = max(self.said[1], 0.9)  # labels are seldom wrong
-        self.said[0] = min(self.said[0], 0.1)
+        self.said[1] = max(self.said[1], 0.98)  # labels are seldom wrong
+        self.said[0] = min(self.said[0], 0.005)
 
     def _share_weights(self, votes, counts, belief) -> None:
         """A voter's weight is 1 over the sum of its correlations within the classes."""
@@ -253,19 +290,25 @@ class LabelModel:
         return self._posterior((masks[:, None] >> np.arange(len(VOTERS))) & 1, gold)
 
 
-def _regression(rows: list[np.ndarray], masks: np.ndarray, belief: np.ndarray, n_terms: int, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """Weights of terms and votes and the intercept: penalised logistic loss against the posterior labels."""
+def _regression(
+    rows: list[np.ndarray], masks: np.ndarray, belief: np.ndarray, share: np.ndarray, start: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, float]:
+    """Weights of terms and votes and the intercept: penalised logistic loss against the posterior labels.
+
+    ``share`` weighs the texts; terms start at a tenth of their log odds.
+    """
+    n_terms, share = len(start), share / share.sum()
     votes = ((masks[:, None] >> np.arange(len(VOTERS))) & 1).astype(float)
     sizes = np.array([len(r) for r in rows])
     flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
     owner = np.repeat(np.arange(len(rows)), sizes)
     weights, by_vote = 0.1 * start, np.zeros(len(VOTERS))
-    rate = np.clip(belief.mean(), 1e-3, 1 - 1e-3)
+    rate = np.clip(belief @ share, 1e-3, 1 - 1e-3)
     base = float(np.log(rate / (1 - rate)))
     seen = [np.full(n_terms, 1e-8), np.full(len(VOTERS), 1e-8), 1e-8]
     for _ in range(STEPS):
         total = base + np.bincount(owner, weights[flat], len(rows)) + votes @ by_vote
-        error = (1 / (1 + np.exp(-np.clip(total, -30, 30))) - belief) / len(rows)
+        error = (1 / (1 + np.exp(-np.clip(total, -30, 30))) - belief) * share
         slopes = [np.bincount(flat, error[owner], n_terms) + 2e-6 * weights, error @ votes + 1e-5 * by_vote, error.sum()]
         seen = [s + d * d for s, d in zip(seen, slopes, strict=True)]
         weights = weights - 0.3 * slopes[0] / np.sqrt(seen[0])
@@ -304,7 +347,8 @@ def trained(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str =
     chosen = known.orderBy(F.xxhash64(id), id).limit(SAMPLE)
     sample = {r[0]: r[1] for r in chosen.collect()}
     ids, truth, terms = _sample_terms(docs, sample, id, text)
-    lexicon, hashes, odds = lexicons(truth, terms)
+    share = family_weights(terms)
+    lexicon, hashes, odds = lexicons(truth, terms, share)
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -325,7 +369,7 @@ def trained(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str =
     masks = np.array([votes[k] for k in ids], np.int64)
     belief = model.posterior(masks, np.where(truth > 0.5, 1, 0))
     rows = [np.unique(p[p >= 0]) for p in map(table.find, terms)]
-    return Scorer(lexicon, table, *_regression(rows, masks, belief, len(hashes), odds))
+    return Scorer(lexicon, table, *_regression(rows, masks, belief, share, odds))
 
 
 def score(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
