@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from larderflow.catalog import tables
 from larderflow.catalog.forecast_queries import BACKTEST, BOOST_FEATURES, MODELS, fitted, training
 from larderflow.catalog.registry import query, staged
+from larderflow.catalog.sql import PANEL
 from larderflow.functions import errors
 from larderflow.operators import evaluation, explain
 
@@ -151,6 +152,36 @@ def attributions(spark, sf_dir):
     return attributed(spark, sf_dir)
 
 
+@query(
+    "x01_background_size",
+    f"""{PANEL}, x as (select split, lag(sales, 28) over (partition by store_id, item_id order by date) lag_28 from panel)
+        select least(20, count(*))::bigint n_rows, {len(BOOST_FEATURES)} n_columns from x where lag_28 is not null and split = 'train'""",
+)
+def background_size(spark, sf_dir):
+    """The sample has its size, and each of its rows is a training row."""
+    sample, names = _background(spark, sf_dir), list(BOOST_FEATURES)
+    rows = training(spark, sf_dir).where("split = 'train'").select(*names)
+    inside = sample.join(rows.distinct(), names, "left_semi")
+    return inside.agg(F.count(F.lit(1)).alias("n_rows")).withColumn("n_columns", F.lit(len(sample.columns)))
+
+
+@query(
+    "x02_attributions_add_up",
+    f"""{PANEL}, x as (select split, lag(sales, 28) over (partition by store_id, item_id order by date) lag_28 from panel)
+        select count(*) n_rows, count(*) * {len(BOOST_FEATURES)} n_attributions, 0::bigint n_apart
+        from x where lag_28 is not null and split = 'test'""",
+)
+def attributions_add_up(spark, sf_dir):
+    """Base value and attributions of every row make up its prediction."""
+    by_row = attributed(spark, sf_dir).groupBy("store_id", "item_id", "date").agg(
+        F.count(F.lit(1)).alias("n"),
+        (F.max("base_value") + F.sum("attribution") - F.max("prediction")).alias("gap"),
+    )
+    return by_row.agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum("n").alias("n_attributions"), F.count_if(F.abs("gap") > 1e-6).alias("n_apart")
+    )
+
+
 @query("x03_global_importance")
 def global_importance(spark, sf_dir):
     return explain.global_importance(attributed(spark, sf_dir))

@@ -10,8 +10,8 @@ from larderflow.catalog import tables
 from larderflow.catalog.registry import query, staged
 from larderflow.catalog.sql import PANEL
 from larderflow.operators import baselines, boosting, scoring, sequences
-from larderflow.operators.evaluation import METRICS, metrics, pinball_by
-from larderflow.plans.features import training_features
+from larderflow.operators.evaluation import METRICS, comparison_table, metrics, pinball_by
+from larderflow.plans.features import feature_columns, training_features
 from larderflow.session import fresh_path
 from larderflow.settings import BoostingSettings, ForecastSettings
 from larderflow.sources import models, star
@@ -102,9 +102,7 @@ def seasonal_average(spark, sf_dir):
 
 
 BOOST = BoostingSettings(n_estimators=8, max_depth=5)
-BOOST_FEATURES = (
-    "lag_1", "lag_7", "lag_28", "rolling_mean_7", "rolling_mean_28", "rolling_std_28", "day_of_week", "price_relative",
-)
+BOOST_FEATURES = tuple(feature_columns())
 
 
 def training(spark, sf_dir):
@@ -166,6 +164,38 @@ def non_negative_predictions(spark, sf_dir):
     )
 
 
+@query(
+    "f06_every_row_is_predicted",
+    f"""{PANEL}, x as (select split, lag(sales, 28) over (partition by store_id, item_id order by date) lag_28 from panel)
+        select split, count(*) n_rows, count(*) n_distinct, 0::bigint n_unlike_target from x where lag_28 is not null group by 1""",
+)
+def every_row_is_predicted(spark, sf_dir):
+    """Each row once, with the target it came with."""
+    rows = training(spark, sf_dir)
+    target = rows.select(*KEYS, "date", F.col("sales").alias("_target"))
+    scored = boosting.predict(fitted(spark, sf_dir), rows).join(target, [*KEYS, "date"])
+    return scored.groupBy("split").agg(
+        F.count("y_pred").alias("n_rows"),
+        F.count_distinct(F.struct(*KEYS, "date")).alias("n_distinct"),
+        F.count_if(F.col("sales") != F.col("_target")).alias("n_unlike_target"),
+    )
+
+
+@query(
+    "f10_importance_total",
+    f"""{PANEL} select {len(BOOST_FEATURES)}::bigint n_features, 1.0::double total, 0::bigint n_outside
+        from panel having count(*) > 0""",
+)
+def importance_total(spark, sf_dir):
+    """Importances of all features are shares of 1."""
+    shares = boosting.feature_importance(fitted(spark, sf_dir), spark, len(BOOST_FEATURES))
+    return shares.agg(
+        F.count(F.lit(1)).alias("n_features"),
+        F.round(F.sum("importance"), 6).alias("total"),
+        F.count_if(~F.col("importance").between(0, 1)).alias("n_outside"),
+    )
+
+
 @query("f10_feature_importance")
 def feature_importance(spark, sf_dir):
     return boosting.feature_importance(fitted(spark, sf_dir), spark, 20)
@@ -329,6 +359,37 @@ def model_card(spark, sf_dir):
     return card
 
 
+@query(
+    "s11_saved_equals_fresh",
+    f"""{PANEL}, x as (select split, lag(sales, 28) over (partition by store_id, item_id order by date) lag_28 from panel)
+        select count(*) n_rows, 0::bigint n_different from x where lag_28 is not null and split = 'test'""",
+)
+def saved_equals_fresh(spark, sf_dir):
+    """A model read back predicts what the one in memory does."""
+    path, model = fresh_path(spark, "model"), fitted(spark, sf_dir)
+    models.save_model(model, path)
+    rows = training(spark, sf_dir).where("split = 'test'")
+    both = boosting.predict(models.load_model(path), boosting.predict(model, rows, "_fresh"))
+    return both.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(~F.col("y_pred").eqNullSafe(F.col("_fresh"))).alias("n_different"))
+
+
+@query(
+    "e07_with_learned_model",
+    f"""{PANEL}, x as (select split, lag(sales, 28) over (partition by store_id, item_id order by date) lag_28 from panel)
+        select unnest(['boosted_trees', 'moving_avg_7', 'naive', 'seasonal_naive']) model, count(*) n_rows, true scored
+        from x where lag_28 is not null and split = 'test'""",
+)
+def with_learned_model(spark, sf_dir):
+    """The learned model and one-day-ahead baselines scored on the same rows of the test period."""
+    rows = boosting.predict(fitted(spark, sf_dir), training(spark, sf_dir).where("split = 'test'"))
+    scores = {"boosted_trees": "y_pred", "naive": "lag_1", "seasonal_naive": "lag_7", "moving_avg_7": "rolling_mean_7"}
+    listed = F.array(*[F.struct(F.lit(m).alias("model"), F.col(c).cast("double").alias("y_pred")) for m, c in scores.items()])
+    long = rows.select(*KEYS, "date", F.col("sales").alias("y_true"), F.explode(listed).alias("_p"))
+    long = long.select(*KEYS, "date", "y_true", "_p.model", "_p.y_pred")
+    told = comparison_table(metrics(long), baseline="seasonal_naive").join(long.groupBy("model").agg(F.count("y_pred").alias("n_rows")), "model")
+    return told.select("model", "n_rows", (F.col("WMAPE") >= 0).alias("scored"))
+
+
 @query("s11_saved_model")
 def saved_model(spark, sf_dir):
     """Predictions of a saved and reloaded model."""
