@@ -199,8 +199,8 @@ def _style(name: str, attributes: str, sure: bool) -> tuple[str, float]:
         parts = _WORDS.findall(one)
         if name in ("html", "body") or (name in CONTENT and parts[-1:] and parts[-1] in SETTINGS):
             parts = parts if len(parts) == 1 else []
-        if parts and (parts[0] in APART_NAMES or parts[-1] in APART_NAMES):
-            prior = 0.0
+        if parts and {parts[0], parts[-1]} & APART_NAMES - ({"header"} if sure else frozenset()):
+            prior = 0.0  # the header of an article holds its title
     found = _DIGITS.sub("0", f"{name}.{'.'.join(sorted(set(names)))}"), prior
     if len(attributes) < 200 and len(_STYLES) < 50_000:
         _STYLES[key] = found

@@ -23,6 +23,7 @@ def test_main_text_of_odd_markup():
     assert plain('<p title="a>b" class=x>c</p><p title=\'>\'>d') == "c\nd"
     assert plain("<p>a <q") == "a" and plain("<textarea><p>x</p></textarea>y") == "y"
     assert plain("<div>" * 20_000 + "deep" + "</div>" * 20_000) == "deep"
+    assert plain("<div class=page-header>no</div><article><header class=entry-header><h1>t</h1></header>x</article>") == "t\nx"
     assert plain("<main>x<article class='comment-list'>no</article><article>y</article></main>") == "x\ny"
 
 
