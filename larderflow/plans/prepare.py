@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from larderflow.operators.fill import fill_prices
 from larderflow.operators.reshape import fill_events, join_calendar, join_prices, melt_sales, prepare_calendar
 from larderflow.operators.splits import with_split
+from larderflow.session import written
 from larderflow.settings import DataSettings
 
 
@@ -20,7 +21,8 @@ def prepare_panel(
 ) -> DataFrame:
     """Melt, join, fill and split; rows in no split are kept as ``outside``.
 
-    Nothing is computed or written here. Write the result, and build features from the written table.
+    Filling reads the merged table three times, two of them only keys and prices, so it is written once to the shared
+    folder; write the result too, and build features from the written table.
     """
-    merged = merge_tables(melt_sales(sales), calendar, prices)
+    merged = written(merge_tables(melt_sales(sales), calendar, prices), "merged")
     return with_split(fill_prices(merged), settings.train_end, settings.val_end, settings.test_end, drop_rest=False)
