@@ -17,6 +17,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,11 @@ from larderflow.session import written
 MARK = "▁"
 # Characters of a chunk; longer texts are cut.
 CHUNK = 1 << 16
-KNOWN_WORDS = 400_000
+# Words whose ids a task remembers, and as many of those used before them.
+KNOWN_WORDS = 100_000
+# Texts worked on at a time.
+ROWS = 256
+TABLE_BITS = 21
 State = tuple[int, str]  # how far the last piece reaches beyond the cut, and the piece
 
 
@@ -46,10 +51,115 @@ class Pieces:
         self.scores = {p: model.get_score(k) for p, k in self.ids.items()}
         self.longest = max(map(len, self.ids))
         self.bytes = {int(model.id_to_piece(k)[3:5], 16): k for k in range(size) if model.is_byte(k)}
-        self.texts = {k: p for p, k in self.ids.items()} | {k: "" for k in range(size) if model.is_control(k)}
-        self.values = {k: b for b, k in self.bytes.items()}
+        self.said = [b""] * size  # by id: the bytes it stands for; none for control pieces
+        for piece, k in self.ids.items():
+            self.said[k] = piece.replace(MARK, " ").encode()
+        for value, k in self.bytes.items():
+            self.said[k] = bytes([value])
         self._weights: dict[tuple[str, str], bool] = {}
         self._words: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, tuple[int, ...]] = {}
+        self._older: dict[str, tuple[int, ...]] = {}
+        self._prepare_merges()
+
+    def _prepare_merges(self) -> None:
+        """Arrays for merging many words at once: ids of characters, and an open hash table from pairs to their piece."""
+        self._letters = -2 - np.arange(0x110000, dtype=np.int32)  # a character without a piece: -2 less its code
+        for piece, k in self.ids.items():
+            if len(piece) == 1:
+                self._letters[ord(piece)] = k
+        order = {score: n for n, score in enumerate(sorted(set(self.scores.values())))}
+        self._ranks = np.full(len(self.said) + 1, -1, np.int32)  # the last is for no piece
+        for piece, k in self.ids.items():
+            self._ranks[k] = order[self.scores[piece]]
+        self._slots = np.full((1 << TABLE_BITS, 2), -1, np.int64)
+        for piece, k in self.ids.items():
+            for cut in range(1, len(piece)):
+                a, b = self.ids.get(piece[:cut]), self.ids.get(piece[cut:])
+                if a is not None and b is not None:
+                    slot = self._slot(a << 20 | b)
+                    while self._slots[slot, 0] >= 0:
+                        slot = (slot + 1) % (1 << TABLE_BITS)
+                    self._slots[slot] = a << 20 | b, k
+
+    @staticmethod
+    def _slot(key):
+        return (key * 0x9E3779B1 >> 7) & ((1 << TABLE_BITS) - 1)
+
+    def _merged_pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The piece that each pair merges to, -1 for none."""
+        key = np.where((left >= 0) & (right >= 0), left.astype(np.int64) << 20 | right, -2)
+        slot = self._slot(key)
+        held = self._slots[slot, 0]
+        odd = np.nonzero((held != key) & (held >= 0) & (key >= 0))
+        while len(odd[0]):  # taken by another pair: look on
+            slot[odd] = (slot[odd] + 1) % (1 << TABLE_BITS)
+            held[odd] = self._slots[slot[odd], 0]
+            again = (held[odd] != key[odd]) & (held[odd] >= 0)
+            odd = tuple(o[again] for o in odd)
+        return np.where(held == key, self._slots[slot, 1], -1).astype(np.int32)
+
+    def merged_words(self, words: list[str]) -> list[tuple[int, ...]]:
+        """Ids of many short words, merged side by side: in each round every word merges its best pair, ties from the left."""
+        sizes = np.array([len(w) for w in words])
+        letters = self._letters[np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)]
+        parts = np.full((len(words), sizes.max(initial=1) + 1), -1, np.int32)
+        parts[np.arange(parts.shape[1])[None] < sizes[:, None]] = letters
+        active = np.flatnonzero(sizes > 1)
+        columns = np.arange(parts.shape[1] - 1)
+        own = parts[active]
+        pairs = self._merged_pairs(own[:, :-1], own[:, 1:])
+        while len(active):
+            ranks = self._ranks[pairs]
+            best = ranks.argmax(1)
+            rows = np.flatnonzero(ranks[np.arange(len(best)), best] >= 0)
+            parts[active] = own
+            active, own, best, pairs = active[rows], own[rows], best[rows], pairs[rows]
+            at = np.arange(len(best))
+            own[at, best] = pairs[at, best]
+            source = columns[None] + (columns[None] > best[:, None])
+            own[:, :-1] = np.take_along_axis(own, source, 1)
+            own[:, -1] = -1
+            pairs[:, :-1] = np.take_along_axis(pairs, source[:, :-1], 1)
+            pairs[:, -1] = -1
+            before = np.maximum(best - 1, 0)  # only the pairs on both sides of the new piece are new
+            pairs[at, before] = self._merged_pairs(own[at, before], own[at, before + 1])
+            pairs[at, best] = self._merged_pairs(own[at, best], own[at, best + 1])
+        kept = (parts != -1).sum(1).tolist()
+        odd = (parts < -1).any(1).tolist()
+        out = []
+        for row, n, strange in zip(parts.tolist(), kept, odd, strict=True):
+            if strange:
+                spelt = [[k] if k >= 0 else [self.bytes[b] for b in chr(-2 - k).encode("utf-8", "surrogatepass")] for k in row[:n]]
+                out.append(tuple(k for some in spelt for k in some))
+            else:
+                out.append(tuple(row[:n]))
+        return out
+
+    def learn(self, spans: set[str]) -> None:
+        """Remember the ids of spans as ``encode_texts`` cuts them: words, those behind a line feed with it in front."""
+        if len(self.known) > KNOWN_WORDS:
+            self._older, self.known = self.known, {}
+        older = self._older
+        new = []
+        for s in spans.difference(self.known):
+            if s in older:  # words still in use stay known
+                self.known[s] = older[s]
+            else:
+                new.append(s)
+        feed = tuple(self.numbered(["\n"]))
+        lengths: dict[int, list[str]] = {}
+        for s in new:
+            lengths.setdefault(min(len(s), 25), []).append(s)
+        for length, some in lengths.items():
+            for start in range(0, len(some), 20_000):
+                piece = some[start : start + 20_000]
+                words = [s[1:] if s[0] == "\n" else MARK + s for s in piece]
+                ids = self.merged_words(words) if length < 25 else [self.word(w) for w in words]
+                self.known.update(zip(piece, ids, strict=True))
+        for s in new:
+            if s[0] == "\n":
+                self.known[s] = feed + self.known[s]
 
     def merged(self, text: str) -> list[str]:
         """Characters merged by highest score, ties from the left."""
@@ -151,6 +261,21 @@ def encode_text(pieces: Pieces, text: str) -> list[int]:
     return out
 
 
+def encode_texts(pieces: Pieces, texts: list[str]) -> list[np.ndarray]:
+    """Ids of several texts. Words that are new are merged together; a text with runs of spaces or marks goes by itself."""
+    cut: list[list[str] | None] = []
+    for text in texts:
+        spans = text.replace("\n", " \n").split(" ") if text and MARK not in text and "\n" not in pieces.ids else None
+        cut.append(None if spans is None or "" in spans else spans)
+    pieces.learn(set().union(*[c for c in cut if c]))
+    known = pieces.known
+    return [
+        np.array(encode_text(pieces, text), np.int32) if spans is None
+        else np.fromiter(chain.from_iterable(map(known.__getitem__, spans)), np.int32)
+        for text, spans in zip(texts, cut, strict=True)
+    ]
+
+
 class Chunk:
     """One chunk of a marked text with the characters a piece may reach to on either side."""
 
@@ -305,15 +430,17 @@ def encode(docs: DataFrame, model: str, id: str = "doc_id", text: str = "text",
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = pieces_of(model)
-        for batch in batches:
-            ids = [np.array(encode_text(pieces, t or ""), np.int32) for t in batch.column(1).to_pylist()]
-            n = len(ids)
-            flat = np.concatenate([np.zeros(0, np.int32), *ids])
-            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), pa.array(flat))
-            yield pa.record_batch(
-                [batch.column(0), batch.column(2), *[pa.array(np.full(n, v, np.int64)) for v in (1, 1, 0)], lists],
-                [id, "text_key", "copies", "chunks", "chunk", "ids"],
-            )
+        for whole_batch in batches:
+            for start in range(0, len(whole_batch), ROWS):
+                batch = whole_batch.slice(start, ROWS)
+                ids = encode_texts(pieces, [t or "" for t in batch.column(1).to_pylist()])
+                n = len(ids)
+                flat = np.concatenate([np.zeros(0, np.int32), *ids])
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), pa.array(flat))
+                yield pa.record_batch(
+                    [batch.column(0), batch.column(2), *[pa.array(np.full(n, v, np.int64)) for v in (1, 1, 0)], lists],
+                    [id, "text_key", "copies", "chunks", "chunk", "ids"],
+                )
 
     short = told.filter(~F.coalesce(giant, F.lit(False))).mapInArrow(whole, schema)
     return short.unionAll(_encode_giant(told.filter(giant), model, id, chunk))
@@ -383,14 +510,8 @@ def _encode_giant(told: DataFrame, model: str, id: str, size: int) -> DataFrame:
 
 def decode_ids(pieces: Pieces, ids: list[int], begins: bool = True) -> bytes:
     """The bytes that ids stand for; at the beginning of a text the mark put before it is left out."""
-    out = bytearray()
-    for k in ids:
-        value = pieces.values.get(k)
-        if value is not None:
-            out.append(value)
-        else:
-            out += pieces.texts[k].replace(MARK, " ").encode()
-    return bytes(out[1:] if begins and out[:1] == b" " else out)
+    out = b"".join([pieces.said[k] for k in ids])
+    return out[1:] if begins and out[:1] == b" " else out
 
 
 def decode(encoded: DataFrame, model: str, ids: str = "ids", chunk: str = "chunk") -> DataFrame:
@@ -403,10 +524,12 @@ def decode(encoded: DataFrame, model: str, ids: str = "ids", chunk: str = "chunk
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = pieces_of(model)
-        for batch in batches:
-            rows = zip(batch.column(place).to_pylist(), batch.column(at).to_pylist(), strict=True)
-            said = [decode_ids(pieces, found or [], k == 0) for k, found in rows]
-            yield pa.record_batch([*batch.columns, pa.array(said, pa.binary())], [*batch.schema.names, "bytes"])
+        for whole_batch in batches:
+            for start in range(0, len(whole_batch), ROWS):
+                batch = whole_batch.slice(start, ROWS)
+                rows = zip(batch.column(place).to_pylist(), batch.column(at), strict=True)
+                said = [decode_ids(pieces, found.values.to_numpy().tolist() if found.is_valid else [], k == 0) for k, found in rows]
+                yield pa.record_batch([*batch.columns, pa.array(said, pa.binary())], [*batch.schema.names, "bytes"])
 
     return encoded.mapInArrow(run, StructType([*encoded.schema.fields, StructField("bytes", BinaryType())]))
 

@@ -46,6 +46,15 @@ def test_ids_equal_the_library_whole_and_in_chunks(library):
         assert scan.decode_ids(pieces, ids).decode() == text
 
 
+def test_many_texts_at_once_equal_the_library(library, monkeypatch):
+    monkeypatch.setattr(scan, "KNOWN_WORDS", 300)
+    pieces = scan.Pieces(PIECES)
+    some = [*texts(7, 300), "", "a", " a", "a ", "a\nb", "a \n b", "\n", "\n\n", "a  b", "x▁y", "é①\n①é q", "z" * 60 + " y", "ab\n" * 40]
+    for start in range(0, len(some), 50):
+        part = some[start : start + 50]
+        assert [list(ids) for ids in scan.encode_texts(pieces, part)] == library.encode(part)
+
+
 def test_product_is_associative():
     rng = random.Random(2)
 
