@@ -6,8 +6,8 @@ into a leaf. A query goes through the tree by a priority queue of nodes ordered
 many leaves a query visits is calibrated: for some queries the true neighbours among all rows are found by brute force,
 and visits are widened until the mean share of them that lies in visited leaves reaches the target.
 
-A leaf is cut into tiles of bounded size and the queries that visit it into blocks, so a leaf that holds a third of all
-rows, or that every query visits, is spread over many tasks.
+A leaf is cut into tiles of bounded size and the queries that visit it come in blocks, one for each leaf and block, so a
+leaf that holds a third of all rows, or that every query visits, is spread over many tasks.
 """
 
 from __future__ import annotations
@@ -30,11 +30,11 @@ NEIGHBOURS = 20
 SAMPLE = 20_000
 BRANCHES = 8
 # Sampled rows in a leaf, about.
-LEAF = 48
+LEAF = 400
 ITERATIONS = 8
 # Queries compared with all rows to calibrate the visits.
 PROBES = 128
-RECALL = 0.97
+RECALL = 0.95
 TILE = 2048
 BLOCK = 256
 
@@ -248,13 +248,21 @@ class Index:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                leaves = [tree.visits(q, visits) for q in matrix(batch.column(1).to_pylist(), width)]
-                row = np.repeat(np.arange(len(leaves)), [len(x) for x in leaves])
-                taken = batch.take(pa.array(row))
-                yield pa.record_batch([pa.array([x for some in leaves for x in some], pa.int64()), *taken.columns], ["leaf", "id", "vector"])
-
-        asked = self.queries.dropDuplicates(["id"]).mapInArrow(run, "leaf long, id long, vector binary")
-        blocks = _tiles(written(asked, "asked"), BLOCK).select("leaf", F.col("ids").alias("query_ids"), F.col("vectors").alias("queries"))
+                for start in range(0, len(batch), BLOCK):
+                    piece = batch.slice(start, BLOCK)
+                    own, x = piece.column(0).to_numpy(), matrix(piece.column(1).to_pylist(), width)
+                    leaves = [tree.visits(q, visits) for q in x]
+                    row = np.repeat(np.arange(len(leaves)), [len(some) for some in leaves])
+                    leaf = np.array([k for some in leaves for k in some], np.int64)
+                    order = np.argsort(leaf, kind="stable")
+                    kinds, at = np.unique(leaf[order], return_index=True)
+                    parts = np.split(row[order], at[1:])
+                    yield pa.record_batch(
+                        [pa.array(kinds), pa.array([own[p].tobytes() for p in parts]), pa.array([x[p].tobytes() for p in parts])],
+                        ["leaf", "query_ids", "queries"],
+                    )
+
+        blocks = self.queries.dropDuplicates(["id"]).mapInArrow(run, "leaf long, query_ids binary, queries binary")
         met = _tiles(self.rows, TILE).join(blocks, "leaf").select("ids", "vectors", "query_ids", "queries")
         return _top(met.mapInArrow(_search(width, self.k), "query_id long, vec_id long, score double"), self.k)
 
