@@ -34,7 +34,7 @@ CHUNK = 1 << 16
 KNOWN_WORDS = 100_000
 # Texts worked on at a time.
 ROWS = 256
-TABLE_BITS = 21
+TABLE_BITS = 19
 State = tuple[int, str]  # how far the last piece reaches beyond the cut, and the piece
 
 
@@ -60,7 +60,7 @@ class Pieces:
         self._words: dict[str, tuple[int, ...]] = {}
         self.known: dict[str, tuple[int, ...]] = {}
         self._older: dict[str, tuple[int, ...]] = {}
-        self._prepare_merges()
+        self._slots: np.ndarray | None = None
 
     def _prepare_merges(self) -> None:
         """Arrays for merging many words at once: ids of characters, and an open hash table from pairs to their piece."""
@@ -72,7 +72,7 @@ class Pieces:
         self._ranks = np.full(len(self.said) + 1, -1, np.int32)  # the last is for no piece
         for piece, k in self.ids.items():
             self._ranks[k] = order[self.scores[piece]]
-        self._slots = np.full((1 << TABLE_BITS, 2), -1, np.int64)
+        self._slots = np.full((1 << TABLE_BITS, 2), -1, np.int64)  # a few times as many as pairs
         for piece, k in self.ids.items():
             for cut in range(1, len(piece)):
                 a, b = self.ids.get(piece[:cut]), self.ids.get(piece[cut:])
@@ -101,6 +101,8 @@ class Pieces:
 
     def merged_words(self, words: list[str]) -> list[tuple[int, ...]]:
         """Ids of many short words, merged side by side: in each round every word merges its best pair, ties from the left."""
+        if self._slots is None:
+            self._prepare_merges()
         sizes = np.array([len(w) for w in words])
         letters = self._letters[np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)]
         parts = np.full((len(words), sizes.max(initial=1) + 1), -1, np.int32)
