@@ -34,7 +34,7 @@ CHUNK = 1 << 16
 KNOWN_WORDS = 100_000
 # Texts worked on at a time.
 ROWS = 256
-TABLE_BITS = 19
+TABLE_BITS = 20
 State = tuple[int, str]  # how far the last piece reaches beyond the cut, and the piece
 
 
@@ -72,19 +72,25 @@ class Pieces:
         self._ranks = np.full(len(self.said) + 1, -1, np.int32)  # the last is for no piece
         for piece, k in self.ids.items():
             self._ranks[k] = order[self.scores[piece]]
-        self._slots = np.full((1 << TABLE_BITS, 2), -1, np.int64)  # a few times as many as pairs
+        pairs = {}
         for piece, k in self.ids.items():
             for cut in range(1, len(piece)):
                 a, b = self.ids.get(piece[:cut]), self.ids.get(piece[cut:])
                 if a is not None and b is not None:
-                    slot = self._slot(a << 20 | b)
-                    while self._slots[slot, 0] >= 0:
-                        slot = (slot + 1) % (1 << TABLE_BITS)
-                    self._slots[slot] = a << 20 | b, k
+                    pairs[a << 20 | b] = k
+        self._slots = np.full((1 << TABLE_BITS, 2), -1, np.int64)  # many times as many as pairs
+        taken: set[int] = set()
+        places = []
+        for slot in self._slot(np.fromiter(pairs, np.int64)).tolist():
+            while slot in taken:
+                slot = (slot + 1) % (1 << TABLE_BITS)
+            taken.add(slot)
+            places.append(slot)
+        self._slots[places, 0], self._slots[places, 1] = list(pairs), list(pairs.values())
 
     @staticmethod
-    def _slot(key):
-        return (key * 0x9E3779B1 >> 7) & ((1 << TABLE_BITS) - 1)
+    def _slot(key: np.ndarray) -> np.ndarray:
+        return (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
 
     def _merged_pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The piece that each pair merges to, -1 for none."""
