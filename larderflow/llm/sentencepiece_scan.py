@@ -431,6 +431,12 @@ def encode(docs: DataFrame, model: str, id: str = "doc_id", text: str = "text",
     with null ids are encoded like others. Ids equal those of the model's own library. Other columns are not read; an
     empty table gives no rows. ``model`` is the path of the model file, readable by all executors.
     """
+    short, giant = _encoded(docs, model, id, text, chunk)
+    return short.unionAll(giant)
+
+
+def _encoded(docs: DataFrame, model: str, id: str, text: str, chunk: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of texts that are one chunk, and those of longer ones."""
     kind = docs.schema[id].dataType.simpleString()
     told = docs.select(F.col(id), F.col(text).alias("_text"), F.md5(F.coalesce(F.col(text), F.lit(""))).alias("text_key"))
     giant = F.length("_text") > chunk
@@ -451,7 +457,7 @@ def encode(docs: DataFrame, model: str, id: str = "doc_id", text: str = "text",
                 )
 
     short = told.filter(~F.coalesce(giant, F.lit(False))).mapInArrow(whole, schema)
-    return short.unionAll(_encode_giant(told.filter(giant), model, id, chunk))
+    return short, _encode_giant(told.filter(giant), model, id, chunk)
 
 
 def _encode_giant(told: DataFrame, model: str, id: str, size: int) -> DataFrame:
@@ -545,13 +551,13 @@ def decode(encoded: DataFrame, model: str, ids: str = "ids", chunk: str = "chunk
 def round_trips(docs: DataFrame, model: str, id: str = "doc_id", text: str = "text", chunk: int = CHUNK) -> DataFrame:
     """One row per row of ``docs``: id, ``n_tokens``, ``ids_hash`` (of all ids in order) and ``round_trip``, whether decoding
     the ids gives the text again (not so for texts that hold a white space mark). See ``encode`` for odd rows."""
-    rows = decode(encode(docs, model, id, text, chunk), model)
+    whole, cut = (decode(rows, model) for rows in _encoded(docs, model, id, text, chunk))  # each text is encoded once
     n, hashed = F.size("ids").cast("long"), F.xxhash64("ids")
-    short = rows.filter("chunks = 1").select(
+    short = whole.select(
         id, n.alias("n_tokens"), hashed.alias("ids_hash"), (F.md5("bytes") == F.col("text_key")).alias("round_trip"), "copies"
     )
     parts = F.array_sort(F.collect_list(F.struct("chunk", F.col("bytes").alias("said"), hashed.alias("hashed"))))
-    long = rows.filter("chunks > 1").groupBy(id, "text_key", "copies").agg(F.sum(n).alias("n_tokens"), parts.alias("parts"))
+    long = cut.groupBy(id, "text_key", "copies").agg(F.sum(n).alias("n_tokens"), parts.alias("parts"))
     said = F.aggregate("parts", F.lit(b""), lambda a, p: F.concat(a, p.said))
     long = long.select(
         id, "n_tokens", F.xxhash64("parts.hashed").alias("ids_hash"), (F.md5(said) == F.col("text_key")).alias("round_trip"), "copies"
