@@ -7,7 +7,10 @@ one-line notices. Only DataFrame functions are used.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
+from importlib.resources import files
+from itertools import product
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,53 +65,166 @@ _ISC_DISCLAIMER = (
     "ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF "
     "THIS SOFTWARE."
 )
-# Texts of licences and one-line notices, by SPDX name. A licence may have several texts.
+_MIT = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+    'documentation files (the "Software"), to deal in the Software without restriction, including without limitation the '
+    "rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit "
+    "persons to whom the Software is furnished to do so, subject to the following conditions:\nThe above copyright notice and "
+    "this permission notice shall be included in all copies or substantial portions of the Software.\n" + _DISCLAIMER
+)
+_ISC = (
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
+    "provided that the above copyright notice and this permission notice appear in all copies.\n" + _ISC_DISCLAIMER
+)
+_0BSD = (
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.\n"
+    + _ISC_DISCLAIMER
+)
+_BSD_DISCLAIMER = (
+    'THIS SOFTWARE IS PROVIDED BY THE {by} AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT '
+    "LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT "
+    "SHALL THE {of} OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL "
+    "DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR "
+    "BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT "
+    "(INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE "
+    "POSSIBILITY OF SUCH DAMAGE."
+)
+
+
+def _titled(titles: tuple[str, ...], *texts: str) -> tuple[str, ...]:
+    """Each text without a title and under each of its usual ones."""
+    return tuple(f"{title}\n{text}" if title else text for title, text in product(("", *titles), texts))
+
+
+def _whole(name: str, *cuts: str, heads: int = 0) -> tuple[str, ...]:
+    """The text in the file of that name from line ``heads`` on, and, for each of ``cuts``, what stands before that line."""
+    lines = files("larderflow.llm").joinpath("licences", f"{name}.txt").read_text("utf-8").split("\n")[heads:]
+    ends = [len(lines), *(next(k for k, line in enumerate(lines) if line.strip().startswith(cut)) for cut in cuts)]
+    return tuple("\n".join(lines[:end]) for end in ends)
+
+
+def _bsd(clauses: int) -> tuple[str, ...]:
+    """With numbers or bullets, and the wordings in use of the third clause and of who disclaims."""
+    given = (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+        "following conditions are met:",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following "
+        "disclaimer in the documentation and/or other materials provided with the distribution.",
+        "Neither the name of {whose} nor the names of its contributors may be used to endorse or promote products derived from "
+        "this software without specific prior written permission.",
+    )
+    wordings = [("COPYRIGHT HOLDERS", "COPYRIGHT HOLDER", "the copyright holder"), ("COPYRIGHT HOLDERS", "COPYRIGHT HOLDERS", "the copyright holder")]
+    wordings += [("REGENTS", "REGENTS", "the University")] if clauses == 3 else [("AUTHOR", "AUTHOR", "")]
+    out = []
+    for (by, of, whose), marks in product(wordings, (("1.", "2.", "3."), ("*", "*", "*"))):
+        listed = [f"{mark} {clause}" for mark, clause in zip(marks, given[1 : clauses + 1], strict=False)]
+        out.append("\n".join([given[0], *listed, _BSD_DISCLAIMER]).format(by=by, of=of, whose=whose))
+    return tuple(out)
+
+
+def _gpl2() -> tuple[str, ...]:
+    """With the addresses that the Free Software Foundation has had, with and without what stands after the terms."""
+    told = _whole("GPL-2.0", "How to Apply These Terms", heads=3)
+    new, old = "51 Franklin Street, Fifth Floor, Boston, MA 02110-1301", "59 Temple Place, Suite 330, Boston, MA  02111-1307"
+    return (*told, *(t.replace(new, f"{new},") for t in told), *(t.replace(new, old) for t in told), *(t.replace(f" {new} USA\n", "", 1) for t in told[1:]))
+
+
+def _creative_commons(name: str) -> tuple[str, ...]:
+    """With and without the words about the licence before and after it."""
+    whole = _whole(name, heads=1)[0]
+    bare = re.sub(r"(?s)^.*?\n(?=Creative Commons Attribution[^\n]*Public\s+License\n)", "", whole)
+    return tuple(t for some in (whole, bare) for t in (some, re.sub(r"(?s)\n=+\s+Creative Commons is not a party.*", "", some)))
+
+
+# Texts of licences and one-line notices, by SPDX name. A licence may have several texts. CC-BY-NC-4.0 has no
+# whole text here; ``known_digests`` takes other texts as well.
 LICENCES: Mapping[str, tuple[str, ...]] = {
     "Apache-2.0": (
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the \"License\").",
         "Released under the Apache License 2.0.",
         "SPDX-License-Identifier: Apache-2.0",
+        *_titled(
+            ("Apache License\nVersion 2.0, January 2004\nhttp://www.apache.org/licenses/", "Apache License\nVersion 2.0, January 2004"),
+            *_whole("Apache-2.0", "APPENDIX: How to apply", "END OF TERMS", heads=4),
+        ),
     ),
     "MIT": (
         "Released under the MIT License.",
         "Licensed under the MIT License.",
         "This project is licensed under the MIT License.",
         "SPDX-License-Identifier: MIT",
-        "MIT License\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
-        'documentation files (the "Software"), to deal in the Software without restriction, including without limitation the '
-        "rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit "
-        "persons to whom the Software is furnished to do so, subject to the following conditions:\nThe above copyright notice and "
-        "this permission notice shall be included in all copies or substantial portions of the Software.\n" + _DISCLAIMER,
+        *_titled(("The MIT License", "The MIT License (MIT)", "MIT License (MIT)"), _MIT),
+        "MIT License\n" + _MIT,
     ),
     "ISC": (
         "SPDX-License-Identifier: ISC",
-        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
-        "provided that the above copyright notice and this permission notice appear in all copies.\n" + _ISC_DISCLAIMER,
+        *_titled(("ISC License", "The ISC License", "ISC License (ISC)"), _ISC, _ISC.replace("and/or", "and")),
     ),
     "0BSD": (
         "SPDX-License-Identifier: 0BSD",
-        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.\n"
-        + _ISC_DISCLAIMER,
+        *_titled(("BSD Zero Clause License", "Zero-Clause BSD", "Zero-Clause BSD License", "BSD Zero Clause License (0BSD)", "Zero-Clause BSD License (0BSD)"), _0BSD),
+    ),
+    "BSD-3-Clause": (
+        "Licensed under the BSD 3-Clause License.",
+        "SPDX-License-Identifier: BSD-3-Clause",
+        *_titled(
+            ("BSD 3-Clause License", "The BSD 3-Clause License", "The 3-Clause BSD License", "3-Clause BSD License", "New BSD License", "BSD License",
+             'BSD 3-Clause "New" or "Revised" License', "Modified BSD License"),
+            *_bsd(3),
+        ),
+    ),
+    "BSD-2-Clause": (
+        "Licensed under the BSD 2-Clause License.",
+        "SPDX-License-Identifier: BSD-2-Clause",
+        *_titled(
+            ("BSD 2-Clause License", "The BSD 2-Clause License", "The 2-Clause BSD License", "2-Clause BSD License", "Simplified BSD License",
+             'BSD 2-Clause "Simplified" License', "BSD License"),
+            *_bsd(2),
+        ),
     ),
-    "BSD-3-Clause": ("Licensed under the BSD 3-Clause License.", "SPDX-License-Identifier: BSD-3-Clause"),
-    "BSD-2-Clause": ("Licensed under the BSD 2-Clause License.", "SPDX-License-Identifier: BSD-2-Clause"),
     "GPL-3.0": (
         "This work is licensed under the GNU General Public License, version 3.",
         "Licensed under the GNU General Public License, version 3.",
         "SPDX-License-Identifier: GPL-3.0-only",
+        *_titled(("GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007",), *_whole("GPL-3.0", "How to Apply These Terms", heads=3)),
     ),
     "GPL-2.0": (
         "This work is licensed under the GNU General Public License, version 2.",
         "Licensed under the GNU General Public License, version 2.",
         "SPDX-License-Identifier: GPL-2.0-only",
+        *_titled(("GNU GENERAL PUBLIC LICENSE\nVersion 2, June 1991",), *_gpl2()),
+    ),
+    "MPL-2.0": (
+        "This work is licensed under the Mozilla Public License, version 2.0.",
+        "SPDX-License-Identifier: MPL-2.0",
+        *_titled(("Mozilla Public License Version 2.0",), *_whole("MPL-2.0", "Exhibit A - Source", heads=2)),
+    ),
+    "CC-BY-4.0": (
+        "Licensed under CC BY 4.0.",
+        "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+        *_titled(("Attribution 4.0 International", "Creative Commons Attribution 4.0 International"), *_creative_commons("CC-BY-4.0")),
+    ),
+    "CC-BY-SA-4.0": (
+        "Licensed under CC BY-SA 4.0.",
+        *_titled(
+            ("Attribution-ShareAlike 4.0 International", "Creative Commons Attribution-ShareAlike 4.0 International"), *_creative_commons("CC-BY-SA-4.0")
+        ),
     ),
-    "MPL-2.0": ("This work is licensed under the Mozilla Public License, version 2.0.", "SPDX-License-Identifier: MPL-2.0"),
-    "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.",),
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.",),
-    "CC0-1.0": ("Released under CC0 1.0.", "SPDX-License-Identifier: CC0-1.0"),
-    "Unlicense": ("This is free and unencumbered software released into the public domain.",),
+    "CC0-1.0": (
+        "Released under CC0 1.0.",
+        "SPDX-License-Identifier: CC0-1.0",
+        *_titled(
+            ("CC0 1.0 Universal", "Creative Commons Legal Code\nCC0 1.0 Universal", "Creative Commons CC0 1.0 Universal"),
+            *_whole("CC0-1.0", heads=4), *_whole("CC0-1.0", heads=13),
+        ),
+    ),
+    "Unlicense": (
+        "This is free and unencumbered software released into the public domain.",
+        *_titled(("The Unlicense", "Unlicense"), *_whole("Unlicense"), *_whole("Unlicense", "For more information")),
+    ),
 }
 
 
@@ -130,11 +246,16 @@ def _spelt(line: Column) -> Column:
 
 
 def known_digests(spark: SparkSession, licences: Mapping[str, tuple[str, ...]] = LICENCES) -> DataFrame:
-    """(digest, licence), each digest once; of two licences with one text the first by name counts."""
+    """(digest, licence), each digest once; of two licences with one text the first by name counts.
+
+    The digests are taken once, by the expressions that the documents go through, so no plan carries whole texts along.
+    """
     rows = [F.struct(F.lit(name).alias("licence"), F.lit(text).alias("text")) for name, texts in licences.items() for text in texts]
     told = spark.range(1).select(F.inline(F.array(*rows)))
     digest = F.md5(F.array_join(canonical_lines("text"), " "))
-    return told.select(digest.alias("digest"), "licence").groupBy("digest").agg(F.min("licence").alias("licence"))
+    taken = told.select(digest.alias("digest"), "licence").groupBy("digest").agg(F.min("licence").alias("licence")).collect()
+    pairs = [F.struct(F.lit(r.digest).alias("digest"), F.lit(r.licence).alias("licence")) for r in sorted(taken)]
+    return spark.range(1).select(F.inline(F.array(*pairs)))
 
 
 def scan(docs: DataFrame, known: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:

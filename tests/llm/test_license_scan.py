@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+from importlib.resources import files
+
 from larderflow.llm import license_scan
 
 MIT = license_scan.LICENCES["MIT"][-1]
@@ -32,3 +34,25 @@ def test_native_plan(spark):
     docs = spark.createDataFrame([(1, MIT)], "doc_id long, text string").selectExpr("*")
     plan = license_scan.scan(docs, license_scan.known_digests(spark))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def licences_of(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [r.licence for r in sorted(license_scan.scan(docs, license_scan.known_digests(spark)).collect())]
+
+
+def test_entire_texts_with_and_without_titles(spark):
+    told = {f.name.removesuffix(".txt"): f.read_text("utf-8") for f in files("larderflow.llm").joinpath("licences").iterdir()}
+    assert set(told) == {"Apache-2.0", "GPL-2.0", "GPL-3.0", "MPL-2.0", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "Unlicense"}
+    assert min(len(set(t.split())) for t in told.values()) > 100
+    bare = MIT.removeprefix("MIT License\n")
+    isc = next(t for t in license_scan.LICENCES["ISC"] if t.startswith("Permission"))
+    zero = next(t for t in license_scan.LICENCES["0BSD"] if t.startswith("Permission"))
+    texts = [*told.items(), ("MIT", bare), ("MIT", "The MIT License (MIT)\n\nCopyright (c) 2020 A\n\n" + bare), ("ISC", isc), ("0BSD", zero)]
+    texts += [("ISC", "ISC License\n\nCopyright 2020 A\n\n" + isc), ("0BSD", "BSD Zero Clause License\n\n" + zero)]
+    texts += [("GPL-3.0", told["GPL-3.0"].split("How to Apply")[0]), ("Apache-2.0", told["Apache-2.0"].split("APPENDIX")[0])]
+    for name, n in (("BSD-3-Clause", 3), ("BSD-2-Clause", 2)):
+        body = next(t for t in license_scan.LICENCES[name] if t.startswith("Redistribution"))
+        assert f"{n}. " in body and f"{n + 1}. " not in body
+        texts += [(name, body), (name, body.replace("1.", "*").replace("2.", "*").replace("3.", "*")), (name, f"{name[:3]} {n}-Clause License\n\n" + body)]
+    assert licences_of(spark, [t for _, t in texts]) == [name for name, _ in texts]
