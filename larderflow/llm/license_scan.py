@@ -1,6 +1,6 @@
 """Licence scan: texts are brought to one canonical form, and its digest is looked up among those of known licences.
 
-Canonical form: A-Z in lower case, copyright lines dropped, equivalent spellings made one, everything but letters and
+Canonical form: A-Z in lower case, copyright notices dropped, equivalent spellings made one, everything but letters and
 digits turned into single spaces. Whole texts are looked up, and each line of a text as a text of its own, which finds
 one-line notices. Only DataFrame functions are used.
 """
@@ -16,21 +16,52 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-COPYRIGHT = r"(^|\n)[ \t]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
+# Words that follow "copyright" or, in a list, "(c)" in running text; other words there are names.
+PROSE = (
+    "a about above accompany act acts additional after against all also an and any applicable applies are as assign at attribution be because "
+    "before belongs by can cannot cause certain claim claims clearance complete comply conditions convey copy covered disclaimer disclaimers "
+    "distribute doctrine doctrines do does each either ensure every except exceptions exclusively exists expires for from give grant grants has have holder "
+    "holders if in include includes including infringement infringements inform information interest interests into is it its keep law laws "
+    "legislation libraries license licensed licensee licenses licensing licensor limit limitation line lines make management marks material "
+    "materials may means must neither no nor not notice notices of offer office on or other otherwise owned owner owners ownership patent "
+    "permission permits policy prevent property protected protection provide provisions publish registration remains reproduce resulting "
+    "retain right rights section sections shall should similar statement statements status subsist such term terms than that the then there these "
+    "this those to trademark treaties treaty under unless use violation waiver was when where whether which who will with within without work "
+    "works would you your licence licences licenced licencee"
+).split()
+
+
+def _not_among(words: list[str]) -> str:
+    """A pattern of a word of a-z that is none of ``words``, without looking ahead; empty words stand for an end here."""
+    first = sorted({w[0] for w in words if w})
+    others = "".join(c for c in LOWER if c not in first)
+    parts = [] if "" in words else [r"\b"]
+    parts += [f"[{others}][a-z]*\\b"] if others else []
+    return f"(?:{'|'.join(parts + [c + _not_among([w[1:] for w in words if w[:1] == c]) for c in first])})"
+
+
+_NAME = rf"(?:[\x{{C0}}-\x{{1FFF}}]|{_not_among([*PROSE, ''])}|the [^\n]*\b(?:authors|contributors|developers|foundation|project|regents|team|university)\b)"
+# A notice: the word or sign, and then a sign, a year, a blank to fill in or a name; or the reservation of rights as a sentence.
+COPYRIGHT = (
+    r"(^|\n)[ \t]*(?:(?:copyright[ \t]*:?[ \t]*(?:\(c\)|©|&copy;|[0-9\[<{])|(?:\(c\)|©)[ \t]*(?:copyright\b|[0-9\[<{])"
+    rf"|(?:copyright(?:[ \t]*:[ \t]*|[ \t]+)|(?:\(c\)|©)[ \t]*){_NAME}|all rights reserved[ \t]*[.,;!])[^\n]*|all rights reserved[ \t]*(?m:$))"
+)
 PUNCTUATION = r"[\x00-\x09\x0B-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F\x{A0}-\x{BF}\x{2010}-\x{2027}\x{2030}-\x{205E}]+"
-# Spellings that licence texts use for the same word.
+# Spellings that licence texts use for the same word. What is written as one word or as two becomes two, and no
+# pair has two words on its left, so the form of a text does not depend on where its lines are broken.
 SPELLINGS = (
     ("licence", "license"),
     ("licenced", "licensed"),
-    ("sublicence", "sublicense"),
-    ("sub license", "sublicense"),
+    ("sublicence", "sub license"),
+    ("sublicense", "sub license"),
     ("acknowledgement", "acknowledgment"),
     ("analogue", "analog"),
     ("authorisation", "authorization"),
     ("authorised", "authorized"),
     ("cancelation", "cancellation"),
     ("centre", "center"),
-    ("copyright owner", "copyright holder"),
+    ("owner", "holder"),
+    ("owners", "holders"),
     ("favour", "favor"),
     ("fulfilment", "fulfillment"),
     ("initialise", "initialize"),
@@ -38,7 +69,7 @@ SPELLINGS = (
     ("labour", "labor"),
     ("merchantibility", "merchantability"),
     ("modelling", "modeling"),
-    ("non commercial", "noncommercial"),
+    ("noncommercial", "non commercial"),
     ("organisation", "organization"),
     ("organisations", "organizations"),
     ("practise", "practice"),
@@ -48,7 +79,7 @@ SPELLINGS = (
     ("utilisation", "utilization"),
     ("while", "whilst"),
     ("wilful", "willful"),
-    ("per cent", "percent"),
+    ("percent", "per cent"),
     ("https", "http"),
 )
 
@@ -262,7 +293,7 @@ def scan(docs: DataFrame, known: DataFrame, id: str = "doc_id", text: str = "tex
     """One row per row of ``docs``: id, ``digest`` of the whole canonical text, ``licence`` it is the text of (else null),
     ``line_licences`` (names, sorted, joined by commas; null if no line is a known text) and ``n_lines`` of such lines.
 
-    A null or empty text, or one of copyright lines and punctuation only, has the digest of the empty text and no licence.
+    A null or empty text, or one of copyright notices and punctuation only, has the digest of the empty text and no licence.
     Rows with null ids and repeated rows all come back. Other columns are not read; an empty table gives no rows.
 
     Lines are grouped by the digest of the text they stand in, so copies are counted once and joined back; ``known`` may be

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import re
+import textwrap
 from importlib.resources import files
 
 from larderflow.llm import license_scan
@@ -56,3 +58,35 @@ def test_entire_texts_with_and_without_titles(spark):
         assert f"{n}. " in body and f"{n + 1}. " not in body
         texts += [(name, body), (name, body.replace("1.", "*").replace("2.", "*").replace("3.", "*")), (name, f"{name[:3]} {n}-Clause License\n\n" + body)]
     assert licences_of(spark, [t for _, t in texts]) == [name for name, _ in texts]
+
+
+def wrapped(text, width):
+    """Paragraphs at another width; the notices at the head of the text stay lines of their own."""
+    notice = r"(?m)^ *(Copyright (?:\(C\)|\[).*)$"
+    parts = re.split(r"\n\s*\n", re.sub(notice, r"\n\n\1\n\n", text))
+    return "\n\n".join(p if re.fullmatch(notice, p) else textwrap.fill(" ".join(p.split()), width, break_on_hyphens=False, break_long_words=False) for p in parts)
+
+
+def test_texts_wrapped_at_other_widths(spark):
+    texts = []
+    for f in files("larderflow.llm").joinpath("licences").iterdir():
+        terms = f.read_text("utf-8").split("How to Apply These")[0]  # the GPL shows notices as examples after its terms
+        texts += [(f.name.removesuffix(".txt"), wrapped(terms, width)) for width in (24, 57, 63, 100)]
+    for name in ("MIT", "ISC", "0BSD", "BSD-2-Clause", "BSD-3-Clause"):
+        texts += [(name, wrapped(license_scan.LICENCES[name][-1], width)) for width in range(20, 140, 7)]
+    assert licences_of(spark, [t for _, t in texts]) == [name for name, _ in texts]
+
+
+def test_only_notices_are_dropped(spark):
+    notices = ("Copyright (c) 2020 A", "copyright 2021", "\t(C) 2020 B", "© Acme", "Copyright [yyyy] [name]", "Copyright: Acme Inc.", "All Rights Reserved",
+               "All rights reserved. No more", "Copyright The Foo Authors", "(c) Others")
+    prose = ("copyright holders be liable", "copyright license to reproduce", "(c) You must retain", "copyright", "copyright holder.",
+             "all rights reserved by the licensor", "(c) under Patent Claims", "copyright the software, and", "copyright--then that use")
+    same = (("copyright\nowner", "copyright holder"), ("non\ncommercial", "Noncommercial"), ("sub\nlicence", "sublicense"), ("per\ncent", "percent"))
+    docs = [(k, "x\n" + t + "\ny") for k, t in enumerate(notices + prose)] + [(100 + k, t) for k, pair in enumerate(same) for t in pair]
+    docs += [(200, "\n".join(["x", *notices, *notices, "y"])), (300, "x y")]
+    found = license_scan.scan(spark.createDataFrame(docs, "doc_id long, text string"), license_scan.known_digests(spark)).collect()
+    digest = {k: {r.digest for r in found if r.doc_id == k} for k, _ in docs}
+    for k, t in enumerate(notices + prose):
+        assert (digest[k] == digest[300]) == (t in notices), t
+    assert digest[200] == digest[300] and all(len(digest[100 + k]) == 1 for k in range(len(same)))
