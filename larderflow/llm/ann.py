@@ -4,7 +4,8 @@ Vectors are given one more component, sqrt(M^2 - |x|^2) with M the greatest norm
 the nearest vector is the one of the largest inner product. The tree is fitted on a bounded sample, but every row is put
 into a leaf. A query goes through the tree by a priority queue of nodes ordered by the distance of their centres. How
 many leaves a query visits is calibrated: for some queries the true neighbours among all rows are found by brute force,
-and visits are widened until the mean share of them that lies in visited leaves reaches the target.
+and visits are widened until the mean share of them that lies in visited leaves reaches the target. A query whose leaves
+hold fewer rows than it has to find goes on to further leaves, so it gets all its neighbours wherever it lies.
 
 A leaf is cut into tiles of bounded size and the queries that visit it come in blocks, one for each leaf and block, so a
 leaf that holds a third of all rows, or that every query visits, is spread over many tasks.
@@ -64,14 +65,15 @@ class Tree:
                 a, n = self.first[parent], self.children[parent]
                 node[rows] = a + _nearest(lifted[rows], self.centres[a : a + n])
 
-    def visits(self, query: np.ndarray, n_leaves: int) -> list[int]:
-        """The first leaves that a query reaches, best bin first."""
+    def visits(self, query: np.ndarray, n_leaves: int, rows: np.ndarray | None = None, least: int = 0) -> list[int]:
+        """The first leaves that a query reaches, best bin first, and further ones until they hold ``least`` of ``rows``."""
         lifted = np.append(query, 0.0)
-        queue, out = [(0.0, 0)], []
-        while queue and len(out) < n_leaves:
+        queue, out, held = [(0.0, 0)], [], 0
+        while queue and (len(out) < n_leaves or (rows is not None and held < least)):
             _, node = heapq.heappop(queue)
             if not self.children[node]:
                 out.append(node)
+                held += 0 if rows is None else int(rows[node])
                 continue
             a, n = int(self.first[node]), int(self.children[node])
             apart = self.centres[a : a + n] - lifted
@@ -202,6 +204,10 @@ class Index:
                 yield pa.record_batch([pa.array(leaf), *batch.columns], ["leaf", *batch.schema.names])
 
         self.rows = written(rows.mapInArrow(placed, "leaf long, id long, vector binary"), "leaves")
+        # Rows that any query finds in a leaf, at least: rows that share an id may all be its own, here as in other leaves.
+        self.held = np.zeros(len(tree.centres), np.int64)
+        for r in self.rows.dropDuplicates(["leaf", "id"]).groupBy("leaf").count().collect():
+            self.held[r.leaf] = r["count"] - 1
         probes = self.queries.orderBy(*order).limit(PROBES).collect()
         self.visits, self.measured = self._calibrated([(r.id, r.vector) for r in probes], recall)
 
@@ -243,15 +249,15 @@ class Index:
         return visits, float((needed <= visits).mean())
 
     def search(self) -> DataFrame:
-        """(query_id, rank, vec_id, score) of the best rows in the visited leaves."""
-        tree, visits, width = self.tree, self.visits, self.width
+        """(query_id, rank, vec_id, score) of the best rows in the visited leaves, which hold k other rows if there are so many."""
+        tree, visits, width, held, least = self.tree, self.visits, self.width, self.held, self.k
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for start in range(0, len(batch), BLOCK):
                     piece = batch.slice(start, BLOCK)
                     own, x = piece.column(0).to_numpy(), matrix(piece.column(1).to_pylist(), width)
-                    leaves = [tree.visits(q, visits) for q in x]
+                    leaves = [tree.visits(q, visits, held, least) for q in x]
                     row = np.repeat(np.arange(len(leaves)), [len(some) for some in leaves])
                     leaf = np.array([k for some in leaves for k in some], np.int64)
                     order = np.argsort(leaf, kind="stable")

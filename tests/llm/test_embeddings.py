@@ -94,6 +94,17 @@ def test_search_ties_and_odd_rows(spark):
     assert {(r.query_id, r.vec_id) for r in few} <= {(40, 41), (40, 43)}
 
 
+def test_a_small_leaf_still_gives_all_neighbours(spark, monkeypatch):
+    """A cluster of a few rows beside large ones, and an id that stands in its leaves very often."""
+    monkeypatch.setattr(ann, "LEAF", 50)
+    monkeypatch.setattr(ann, "PROBES", 10)
+    rng = np.random.default_rng(6)
+    rows = [(k, (np.eye(4)[k % 3] * 10 + rng.normal(size=4) * 0.1).tolist(), 1) for k in range(1, 1200)]
+    rows += [(10_000 + 20 * k, [0.0, 0.0, 0.0, -10.0 - 0.01 * k], 1) for k in range(5)] + [(20_000, [0.0, 0.0, -10.0, 0.0], 1)] * 30
+    found = ann.search(table(spark, rows), F.col("id") % 20 == 0, recall=0.5).groupBy("query_id").count().collect()
+    assert {r.query_id for r in found} >= {10_000, 10_080, 20_000} and {r["count"] for r in found} == {20}
+
+
 def test_search_reaches_recall(spark):
     data = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     found = ann.search(data, F.col("id") % 20 == 0).collect()
