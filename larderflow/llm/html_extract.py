@@ -9,7 +9,9 @@ its pages show there. The importance of a node is
 Diversity is the entropy of what the pages show, in units of the logarithm of their number: 0 if all show the same, 1 if
 all differ. The prior tells what the style itself says: 0 for styles named as menus, adverts, forms, comments and the
 like, whose wording may differ on every page and so looks important by entropy; 1 for others. Content styles (article,
-main) and all that stands in them without such a name are not open to doubt: their importance is 1. A node that fewer
+main) and all that stands in them without such a name are not open to doubt: their importance is 1. There, everyday words
+such as "discussion" or "related" only make a branch open to doubt, so that the tree decides, and names of headings and
+sections that are made of their wording do not even do that. A node that fewer
 than ``LEAST_PAGES`` different pages of the host show keeps its prior. Branches below ``THRESHOLD`` are cut from each
 page; the text of the rest is the page's main text.
 """
@@ -56,7 +58,7 @@ CLOSED_BY = {
 }
 # Elements that are never main text, and those that are not outside of an article.
 APART = frozenset(
-    "aside audio button canvas datalist dialog footer form head iframe input label math menu nav noscript object search select "
+    "aside audio button canvas datalist dialog footer form head iframe input label menu nav noscript object search select "
     "svg template textarea video".split()
 )
 CONTENT = frozenset("article main".split())
@@ -69,6 +71,12 @@ APART_NAMES = frozenset(
     "related recommended recommendations comment comments commentlist reply replies respond disqus discussion widget widgets "
     "pagination pager skip copyright legal disclaimer complementary contentinfo form".split()
 )
+# Of these, words that also name parts of articles: in a content style they leave it to the tree.
+EVERYDAY_NAMES = frozenset(
+    "discussion related search legal social form notice notices copyright menu menus share sharing reply replies respond register "
+    "navigation navigator promotion alert notification consent recommended recommendations disclaimer subscription rail skip".split()
+)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 # Names of articles that end so tell how the page is set up, as in "comments-open".
 SETTINGS = frozenset("open closed enabled disabled on off".split())
 
@@ -84,12 +92,13 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 class Page:
     """The nodes of a page in the order they open, and its pieces of text with the nodes they stand in.
 
-    ``parent``, ``path`` (hash of the chain of styles), ``prior`` and ``sure`` (in a content style) are by node; node 0 is
-    the page. ``items`` holds (node, text) and, where a block begins or ends, (node, None).
+    ``parent``, ``path`` (hash of the chain of styles), ``prior``, ``inside`` (in a content style) and ``sure`` (there, and
+    not open to doubt) are by node; node 0 is the page. ``items`` holds (node, text) and, where a block begins or ends, (node, None).
     """
 
     def __init__(self, source: str) -> None:
         self.parent, self.path, self.prior, self.sure, self.link = [-1], [0], [1.0], [False], [False]
+        self.inside = [False]
         self.children: list[int] = [0]
         self.items: list[tuple[int, str | None]] = []
         self._names: list[str] = ["#page"]
@@ -156,12 +165,13 @@ class Page:
                 self._pop_to(depth)
         parent = self._stack[-1]
         node = len(self.parent)
-        style, prior = _style(name, attributes, self.sure[parent])
+        style, prior, doubt = _style(name, attributes, self.inside[parent])
         digest = xxhash.xxh64_intdigest(style, self.path[parent]) >> 1
         self.parent.append(parent)
         self.path.append(digest)
         self.prior.append(prior * self.prior[parent])
-        self.sure.append(self.sure[parent] or name in CONTENT)
+        self.inside.append(self.inside[parent] or name in CONTENT)
+        self.sure.append(not doubt and (self.sure[parent] or (name in CONTENT and not self.inside[parent])))
         self.link.append(self.link[parent] or name == "a")
         self.children.append(0)
         self.children[parent] = xxhash.xxh64_intdigest(style, self.children[parent]) >> 1
@@ -179,12 +189,15 @@ class Page:
             self._pop_to(depth)
 
 
-_STYLES: dict[tuple[str, str, bool], tuple[str, float]] = {}
+_STYLES: dict[tuple[str, str, bool], tuple[str, float, bool]] = {}
+
 
+def _style(name: str, attributes: str, inside: bool) -> tuple[str, float, bool]:
+    """The presentation style of an element, its prior, and whether in a content style (``inside``) its names leave doubt.
 
-def _style(name: str, attributes: str, sure: bool) -> tuple[str, float]:
-    """The presentation style of an element and its prior; digits in names count as alike."""
-    key = (name, attributes if len(attributes) < 200 else "", sure)
+    Digits in names count as alike.
+    """
+    key = (name, attributes if len(attributes) < 200 else "", inside)
     if key in _STYLES and len(attributes) < 200:
         return _STYLES[key]
     named: dict[str, str] = {}
@@ -192,16 +205,27 @@ def _style(name: str, attributes: str, sure: bool) -> tuple[str, float]:
         for m in _NAMED.finditer(attributes):
             named.setdefault(m[1].lower(), (m[2] or m[3] or m[4] or "").lower())
     names = f"{named.get('class', '')} {named.get('id', '')}".split()
-    prior = 0.0 if name in APART or (name == "header" and not sure) else 1.0
+    prior = 0.0 if name in APART or (name == "header" and not inside) else 1.0
+    if name == "label" and inside:
+        prior = 1.0  # a form is cut as a whole; elsewhere in an article a label is text
+    doubt = False
     if "hidden" in named or named.get("aria-hidden") == "true" or _HIDDEN.search(named.get("style", "")):
         prior = 0.0
+    wording = set(named.get("id", "").split()) - set(named.get("class", "").split()) if inside and name in HEADINGS | {"section"} else ()
     for one in [*names, *named.get("role", "").split()]:
         parts = _WORDS.findall(one)
         if name in ("html", "body") or (name in CONTENT and parts[-1:] and parts[-1] in SETTINGS):
             parts = parts if len(parts) == 1 else []
-        if parts and {parts[0], parts[-1]} & APART_NAMES - ({"header"} if sure else frozenset()):
-            prior = 0.0  # the header of an article holds its title
-    found = _DIGITS.sub("0", f"{name}.{'.'.join(sorted(set(names)))}"), prior
+        told = {parts[0], parts[-1]} & APART_NAMES - ({"header"} if inside else frozenset()) if parts else frozenset()
+        if not told:
+            continue  # the header of an article holds its title
+        if one in wording and (name != "section" or told <= EVERYDAY_NAMES):
+            continue
+        if inside and (told <= EVERYDAY_NAMES or (one in wording and len(parts) > 1)):
+            doubt = True
+        else:
+            prior = 0.0
+    found = _DIGITS.sub("0", f"{name}.{'.'.join(sorted(set(names)))}"), prior, doubt
     if len(attributes) < 200 and len(_STYLES) < 50_000:
         _STYLES[key] = found
     return found

@@ -27,6 +27,28 @@ def test_main_text_of_odd_markup():
     assert plain("<main>x<article class='comment-list'>no</article><article>y</article></main>") == "x\ny"
 
 
+def test_everyday_words_in_articles():
+    kept = ('<h2 id="discussion">t</h2>', '<section id="related-work"><p>t</section>', '<section id="legal-analysis">t</section>',
+            '<h3 id="registration-form">t</h3>', '<h2 id="comments">t</h2>', '<div class="discussion">t</div>', "<math><mi>t</mi></math>",
+            "<section class=related-work><h2 id=search>t</h2></section>", "<label>t</label>")
+    cut = ('<section id="comments">t</section>', "<div class=comment-list>t</div>", "<nav id=discussion>t</nav>", "<div class=ad>t</div>", "<form>t</form>")
+    for one in kept:
+        assert plain(f"<article><p>a</p>{one}</article>") == "a\nt", one
+    for one in cut:
+        assert plain(f"<article><p>a</p>{one}</article>") == "a", one
+    assert plain("<div class=related>t</div><p>a") == "a"
+
+
+def test_the_tree_decides_on_everyday_words_in_articles(spark):
+    rows = []
+    for k in range(8):
+        links = "".join(f"<li><a href=/{k}{n}>more {k}{n}</a>" for n in range(4))
+        body = f"<p>Story {k}</p><div class=related><ul>{links}</ul></div><div class=notice>All alike</div><div class=discussion><p>Thought {k}</p></div>"
+        rows.append((k, f"http://f.org/{k}", f"<article>{body}</article>"))
+    found = {r.page_id: r.text for r in html_extract.extract(rows_of(spark, rows)).collect()}
+    assert found == {k: f"Story {k}\nThought {k}" for k in range(8)}
+
+
 def rows_of(spark, rows):
     schema = "page_id long, url string, html string, text string, host string, _low string"
     return spark.createDataFrame([(*r, "t", "h", "l") for r in rows], schema)
