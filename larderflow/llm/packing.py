@@ -1,6 +1,7 @@
 """Best-fit packing under conflicts: texts are put into bins of a fixed number of tokens, largest first.
 
-A bin takes at most one text of a source and at most one of a group of copies. A bin carries both sets as bitmaps, bins
+A bin takes at most one text of a source and at most one of a group of copies, near copies included if they are asked for.
+A bin carries these sets as bitmaps, bins
 are ordered by what is left in them, and the search starts at the first bin that is large enough and moves on to its
 successors until one has no bit in common with the text: that is the tightest compatible bin. With none, a new bin is
 opened. Texts longer than a bin are cut; their full pieces fill bins of their own and the rest is packed as a text.
@@ -12,12 +13,14 @@ share no bins. A large share of one source, or of copies, spreads evenly over th
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larderflow.llm.ngram_join import jaccard_classes
 from larderflow.session import written
 
 CAPACITY = 2048
@@ -102,22 +105,22 @@ class _Blocks:
         return None
 
 
-def pack(sizes: list[int], sources: list, copies: list, capacity: int) -> list[int]:
+def pack(sizes: list[int], sources: list, copies: list, capacity: int, classes: list | None = None) -> list[int]:
     """The bin number of each piece, numbered as they are opened. Pieces are taken by falling size, ties as they come.
 
-    A null source or group of copies conflicts with nothing. Pieces of size 0 are put into bins like others.
+    ``classes`` are groups of near copies. A null source or group of either kind conflicts with nothing. Pieces of size 0 are put into bins like others.
     """
     known: dict = {}
 
     def bit(kind: str, value) -> int:
         return 0 if value is None else 1 << known.setdefault((kind, value), len(known))
 
-    counted: dict = {}
-    for c in copies:
-        counted[c] = counted.get(c, 0) + 1
+    classes = classes or [None] * len(sizes)
+    counted, alike = Counter(copies), Counter(classes)
     bins, where, opened = _Blocks(), [0] * len(sizes), 0
     for k in sorted(range(len(sizes)), key=lambda k: -sizes[k]):
         bits = bit("source", sources[k]) | (bit("copy", copies[k]) if counted[copies[k]] > 1 else 0)
+        bits |= bit("class", classes[k]) if alike[classes[k]] > 1 else 0
         found = bins.take(sizes[k], bits)
         left, number, held = found or (capacity, opened, 0)
         opened += found is None
@@ -135,12 +138,13 @@ def pieces(docs: DataFrame, id: str, text: str, source: str) -> DataFrame:
 
 
 def best_fit(
-    docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", capacity: int = CAPACITY, shard: int = SHARD
-) -> DataFrame:
+    docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", capacity: int = CAPACITY, shard: int = SHARD,
+    near_copies: bool = False,
+) -> DataFrame:
     """One row per piece: id, ``piece`` (from 0), ``start`` (its first word), ``n_tokens``, ``shard`` and ``bin``.
 
     (shard, bin) names a bin; its pieces have at most ``capacity`` tokens (words) together, no source twice and no copy
-    twice. A text of k * capacity + r words has k full pieces, each alone in its bin, and one of r words unless r is 0.
+    twice; with ``near_copies`` no two texts that ``jaccard_classes`` links, either. A text of k * capacity + r words has k full pieces, each alone in its bin, and one of r words unless r is 0.
     A null or empty text has one piece of 0 tokens. A null source conflicts with nothing; rows with null ids are packed
     like others. Repeated rows are copies, so each lies in a bin of its own. Other columns are not read; an empty table
     gives no rows. Ties of size are taken by a hash of id and text, so the result does not depend on row order.
@@ -150,14 +154,25 @@ def best_fit(
     kind = docs.schema[id].dataType.simpleString()
     told = written(pieces(docs, id, text, source), "pieces")
     shards = max(1, -(-told.count() // shard))
-    dealt = told.withColumn("shard", F.pmod(F.hash("order"), F.lit(shards)).cast("long"))
+    # Equal rows are counted and dealt in turn, so that a row repeated very often is spread over the shards.
+    turn = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1))
+    told = told.groupBy(*told.columns).agg(F.count("*").alias("_n"))
+    if near_copies:
+        keyed = docs.select(F.xxhash64(id, text).alias("order"), F.col(text).alias("text")).dropDuplicates(["order"])
+        classes = jaccard_classes(keyed, "order", "text").filter("n_shingles > 0")
+        told = told.join(classes.select("order", F.col("component_id").alias("class")), "order", "left")
+    else:
+        told = told.withColumn("class", F.lit(None).cast("long"))
+    dealt = told.withColumn("_turn", turn).withColumn("shard", F.pmod(F.hash("order") + F.col("_turn"), F.lit(shards)).cast("long"))
+    dealt = dealt.select(id, "n_tokens", "source", "copies", "order", "class", "shard")
 
     def run(table: pa.Table) -> pa.Table:
         rows = table.sort_by([("n_tokens", "descending"), ("order", "ascending"), (id, "ascending")])
         size = rows.column("n_tokens").to_numpy()
         full, rest = size // capacity, size % capacity
         packed = np.flatnonzero((rest > 0) | (size == 0))
-        where = pack(rest[packed].tolist(), rows.column("source").take(packed).to_pylist(), rows.column("copies").take(packed).to_pylist(), capacity)
+        groups = [rows.column(c).take(packed).to_pylist() for c in ("source", "copies", "class")]
+        where = pack(rest[packed].tolist(), *groups[:2], capacity, groups[2])
         opened = max(where, default=-1) + 1
         row = np.r_[packed, np.repeat(np.arange(len(size)), full)]
         piece = np.r_[full[packed], np.arange(full.sum()) - np.repeat(np.cumsum(full) - full, full)]

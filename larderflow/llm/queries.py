@@ -72,7 +72,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("op6_best_fit_packing")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.best_fit(_table(spark, sf_dir, "documents"))
+    return packing.best_fit(_table(spark, sf_dir, "documents"), near_copies=True)
 
 
 RULES = (

@@ -69,6 +69,15 @@ def test_bins_hold_their_limits(spark):
     assert sorted(map(str, again.collect())) == sorted(map(str, found))
 
 
+def test_near_copies_lie_apart_and_repeated_rows_are_dealt(spark):
+    words = [f"w{k}" for k in range(60)]
+    rows = [(k, " ".join([*words[:59], f"x{k}"]), f"s{k}") for k in range(10)] + [(50, "other words " * 5, "t")] * 40
+    found = packing.best_fit(table(spark, rows), shard=10, near_copies=True).collect()
+    near = [(r.shard, r.bin) for r in found if r.doc_id < 10]
+    assert len(near) == len(set(near)) == 10 and len(found) == 50
+    assert {sum(r.shard == s for r in found if r.doc_id == 50) for s in range(5)} == {8}
+
+
 def test_empty_table_and_wrong_capacity(spark):
     assert packing.best_fit(table(spark, [])).collect() == []
     with pytest.raises(ValueError):
