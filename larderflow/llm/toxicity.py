@@ -344,7 +344,7 @@ def trained(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str =
     kind = docs.schema[id].dataType.simpleString()
     known = labels.select(id, F.col(label).cast("double").alias("_label")).filter(F.col("_label").isNotNull())
     known = known.filter(fold(id, FOLDS) != HELD_OUT).groupBy(id).agg(F.max("_label").alias("_label"))
-    chosen = known.orderBy(F.xxhash64(id), id).limit(SAMPLE)
+    chosen = known.join(docs.select(id), id, "left_semi").orderBy(F.xxhash64(id), id).limit(SAMPLE)
     sample = {r[0]: r[1] for r in chosen.collect()}
     ids, truth, terms = _sample_terms(docs, sample, id, text)
     share = family_weights(terms)

@@ -96,3 +96,21 @@ def test_label_model_finds_accuracies_and_correlations():
     assert np.abs(model.fire[1] - 0.6).max() < 0.06 and np.abs(model.fire[0] - 0.05).max() < 0.03
     assert model.correlations[2, 3] > 0.6 and model.weights[2] < 0.7 < model.weights[0]
     assert ((model.posterior(masks, np.full(len(masks), -1)) > 0.5) == truth).mean() > 0.97
+
+
+def test_toxicity_samples_labels_of_the_given_texts(spark, monkeypatch):
+    """Labels of texts that are not there take no place in the sample."""
+    class Seen(Exception):
+        pass
+
+    def seen(docs, sample, id, text):
+        raise Seen(sorted(sample))
+
+    monkeypatch.setattr(toxicity, "SAMPLE", 20)
+    monkeypatch.setattr(toxicity, "_sample_terms", seen)
+    docs = spark.range(990, 1000).selectExpr("id AS doc_id", "'a b c' AS text")
+    labels = spark.range(1000).selectExpr("id AS doc_id", "CAST(id % 2 AS INT) AS toxic")
+    wanted = [r.doc_id for r in docs.filter(toxicity.fold("doc_id", toxicity.FOLDS) != toxicity.HELD_OUT).collect()]
+    with pytest.raises(Seen) as told:
+        toxicity.trained(docs, labels)
+    assert told.value.args[0] == wanted and wanted
