@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larderflow.llm import ann, embedding_dedup, html_extract, license_scan, ngram_join, packing, quality, sentencepiece_scan, toxicity, url_filter
+from larderflow.llm import ann, embedding_dedup, html_extract, license_scan, ngram_join, packing, quality, sentencepiece_scan, toxicity, url_filter, word_bpe
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -183,3 +184,17 @@ PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 @_query("op4_sentencepiece")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_scan.round_trips(_table(spark, sf_dir, "documents"), PIECES)
+
+
+# The file is part of an installed package, so it has the same path on every machine.
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
+
+
+@_query("op11_word_bpe")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    both = word_bpe.decode(word_bpe.encode(docs, WORD_BPE).select("doc_id", "ids"), WORD_BPE)
+    said = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return both.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(said, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
