@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larderflow.llm import ann, embedding_dedup, html_extract, license_scan, ngram_join, packing, quality, sentencepiece_scan, toxicity, url_filter, word_bpe
+from larderflow.llm import ann, embedding_dedup, html_extract, license_scan, merkle, ngram_join, packing, quality, sentencepiece_scan, toxicity, url_filter, word_bpe
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -198,3 +198,79 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(said, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
+
+
+def _leaf_sql(text: str) -> str:
+    parts = [f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "source", "lang", "n_chars", text)]
+    return f"sha256({' || '.join(parts)})"
+
+
+# CRC-32 bit by bit: a row of digits is folded, each digit with eight shifts.
+_CRC_STEP = "xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END)"
+_CRC_BYTE = f"list_reduce(list_prepend(xor(a, b), [0::BIGINT FOR k IN range(8)]), lambda c, k: {_CRC_STEP})"
+_CRC_SQL = f"xor(list_reduce(list_prepend(4294967295, [ascii(d)::BIGINT FOR d IN string_split(doc_id::VARCHAR, '')]), lambda a, b: {_CRC_BYTE}), 4294967295)"
+
+MERKLE_SQL = f"""
+WITH RECURSIVE told AS (
+    SELECT doc_id, coalesce('=' || lang, '') AS tree, {_leaf_sql("text")} AS leaf,
+        CASE WHEN {_CRC_SQL} % 3 = 0
+            THEN {_leaf_sql("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}
+            ELSE {_leaf_sql("text")} END AS claimed
+    FROM documents
+), leaves AS (
+    SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place FROM told
+), nodes(tree, level, place, node, n) AS (
+    SELECT tree, 0, place, leaf, count(*) OVER (PARTITION BY tree) FROM leaves
+    UNION ALL
+    SELECT tree, level + 1, place // 8, sha256(string_agg(node, '' ORDER BY place)), (any_value(n) + 7) // 8
+    FROM nodes WHERE n > 1 GROUP BY tree, level, place // 8
+), subroots AS (
+    SELECT tree, node AS subroot, row_number() OVER (ORDER BY tree) - 1 AS rank
+    FROM nodes WHERE n = 1
+), heads(level, place, node, n) AS (
+    SELECT 0, rank, subroot, count(*) OVER () FROM subroots
+    UNION ALL
+    SELECT level + 1, place // 8, sha256(string_agg(node, '' ORDER BY place)), (any_value(n) + 7) // 8
+    FROM heads WHERE n > 1 GROUP BY level, place // 8
+), ways AS (
+    SELECT l.tree, l.place AS leaf_place, e.level, string_agg(e.node, '' ORDER BY e.place) FILTER (e.place < l.place // (8 ** e.level)::BIGINT) AS a,
+        string_agg(e.node, '' ORDER BY e.place) FILTER (e.place > l.place // (8 ** e.level)::BIGINT) AS b
+    FROM leaves l JOIN nodes e ON e.tree = l.tree AND e.n > 1 AND e.place // 8 = l.place // (8 ** (e.level + 1))::BIGINT
+    GROUP BY ALL
+    UNION ALL
+    SELECT l.tree, l.place, 1000 + h.level, string_agg(h.node, '' ORDER BY h.place) FILTER (h.place < s.rank // (8 ** h.level)::BIGINT),
+        string_agg(h.node, '' ORDER BY h.place) FILTER (h.place > s.rank // (8 ** h.level)::BIGINT)
+    FROM leaves l JOIN subroots s USING (tree) JOIN heads h ON h.n > 1 AND h.place // 8 = s.rank // (8 ** (h.level + 1))::BIGINT
+    GROUP BY ALL
+), steps AS (
+    SELECT tree, leaf_place AS place, coalesce(a, '') AS a, coalesce(b, '') AS b, row_number() OVER (PARTITION BY tree, leaf_place ORDER BY level) AS step
+    FROM ways
+), climbs(tree, place, step, node) AS (
+    SELECT tree, place, 0, claimed FROM leaves
+    UNION ALL
+    SELECT tree, place, s.step, sha256(a || node || b) FROM climbs c JOIN steps s USING (tree, place) WHERE s.step = c.step + 1
+), ends AS (
+    SELECT tree, place, max_by(node, step) AS folded_root FROM climbs GROUP BY ALL
+), shown AS (
+    SELECT tree, place, sha256(string_agg(a || b, '' ORDER BY step)) AS proof_sha256 FROM steps GROUP BY ALL
+), summit AS (
+    SELECT node AS root FROM heads WHERE n = 1
+)
+SELECT doc_id, leaf, subroot, root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified
+FROM summit CROSS JOIN leaves JOIN subroots USING (tree) JOIN ends USING (tree, place) LEFT JOIN shown USING (tree, place)
+"""
+
+
+@_query("op12_merkle_manifest", MERKLE_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    leaf = merkle.leaf_digest("doc_id", "source", "lang", "n_chars", "text")
+    later = F.translate("text", license_scan.UPPER, license_scan.LOWER)
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, later).otherwise(F.col("text"))
+    claimed = merkle.leaf_digest("doc_id", "source", "lang", "n_chars", tampered)
+    leaves = docs.select(F.col("lang").alias("group"), F.col("doc_id").alias("id"), leaf.alias("leaf"), claimed.alias("claimed"))
+    shown = merkle.proofs(merkle.build(leaves)).withColumn("folded_root", merkle.folded("claimed"))
+    return shown.select(
+        F.col("id").alias("doc_id"), "leaf", "subroot", "root", F.sha2("siblings", 256).alias("proof_sha256"), "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
