@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larderflow.llm import ann, embedding_dedup, html_extract, license_scan, merkle, ngram_join, packing, quality, sentencepiece_scan, toxicity, url_filter, word_bpe
+from larderflow.llm import ann, embedding_dedup, html_extract, license_scan, merkle, ngram_join, packing, quality, sentencepiece_scan, toxicity, url_filter, whitening, word_bpe
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -274,3 +274,8 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("doc_id"), "leaf", "subroot", "root", F.sha2("siblings", 256).alias("proof_sha256"), "folded_root",
         (F.col("folded_root") == F.col("root")).alias("verified"),
     )
+
+
+@_query("op13_embedding_whitening")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
