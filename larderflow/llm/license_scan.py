@@ -15,6 +15,8 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larderflow.session import written
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # Words that follow "copyright" or, in a list, "(c)" in running text; other words there are names.
 PROSE = (
@@ -296,12 +298,14 @@ def scan(docs: DataFrame, known: DataFrame, id: str = "doc_id", text: str = "tex
     A null or empty text, or one of copyright notices and punctuation only, has the digest of the empty text and no licence.
     Rows with null ids and repeated rows all come back. Other columns are not read; an empty table gives no rows.
 
-    Lines are grouped by the digest of the text they stand in, so copies are counted once and joined back; ``known`` may be
-    of any size, Spark broadcasts it only if it is small.
+    The canonical form of a text is taken once; the digests that come out are written as a narrow table, which both joins
+    read. Lines are grouped by the digest of the text they stand in, so copies are counted once and joined back; ``known`` may
+    be of any size, Spark broadcasts it only if it is small.
     """
-    told = docs.select(F.col(id), F.md5(F.coalesce(F.col(text), F.lit(""))).alias("key"), canonical_lines(text).alias("lines"))
-    whole = told.select(id, "key", F.md5(F.array_join("lines", " ")).alias("digest"))
-    lines = told.select("key", F.posexplode("lines").alias("at", "line")).select("key", "at", F.md5("line").alias("digest"))
+    told = written(_digests(docs, id, text), "digests")
+    whole = told.select(id, "key", F.col("told.digest").alias("digest"))
+    # The outer form keeps Spark from asking for the size of the lines below the explode.
+    lines = told.select("key", F.posexplode_outer("told.lines").alias("at", "line")).select("key", "at", F.lower(F.hex("line")).alias("digest"))
     found = lines.join(known, "digest").groupBy("key").agg(
         F.array_join(F.array_sort(F.collect_set("licence")), ",").alias("line_licences"),
         F.size(F.collect_set("at")).cast("long").alias("n_lines"),
@@ -309,3 +313,15 @@ def scan(docs: DataFrame, known: DataFrame, id: str = "doc_id", text: str = "tex
     return whole.join(known, "digest", "left").join(found, "key", "left").select(
         id, "digest", "licence", "line_licences", F.coalesce("n_lines", F.lit(0).cast("long")).alias("n_lines")
     )
+
+
+def _digests(docs: DataFrame, id: str, text: str) -> DataFrame:
+    """(id, key, told): ``key`` is of the text as it is, ``told`` holds the digest of its canonical form and of each canonical line.
+
+    The lines are bound by a lambda, so that their form is taken once for both.
+    """
+    both = lambda lines: F.struct(
+        F.md5(F.array_join(lines, " ")).alias("digest"), F.transform(lines, lambda line: F.unhex(F.md5(line))).alias("lines")
+    )
+    told = F.element_at(F.transform(F.array(canonical_lines(text)), both), 1)
+    return docs.select(F.col(id), F.md5(F.coalesce(F.col(text), F.lit(""))).alias("key"), told.alias("told"))

@@ -5,6 +5,7 @@ import textwrap
 from importlib.resources import files
 
 from larderflow.llm import license_scan
+from larderflow.session import written
 
 MIT = license_scan.LICENCES["MIT"][-1]
 
@@ -38,6 +39,21 @@ def test_native_plan(spark):
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
 
 
+def test_canonical_form_is_taken_once(spark, monkeypatch):
+    """The plan that reads texts has each step of the canonical form once; what follows reads the digests it wrote."""
+    docs = spark.createDataFrame([(1, MIT)], "doc_id long, text string")
+    known, plans = license_scan.known_digests(spark), []
+
+    def kept(df, label):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return written(df, label)
+
+    monkeypatch.setattr(license_scan, "written", kept)
+    after = license_scan.scan(docs, known)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plans) == 1 and plans[0].count("translate(") == 1 and plans[0].count("regexp_replace(") == 2
+    assert "regexp_replace(" not in after and "translate(" not in after
+
+
 def licences_of(spark, texts):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     return [r.licence for r in sorted(license_scan.scan(docs, license_scan.known_digests(spark)).collect())]
