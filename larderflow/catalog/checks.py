@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larderflow.catalog import tables
 from larderflow.catalog.registry import query
 from larderflow.catalog.sql import CAL, PANEL, WEEKLY
-from larderflow.operators import exploration, quality
+from larderflow.operators import exploration, quality, reshape
+from larderflow.session import fresh_path
 from larderflow.sources import star
 
 
@@ -138,6 +142,35 @@ def price_nulls(spark, sf_dir):
     return quality.check_prices(prices).select("check", "severity", "failed_count")
 
 
+@query(
+    "v10_checks_while_writing",
+    f"""{PANEL}, n as (select count(*) n, count(*) - count(sell_price) gone, count(*) filter (sell_price <= 0) low,
+            count(*) filter (sell_price > 1000) high, min(date) a, max(date) b, count(*) - count(event_name_1) no_event from panel)
+        select 'null:sell_price' measure, cast(gone as double) told from n union all select 'null:item_id', 0.0 from n
+        union all select 'null:store_id', 0.0 from n union all select 'null:wm_yr_wk', 0.0 from n
+        union all select 'positive:sell_price', cast(low as double) from n union all select 'high:sell_price', cast(high as double) from n
+        union all select 'n_null event_name_1', cast(no_event as double) from n
+        union all select 'pct_missing', round(gone * 100.0 / n, 6) from n union all select 'span_days', cast(b - a as double) from n
+        union all select 'n_bad', 0.0 from n""",
+)
+def checks_while_writing(spark, sf_dir):
+    """Price checks, nulls, missing prices and the range of dates, all taken by the one job that writes the panel."""
+    prices = quality.watch_checks(tables.panel(spark, sf_dir), "prices", quality.price_checks(["store_id", "item_id", "wm_yr_wk", "sell_price"]))
+    nulls = quality.watch_nulls(prices.rows, ["event_name_1"])
+    missing = reshape.watch_missing_prices(nulls.rows)
+    dates = quality.watch_date_range(missing.rows)
+    dates.rows.write.parquet(fresh_path(spark, "watched"))
+    told = F.col("failed_count").cast("double")
+    parts = [
+        prices.result().select(F.col("check").alias("measure"), told.alias("told")),
+        nulls.result().select(F.concat(F.lit("n_null "), "column").alias("measure"), F.col("n_null").cast("double").alias("told")),
+        missing.result().select(F.lit("pct_missing").alias("measure"), F.round("pct_missing", 6).alias("told")),
+        dates.result().select(F.lit("span_days").alias("measure"), F.col("span_days").cast("double").alias("told")),
+        dates.result().select(F.lit("n_bad").alias("measure"), F.col("n_bad").cast("double").alias("told")),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 PRICE_STATS = """select 'sell_price' "column", count(sell_price) "count", round(avg(sell_price), 4) mean,
         round(stddev_samp(sell_price), 4) std, min(sell_price) min, round(quantile_cont(sell_price, 0.25), 4) p25,
         round(quantile_cont(sell_price, 0.5), 4) p50, round(quantile_cont(sell_price, 0.75), 4) p75, max(sell_price) max"""

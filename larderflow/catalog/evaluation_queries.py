@@ -125,7 +125,6 @@ def _background(spark, sf_dir):
     return explain.background_sample(
         training(spark, sf_dir).where("split = 'train'").select("store_id", "item_id", "date", *BOOST_FEATURES),
         BOOST_FEATURES,
-        n=20,
     )
 
 
@@ -136,9 +135,7 @@ def attributed(spark, sf_dir):
         spark,
         sf_dir,
         "attributed",
-        lambda s, d: explain.attributions(
-            fitted(s, d), rows, ["store_id", "item_id", "date"], _background(s, d), n_orders=2
-        ),
+        lambda s, d: explain.tree_attributions(fitted(s, d), rows, ["store_id", "item_id", "date"], _background(s, d)),
     )
 
 
@@ -155,7 +152,7 @@ def attributions(spark, sf_dir):
 @query(
     "x01_background_size",
     f"""{PANEL}, x as (select split, lag(sales, 28) over (partition by store_id, item_id order by date) lag_28 from panel)
-        select least(20, count(*))::bigint n_rows, {len(BOOST_FEATURES)} n_columns from x where lag_28 is not null and split = 'train'""",
+        select least(100, count(*))::bigint n_rows, {len(BOOST_FEATURES)} n_columns from x where lag_28 is not null and split = 'train'""",
 )
 def background_size(spark, sf_dir):
     """The sample has its size, and each of its rows is a training row."""

@@ -8,8 +8,10 @@ from larderflow.catalog import tables
 from larderflow.catalog.registry import query
 from larderflow.catalog.sql import FILLED, PANEL
 from larderflow.functions import calendar
-from larderflow.operators import encoding, fill, history, pricing
+from larderflow.operators import encoding, fill, history, pricing, sparse
 from larderflow.plans import features as feature_plan
+from larderflow.plans import incremental
+from larderflow.session import fresh_path
 from larderflow.sources import star
 
 KEYS = ["store_id", "item_id", "date"]
@@ -417,3 +419,45 @@ def training_rows(spark, sf_dir):
     """Past-only features on the whole panel; validation and test keep all their rows."""
     built = feature_plan.training_features(tables.filled(spark, sf_dir), event_types=star.EVENT_TYPES, gap_free=True)
     return built.select(*KEYS, "split", "sales", "lag_28", "rolling_mean_28")
+
+
+@query(
+    "w18_incremental_days",
+    f"""{FILLED}, x as (select store_id, item_id, date, sales, sell_price, {", ".join(f"lag(sales, {k}) {W}) lag_{k}" for k in (1, 7, 14, 28))},
+        {", ".join(f"sales - lag(sales, {k}) {W}) diff_{k}" for k in (1, 7))}, round(sell_price - lag(sell_price, 7) {W}), 6) price_change_7,
+        {", ".join(f"round(avg(sales) {_rows(n, '1 preceding')}, 6) rolling_mean_{n}" for n in (7, 14, 28))},
+        {", ".join(f"round(stddev_samp(sales) {_rows(n, '1 preceding')}, 6) rolling_std_{n}" for n in (7, 14, 28))},
+        min(sales) {_rows(28, '1 preceding')} rolling_min_28, max(sales) {_rows(28, '1 preceding')} rolling_max_28,
+        round(avg(sales) {_UP}, 6) expanding_mean, round(stddev_samp(sales) {_UP}, 4) expanding_std from filled)
+        select * from x where date >= date '2001-10-30'""",
+)
+def incremental_days(spark, sf_dir):
+    """The last six days in three updates of a state table: one day, two days, three days."""
+    rows = tables.filled(spark, sf_dir).select(*KEYS, "sales", "sell_price")
+    path = fresh_path(spark, "incremental")
+    incremental.start(rows.where("date < date'2001-10-30'"), path)
+    for first, last in (("2001-10-30", "2001-10-30"), ("2001-10-31", "2001-11-01"), ("2001-11-02", "2001-11-04")):
+        incremental.update(rows.where(F.col("date").between(first, last)), path)
+    built = spark.read.parquet(f"{path}/features").drop("ratio_7_28", "ratio_14_28")
+    means = [c for c in built.columns if c.startswith(("rolling_mean", "rolling_std")) or c in ("expanding_mean", "price_change_7")]
+    return rounded(rounded(built, *means, digits=6), "expanding_std")
+
+
+@query(
+    "p15_sparse_features",
+    f"""{PANEL}, x as (select store_id, item_id, date, sales, {", ".join(f"lag(sales, {k}) {W}) lag_{k}" for k in (1, 7, 14, 28))},
+        {", ".join(f"round(avg(sales) {_rows(n - 1)}, 6) rolling_mean_{n}" for n in (7, 14, 28))},
+        {", ".join(f"round(stddev_samp(sales) {_rows(n - 1)}, 6) rolling_std_{n}" for n in (7, 14, 28))},
+        min(sales) {_rows(27)} rolling_min_28, max(sales) {_rows(27)} rolling_max_28,
+        round(avg(sales) {_UP}, 6) expanding_mean, round(stddev_samp(sales) {_UP}, 4) expanding_std, max(sales) {_UP} expanding_max,
+        date - date '1995-01-02' - 1 - coalesce(max(case when sales > 0 then date - date '1995-01-02' end) {W}
+            rows between unbounded preceding and 1 preceding), -1) zero_run from panel)
+        select * replace (cast(zero_run as int) as zero_run) from x where sales > 0 or date in (date '1995-01-09', date '2001-11-04')""",
+)
+def sparse_rows(spark, sf_dir):
+    """Features of the facts, and of two days of every series, without the panel; SQL takes them from the panel."""
+    facts = star.daily_sales(spark, sf_dir).select(*KEYS, "sales")
+    built = sparse.sparse_features(facts, star.START, expanding=("mean", "std", "max"), at=("1995-01-09", star.END))
+    built = built.drop("ratio_7_28", "ratio_14_28")
+    means = [c for c in built.columns if c.startswith(("rolling_mean", "rolling_std")) or c == "expanding_mean"]
+    return rounded(rounded(built, *means, digits=6), "expanding_std")

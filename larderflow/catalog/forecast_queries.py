@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from functools import cache
-
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from larderflow.catalog import tables
-from larderflow.catalog.registry import query, staged
+from larderflow.catalog.registry import query, staged, staged_path
 from larderflow.catalog.sql import PANEL
 from larderflow.operators import baselines, boosting, scoring, sequences
 from larderflow.operators.evaluation import METRICS, comparison_table, metrics, pinball_by
@@ -101,7 +100,6 @@ def seasonal_average(spark, sf_dir):
     return baselines.seasonal_average(_panel(spark, sf_dir))
 
 
-BOOST = BoostingSettings(n_estimators=8, max_depth=5)
 BOOST_FEATURES = tuple(feature_columns())
 
 
@@ -112,16 +110,15 @@ def training(spark, sf_dir):
     )
 
 
-@cache
-def _fitted(spark, sf_dir, validated: bool):
-    rows = training(spark, sf_dir)
-    held_out = rows.where("split = 'val'") if validated else None
-    return boosting.fit(rows.where("split = 'train'"), BOOST_FEATURES, settings=BOOST, validation=held_out)
+def fitted(spark, sf_dir):
+    """The model of the training rows: fitted with the default settings and saved once, then read from its files."""
 
+    def fit(path):
+        rows = training(spark, sf_dir)
+        held_out = rows.where("split = 'val'")
+        models.save_model(boosting.fit(rows.where("split = 'train'"), BOOST_FEATURES, validation=held_out, stop=False), path, spark)
 
-def fitted(spark, sf_dir, validated: bool = False):
-    """The model of this session's training rows."""
-    return _fitted(spark, sf_dir, validated)
+    return models.load_model(staged_path(spark, sf_dir, "model", fit), spark)
 
 
 @query("f06_boosted_trees")
@@ -132,12 +129,78 @@ def boosted_trees(spark, sf_dir):
 
 @query("f07_validated_boosting")
 def validated_boosting(spark, sf_dir):
-    """Stops once the validation error no longer improves."""
-    model = fitted(spark, sf_dir, True)
+    """The trees up to where the validation error no longer improves: fewer than all."""
+    model = boosting.stopped_early(fitted(spark, sf_dir))
     scored = boosting.predict(model, training(spark, sf_dir).where("split = 'test'"))
     return scored.select(*KEYS, "date", "sales", "y_pred", F.lit(boosting.tree_count(model)).alias("n_trees"))
 
 
+# The first tree of one level, by trying every value of every feature with missing rows on either side.
+STUMP_FEATURES = ("month", "day", "capped", "snap_CA")
+STUMP = f"""{PANEL}, x as (select store_id, item_id, date, sales, month(date) "month", day(date) "day", snap_CA,
+        case when lag(sales, 7) over w is not null then least(lag(sales, 7) over w, 60) end capped
+        from panel window w as (partition by store_id, item_id order by date)),
+    told as (select cast(cast(avg(sales) as float) as double) base, count(*) n, avg(sales) * count(*) s from x),
+    cells as ({" union all ".join(f"select {k} k, '{c}' feature, cast({c} as double) v, count(*) n, sum(sales) s from x group by {c}"
+                                  for k, c in enumerate(STUMP_FEATURES))}),
+    runs as (select c.k, c.feature, c.v, sum(c.n) over w n, base * sum(c.n) over w - sum(c.s) over w g,
+            coalesce(m.n, 0) miss_n, base * coalesce(m.n, 0) - coalesce(m.s, 0) miss_g, told.n all_n, base * told.n - told.s all_g
+        from cells c cross join told left join (select * from cells where v is null) m on m.k = c.k
+        where c.v is not null window w as (partition by c.k order by c.v)),
+    sides as (select k, feature, v, true missing_left, n + miss_n n, g + miss_g g, all_n, all_g from runs
+        union all select k, feature, v, false, n, g, all_n, all_g from runs),
+    gains as (select *, g * g / (n + 1) + (all_g - g) * (all_g - g) / (all_n - n + 1) - all_g * all_g / (all_n + 1) gain
+        from sides where n >= 1 and all_n - n >= 1),
+    best as (select * from gains order by gain desc, k, v, missing_left desc limit 1)"""
+
+
+def _stump(spark, sf_dir):
+    """Rows with a week-old value that the first week of each series misses, and a tree of one level over all of them."""
+    week_old = F.lag("sales", 7).over(Window.partitionBy(*KEYS).orderBy("date"))
+    rows = tables.panel(spark, sf_dir).select(
+        *KEYS, "date", "sales", "snap_CA", F.month("date").alias("month"), F.day("date").alias("day"), F.least(week_old, F.lit(60)).alias("capped")
+    )
+    # least() skips nulls, so a missing value is put back
+    rows = rows.withColumn("capped", F.when(F.col("date") >= F.date_add(F.min("date").over(Window.partitionBy(*KEYS)), 7), F.col("capped")))
+    settings = BoostingSettings(n_estimators=1, max_depth=1, subsample=1.0, colsample=1.0)
+    return rows, boosting.fit(rows, STUMP_FEATURES, settings=settings)
+
+
+@query(
+    "f06_first_split",
+    f"""{STUMP} select feature, v threshold, missing_left, round(gain / all_n, 6) gain, cast(n as bigint) n_left,
+        cast(all_n - n as bigint) n_right, round(-0.1 * g / (n + 1), 6) left_value, round(-0.1 * (all_g - g) / (all_n - n + 1), 6) right_value from best""",
+)
+def first_split(spark, sf_dir):
+    rows, model = _stump(spark, sf_dir)
+    nodes = {r.node: r for r in boosting.node_table(model, spark).collect()}
+    root, left, right = nodes[0], nodes[1], nodes[2]
+    return spark.range(1).select(
+        F.lit(model.features[root.feature]).alias("feature"),
+        F.lit(root.threshold).alias("threshold"),
+        F.lit(root.missing_left).alias("missing_left"),
+        F.round(F.lit(root.gain / model.n_rows), 6).alias("gain"),
+        F.lit(left.cover).cast("long").alias("n_left"),
+        F.lit(right.cover).cast("long").alias("n_right"),
+        F.round(F.lit(left.value), 6).alias("left_value"),
+        F.round(F.lit(right.value), 6).alias("right_value"),
+    )
+
+
+@query(
+    "f09_missing_features",
+    f"""{STUMP}, scored as (select store_id, item_id, capped is null missing, greatest(base + case when
+            coalesce(case feature when 'month' then "month" when 'day' then "day" when 'capped' then capped else snap_CA end <= v, missing_left)
+            then -0.1 * g / (n + 1) else -0.1 * (all_g - g) / (all_n - n + 1) end, 0) y_pred from x cross join best cross join (select base from told))
+        select store_id, item_id, missing, count(*) n_rows, round(avg(y_pred), 5) y_pred from scored group by 1, 2, 3""",
+)
+def missing_features(spark, sf_dir):
+    """Rows that miss a feature are trained on and predicted like all others."""
+    rows, model = _stump(spark, sf_dir)
+    scored = boosting.predict(model, rows).groupBy(*KEYS, F.col("capped").isNull().alias("missing"))
+    return scored.agg(F.count(F.lit(1)).alias("n_rows"), F.round(F.avg("y_pred"), 5).alias("y_pred"))
+
+
 @query(
     "f08_numeric_features",
     f"""{PANEL}, n as (select count(*) n_rows from panel)
@@ -229,6 +292,52 @@ def training_sequences(spark, sf_dir):
     )
 
 
+# Days without a target, prices known only in the past, flags and events known ahead; each array as one text.
+ROLES = sequences.PanelRoles(
+    static_categoricals=("store_id", "dept_id"), known_categoricals=("event_name_1",), known_reals=("snap_CA", "snap_WI"), unknown_reals=("sell_price",)
+)
+
+
+def _listed(field: str, frame: str) -> str:
+    return f"string_agg({field}, ',' order by date) over {frame}"
+
+
+@query(
+    "f11_sequence_roles",
+    f"""{PANEL}, t as (select *, coalesce(cast(cast(case when day(date) % 9 <> 4 then sales end as int) as varchar), '?') y,
+            coalesce(cast(cast(round(sell_price * 100) as int) as varchar), '?') p, coalesce(event_name_1, '?') ev,
+            snap_CA || ':' || snap_WI fl from panel),
+        x as (select store_id, item_id, dept_id, date, count(*) over e encoder_len, count(*) over d decoder_len,
+            {_listed("y || ':' || p || ':' || fl", "e")} enc, {_listed("ev", "e")} enc_events, {_listed("y", "d")} dec,
+            {_listed("fl", "d")} dec_flags, {_listed("ev", "d")} dec_events from t
+            window e as (partition by store_id, item_id order by date rows between 27 preceding and current row),
+                d as (partition by store_id, item_id order by date rows between 1 following and 7 following))
+        select store_id, item_id, date, cast(encoder_len as int) encoder_len, md5(enc) encoder, md5(enc_events) encoder_events, dec decoder,
+            dec_flags decoder_flags, md5(dec_events) decoder_events, store_id || ',' || dept_id static
+        from x where encoder_len >= 14 and decoder_len >= 7""".replace(" order by date) over", ") over"),
+)
+def sequence_roles(spark, sf_dir):
+    """Examples with covariates by role over a panel with days without target; arrays as text, so that SQL can check every cell."""
+    rows = tables.panel(spark, sf_dir).withColumn("sales", F.when(F.dayofmonth("date") % 9 != 4, F.col("sales")))
+    built = sequences.build_sequences(rows, roles=ROLES)
+    whole = lambda x: F.coalesce(x.cast("int").cast("string"), F.lit("?"))
+    flags = lambda x, k: F.concat_ws(":", whole(x[k]), whole(x[k + 1]))
+    text = lambda c, f: F.array_join(F.transform(c, f), ",")
+    events = lambda c: F.md5(text(c, lambda x: F.coalesce(x[0], F.lit("?"))))
+    # encoder vectors hold target, flags, price
+    return built.select(
+        *KEYS,
+        "date",
+        "encoder_len",
+        F.md5(text("encoder", lambda x: F.concat_ws(":", whole(x[0]), whole(F.round(x[3] * 100)), flags(x, 1)))).alias("encoder"),
+        events("encoder_categories").alias("encoder_events"),
+        text("decoder", whole).alias("decoder"),
+        text("decoder_reals", lambda x: flags(x, 0)).alias("decoder_flags"),
+        events("decoder_categories").alias("decoder_events"),
+        F.array_join("static", ",").alias("static"),
+    )
+
+
 @query("f11_time_index", f"{PANEL} select store_id, item_id, date, cast(date - date '1995-01-02' as int) time_idx from panel")
 def time_index(spark, sf_dir):
     return sequences.time_index(tables.panel(spark, sf_dir).select(*KEYS, "date"))
@@ -354,7 +463,7 @@ def model_card(spark, sf_dir):
     scored = boosting.predict(model, training(spark, sf_dir).where("split = 'test'"))
     row = metrics(scored.withColumnRenamed("sales", "y_true"), by=()).first()
     card = models.model_card(
-        spark, model, "boosted_trees", "1.0.0", "GBT", ForecastSettings().horizon, {m: row[m] for m in METRICS}
+        spark, model, "boosted_trees", "1.0.0", "boosted trees", ForecastSettings().horizon, {m: row[m] for m in METRICS}
     )
     return card
 
@@ -367,33 +476,47 @@ def model_card(spark, sf_dir):
 def saved_equals_fresh(spark, sf_dir):
     """A model read back predicts what the one in memory does."""
     path, model = fresh_path(spark, "model"), fitted(spark, sf_dir)
-    models.save_model(model, path)
+    models.save_model(model, path, spark)
     rows = training(spark, sf_dir).where("split = 'test'")
-    both = boosting.predict(models.load_model(path), boosting.predict(model, rows, "_fresh"))
+    both = boosting.predict(models.load_model(path, spark), boosting.predict(model, rows, "_fresh"))
     return both.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(~F.col("y_pred").eqNullSafe(F.col("_fresh"))).alias("n_different"))
 
 
-@query(
-    "e07_with_learned_model",
-    f"""{PANEL}, x as (select split, lag(sales, 28) over (partition by store_id, item_id order by date) lag_28 from panel)
-        select unnest(['boosted_trees', 'moving_avg_7', 'naive', 'seasonal_naive']) model, count(*) n_rows, true scored
-        from x where lag_28 is not null and split = 'test'""",
-)
-def with_learned_model(spark, sf_dir):
-    """The learned model and one-day-ahead baselines scored on the same rows of the test period."""
+def _scored_test(spark, sf_dir):
+    """The learned model and one-day-ahead baselines on the same rows of the test period."""
     rows = boosting.predict(fitted(spark, sf_dir), training(spark, sf_dir).where("split = 'test'"))
     scores = {"boosted_trees": "y_pred", "naive": "lag_1", "seasonal_naive": "lag_7", "moving_avg_7": "rolling_mean_7"}
     listed = F.array(*[F.struct(F.lit(m).alias("model"), F.col(c).cast("double").alias("y_pred")) for m, c in scores.items()])
     long = rows.select(*KEYS, "date", F.col("sales").alias("y_true"), F.explode(listed).alias("_p"))
-    long = long.select(*KEYS, "date", "y_true", "_p.model", "_p.y_pred")
-    told = comparison_table(metrics(long), baseline="seasonal_naive").join(long.groupBy("model").agg(F.count("y_pred").alias("n_rows")), "model")
-    return told.select("model", "n_rows", (F.col("WMAPE") >= 0).alias("scored"))
+    return long.select(*KEYS, "date", "y_true", "_p.model", "_p.y_pred")
+
+
+@query("e07_with_learned_model")
+def with_learned_model(spark, sf_dir):
+    """The learned model compared with baselines."""
+    return comparison_table(metrics(_scored_test(spark, sf_dir)), baseline="seasonal_naive")
+
+
+@query(
+    "e07_learned_beside_baselines",
+    f"""{PANEL}, x as (select split, sales y, lag(sales, 1) over w naive, lag(sales, 7) over w seasonal_naive,
+            avg(sales) over (partition by store_id, item_id order by date rows between 7 preceding and 1 preceding) moving_avg_7,
+            lag(sales, 28) over w oldest from panel window w as (partition by store_id, item_id order by date)),
+        scored as (select * from x where split = 'test' and oldest is not null)
+        select model, round(avg(abs(y - p)), 6) MAE, round(sqrt(avg((y - p) * (y - p))), 6) RMSE,
+            round(sum(abs(y - p)) / sum(abs(y)) * 100, 6) WMAPE
+        from (unpivot scored on naive, seasonal_naive, moving_avg_7 into name model value p) group by 1""",
+)
+def learned_beside_baselines(spark, sf_dir):
+    """The scores that SQL can follow of the comparison with the learned model, on the very rows that it is scored on."""
+    scored = metrics(_scored_test(spark, sf_dir).where("model <> 'boosted_trees'"))
+    return scored.select("model", *[F.round(m, 6).alias(m) for m in ("MAE", "RMSE", "WMAPE")])
 
 
 @query("s11_saved_model")
 def saved_model(spark, sf_dir):
     """Predictions of a saved and reloaded model."""
     path = fresh_path(spark, "model")
-    models.save_model(fitted(spark, sf_dir), path)
-    scored = boosting.predict(models.load_model(path), training(spark, sf_dir).where("split = 'test'"))
+    models.save_model(fitted(spark, sf_dir), path, spark)
+    scored = boosting.predict(models.load_model(path, spark), training(spark, sf_dir).where("split = 'test'"))
     return scored.select(*KEYS, "date", "sales", "y_pred")

@@ -29,14 +29,19 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+def staged_path(spark: SparkSession, sf_dir: str, label: str, write: Callable[[str], None]) -> str:
+    """Where ``write`` has put what it derives from the supplied tables, once per session, in the shared folder."""
+    key = (spark.sparkContext.applicationId, sf_dir, label)
+    if key not in _STAGED:
+        path = fresh_path(spark, label)
+        write(path)
+        _STAGED[key] = path
+    return _STAGED[key]
+
+
 def staged(spark: SparkSession, sf_dir: str, label: str, build: Query) -> DataFrame:
     """The table ``build`` derives from the supplied ones, written once per session to the shared folder.
 
     Later queries read the written table, as a production flow reads the output of its preparation step.
     """
-    key = (spark.sparkContext.applicationId, sf_dir, label)
-    if key not in _STAGED:
-        path = fresh_path(spark, label)
-        build(spark, sf_dir).write.parquet(path)
-        _STAGED[key] = path
-    return spark.read.parquet(_STAGED[key])
+    return spark.read.parquet(staged_path(spark, sf_dir, label, lambda path: build(spark, sf_dir).write.parquet(path)))

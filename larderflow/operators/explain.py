@@ -1,22 +1,29 @@
-"""Shapley attributions by sampled feature orders, as one Spark job.
+"""Shapley attributions of predictions against a background sample, as one Spark job.
 
-For a feature order, features switch one by one from a background row's values to the explained row's values; each
-switch's change in prediction is credited to that feature. Averages over orders and background rows are the
-attributions; their sum is always prediction minus base value.
+A game between an explained row and a background row: each feature has the value of either. The attribution of a feature is
+its Shapley value in that game, averaged over the background rows; the sum is always prediction minus base value.
+
+For boosted trees (``tree_attributions``) the values are exact: a leaf pays only if each feature on its path is followed
+by one of the two rows, and its share for a feature depends only on how many features just the explained row follows, and how many
+just the background row. For any other prediction (``attributions``) seeded feature orders are sampled: features switch one by one
+from the background row's values to the explained row's, and each switch's change in prediction is credited to the feature.
 """
 
 from __future__ import annotations
 
 import random
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from itertools import permutations
 from math import factorial
 
-from pyspark.ml import PipelineModel
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from larderflow.operators.boosting import feature_names
+from larderflow.operators.boosting import BoostedTrees, feature_names, raw_prediction
 
 Predict = Callable[[DataFrame], DataFrame]
 
@@ -41,7 +48,7 @@ def feature_orders(n_features: int, n_orders: int, seed: int = 42) -> list[list[
 
 
 def attributions(
-    model: PipelineModel,
+    model: BoostedTrees,
     rows: DataFrame,
     row_key: Sequence[str],
     background: DataFrame,
@@ -55,7 +62,7 @@ def attributions(
     background rows, spread over the tasks of ``rows``; all states of a row are made and averaged in its own task.
     """
     names = feature_names(model)
-    predict = predict or (lambda df: model.transform(df).drop("features"))
+    predict = predict or (lambda df: df.withColumn("prediction", raw_prediction(model)))
     n_bg = background.select(*names).agg(
         F.collect_list(F.struct(*[F.col(c).cast("double").alias(c) for c in names])).alias("b")
     )
@@ -108,6 +115,106 @@ def attributions(
     return totals.select(*key, "base_value", "prediction", F.inline(F.array(*cells)))
 
 
+class _Paths:
+    """All leaves of a model with the features on their paths: for every leaf up to ``width`` different ones."""
+
+    def __init__(self, model: BoostedTrees) -> None:
+        self.conditions: list[list[tuple[int, int, bool]]] = []  # of each leaf: (place of the inner node, slot, goes left)
+        self.inner: list[tuple[int, float, bool]] = []  # feature, threshold, missing_left
+        slots: list[list[int]] = []
+        values: list[float] = []
+        for tree in model.trees:
+            waiting: list[tuple[int, list[tuple[int, bool]]]] = [(0, [])]
+            while waiting:
+                node, way = waiting.pop()
+                if not tree.is_leaf(node):
+                    self.inner.append((tree.feature[node], tree.threshold[node], tree.missing_left[node]))
+                    step = len(self.inner) - 1
+                    waiting += [(tree.left[node], [*way, (step, True)]), (tree.left[node] + 1, [*way, (step, False)])]
+                    continue
+                own = list(dict.fromkeys(self.inner[step][0] for step, _ in way))
+                self.conditions.append([(step, own.index(self.inner[step][0]), left) for step, left in way])
+                slots.append(own)
+                values.append(tree.value[node])
+        self.width = max(map(len, slots), default=0)
+        self.values = np.array(values)
+        self.features = np.array([own + [0] * (self.width - len(own)) for own in slots], np.int64).reshape(len(slots), self.width)
+        self.whole = np.array([(1 << len(own)) - 1 for own in slots], np.uint32)
+        longest = max(map(len, self.conditions), default=0)
+        padded = [c + [(-1, 0, True)] * (longest - len(c)) for c in self.conditions]
+        self.steps = np.array(padded, np.int64).reshape(len(padded), longest, 3)
+        # Share of a leaf's value for one of a features that only the row follows, and of b that only the other one follows.
+        n = self.width + 1
+        self.gain, self.loss = np.zeros((n, n)), np.zeros((n, n))
+        for a in range(n):
+            for b in range(n - a):
+                self.gain[a, b] = factorial(a - 1) * factorial(b) / factorial(a + b) if a else 0.0
+                self.loss[a, b] = factorial(a) * factorial(b - 1) / factorial(a + b) if b else 0.0
+
+    def followed(self, values: np.ndarray) -> np.ndarray:
+        """By (row, leaf): the bits of the features whose conditions on the leaf's path the row meets."""
+        told = np.array(self.inner).reshape(-1, 3)
+        x = values[:, told[:, 0].astype(np.int64)]
+        left = (x <= told[:, 1]) | (np.isnan(x) & (told[:, 2] > 0))
+        bits = np.tile(self.whole, (len(values), 1))
+        for k in range(self.steps.shape[1]):
+            step, slot, goes_left = self.steps[:, k].T
+            broken = (left[:, step] != (goes_left > 0)) & (step >= 0) if len(self.inner) else np.zeros(bits.shape, bool)
+            bits &= ~(broken.astype(np.uint32) << slot.astype(np.uint32))
+        return bits
+
+    def shares(self, row: np.ndarray, others: np.ndarray, n_features: int) -> np.ndarray:
+        """Sums over the background rows (their bits: ``others``) of all leaves' shares, by feature."""
+        at, leaf = np.nonzero((others | row) == self.whole)
+        theirs, own = others[at, leaf], row[leaf]
+        mine, not_mine = own & ~theirs, theirs & ~own
+        a, b = np.bitwise_count(mine), np.bitwise_count(not_mine)
+        gain, loss = self.gain[a, b] * self.values[leaf], self.loss[a, b] * self.values[leaf]
+        total = np.zeros(n_features)
+        for k in range(self.width):
+            part = np.where(mine >> np.uint32(k) & 1, gain, 0.0) - np.where(not_mine >> np.uint32(k) & 1, loss, 0.0)
+            total += np.bincount(self.features[leaf, k], part, n_features)
+        return total
+
+
+def tree_attributions(model: BoostedTrees, rows: DataFrame, row_key: Sequence[str], background: DataFrame) -> DataFrame:
+    """Long ``(row_key, base_value, prediction, feature, feature_value, attribution)`` with the exact values for boosted trees.
+
+    ``background`` must be a bounded sample: it goes to every task, whose work is its rows times background rows times
+    leaves. Missing values follow the trees like others; predictions are those before the bound at 0.
+    """
+    names, key = feature_names(model), list(row_key)
+    sample = np.array([[np.nan if x is None else x for x in r] for r in background.select(*[F.col(c).cast("double") for c in names]).collect()], float)
+    sample = sample.reshape(-1, len(names))
+    if not len(sample):
+        raise ValueError("the background sample has no rows")
+    paths = _Paths(model)
+    if paths.width > 32:
+        raise ValueError("paths of more than 32 different features are not supported")
+    narrow = rows.select(*key, *[F.col(c).cast("double").alias(f"_x{k}") for k, c in enumerate(names)])
+    fields = StructType.fromDDL("base_value double, prediction double, feature string, feature_value double, attribution double")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        others = paths.followed(sample)
+        base = float(model.scores(sample).mean())
+        for whole in batches:
+            for start in range(0, len(whole), 64):
+                batch = whole.slice(start, 64)
+                given = batch.columns[len(key) :]
+                values = np.column_stack([pc.fill_null(c, float("nan")).to_numpy(zero_copy_only=False) for c in given])
+                bits = paths.followed(values)
+                found = np.array([paths.shares(row, others, len(names)) for row in bits]) / len(sample)
+                each = pa.array(np.repeat(np.arange(len(batch)), len(names)))
+                columns = [c.take(each) for c in batch.columns[: len(key)]]
+                columns += [pa.array(np.full(len(each), base)), pa.array(model.scores(values)).take(each)]
+                columns += [pa.array(names * len(batch)), pa.array(values.ravel(), from_pandas=True), pa.array(found.ravel())]
+                yield pa.record_batch(columns, [*key, *fields.names])
+
+    # A row costs far more than to send it, so rows are dealt over all tasks.
+    dealt = narrow.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    return dealt.mapInArrow(run, StructType([*narrow.schema.fields[: len(key)], *fields]))
+
+
 def global_importance(attributed: DataFrame, top_n: int = 20) -> DataFrame:
     """Mean absolute attribution per feature, largest first."""
     return (

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
+import uuid
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,17 +46,20 @@ def schema_issues(df: DataFrame, expected: Mapping[str, str]) -> list[tuple[str,
     return issues
 
 
-def count_report(df: DataFrame, dataset: str, checks: Sequence[tuple]) -> DataFrame:
-    """Run every ``(check, severity, failing rows count[, detail])`` in one pass and return one row per check.
+def _measures(checks: Sequence[tuple]) -> list[Column]:
+    """What is counted for each ``(check, severity, failing rows count[, detail])``.
 
-    ``detail``, an aggregate too, says more about a failure; by default it is what stands behind the colon of the check's
-    name. It is null for checks that pass.
+    ``detail``, an aggregate too, says more about a failure; by default it is what stands behind the colon of the check's name.
     """
     measures = []
     for i, (name, _, expr, *detail) in enumerate(checks):
         told = detail[0] if detail else F.lit(name.partition(":")[2] or None)
         measures += [F.coalesce(expr, F.lit(0)).cast("bigint").alias(f"c{i}"), told.cast("string").alias(f"d{i}")]
-    counts = df.agg(*measures)
+    return measures
+
+
+def _report_rows(counts: DataFrame, dataset: str, checks: Sequence[tuple]) -> DataFrame:
+    """One row per check from the single row of its measures; ``detail`` is null for checks that pass."""
     rows = [
         F.struct(
             F.lit(name).alias("check"),
@@ -70,6 +74,47 @@ def count_report(df: DataFrame, dataset: str, checks: Sequence[tuple]) -> DataFr
     )
 
 
+def count_report(df: DataFrame, dataset: str, checks: Sequence[tuple]) -> DataFrame:
+    """Run every check (see ``_measures``) in one pass and return one row per check."""
+    return _report_rows(df.agg(*_measures(checks)), dataset, checks)
+
+
+class Watched:
+    """Measures of a table taken while something else is done with it, so that they cost no scan of their own.
+
+    Use ``rows`` in place of the table, once, in an action that reads all of it (a write, say); ``result()`` then gives what
+    the scanning check gives. It waits for that action, so do not ask before. One number per measure reaches the driver. Only
+    rows that the action reads are counted: a limit behind ``rows`` would cut them short.
+    """
+
+    def __init__(self, df: DataFrame, measures: Sequence[Column], finish: Callable[[DataFrame], DataFrame]) -> None:
+        self._observation = Observation(f"watched-{uuid.uuid4().hex}")
+        self._schema = df.agg(*measures).schema
+        self._finish = finish
+        self.rows = df.observe(self._observation, *measures)
+
+    def result(self) -> DataFrame:
+        told = self._observation.get
+        spark = self.rows.sparkSession
+        return self._finish(spark.createDataFrame([tuple(told[c] for c in self._schema.names)], T.StructType([T.StructField(f.name, f.dataType) for f in self._schema])))
+
+
+def watch_checks(df: DataFrame, dataset: str, checks: Sequence[tuple]) -> Watched:
+    """The report of ``count_report``, taken while ``rows`` are used."""
+    return Watched(df, _measures(checks), lambda counts: _report_rows(counts, dataset, checks))
+
+
+def watch_nulls(df: DataFrame, columns: Sequence[str] | None = None) -> Watched:
+    """``null_counts``, taken while ``rows`` are used."""
+    columns = list(columns or df.columns)
+    return Watched(df, _null_measures(columns), lambda counted: _null_rows(counted, columns))
+
+
+def watch_date_range(df: DataFrame, date: str = "date") -> Watched:
+    """``date_range``, taken while ``rows`` are used."""
+    return Watched(df, _range_measures(date), lambda told: told)
+
+
 def unreadable_checks(columns: Iterable[str]) -> list[tuple]:
     """Rows with a cell that its column could not hold, where the reader kept them; the detail is one such row."""
     return [("unreadable", "error", F.count(UNREADABLE), F.min(UNREADABLE))] if UNREADABLE in columns else []
@@ -79,12 +124,19 @@ def null_checks(columns: Iterable[str], severity: str = "error") -> list[tuple[s
     return [(f"null:{c}", severity, F.count_if(F.col(c).isNull())) for c in columns]
 
 
+def _null_measures(columns: Sequence[str]) -> list[Column]:
+    return [F.count_if(F.col(c).isNull()).alias(c) for c in columns]
+
+
+def _null_rows(counted: DataFrame, columns: Sequence[str]) -> DataFrame:
+    pairs = [F.struct(F.lit(c).alias("column"), F.col(c).alias("n_null")) for c in columns]
+    return counted.select(F.inline(F.array(*pairs)))
+
+
 def null_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """``(column, n_null)`` for the given columns in one pass."""
     columns = list(columns or df.columns)
-    counted = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns])
-    pairs = [F.struct(F.lit(c).alias("column"), F.col(c).alias("n_null")) for c in columns]
-    return counted.select(F.inline(F.array(*pairs)))
+    return _null_rows(df.agg(*_null_measures(columns)), columns)
 
 
 def range_checks(ranges: Mapping[str, tuple[float, float]]) -> list[tuple[str, str, Column]]:
@@ -146,15 +198,19 @@ def check_sales(df: DataFrame, dataset: str = "sales") -> DataFrame:
     return _stack(reports)
 
 
-def date_range(df: DataFrame, date: str = "date") -> DataFrame:
-    """One row: unparsable dates, first and last date, span in days."""
+def _range_measures(date: str) -> list[Column]:
     day = F.expr(f"try_cast(`{date}` as date)")
-    return df.agg(
+    return [
         F.count_if(F.col(date).isNotNull() & day.isNull()).alias("n_bad"),
         F.min(day).alias("first_date"),
         F.max(day).alias("last_date"),
         F.datediff(F.max(day), F.min(day)).alias("span_days"),
-    )
+    ]
+
+
+def date_range(df: DataFrame, date: str = "date") -> DataFrame:
+    """One row: unparsable dates, first and last date, span in days."""
+    return df.agg(*_range_measures(date))
 
 
 def check_calendar(df: DataFrame, dataset: str = "calendar") -> DataFrame:
@@ -174,16 +230,21 @@ def check_calendar(df: DataFrame, dataset: str = "calendar") -> DataFrame:
     return _stack([*reports, count_report(df, dataset, checks)])
 
 
-def check_prices(df: DataFrame, dataset: str = "prices") -> DataFrame:
-    """Schema, any null, non-positive prices (errors) and unusually high prices (warning)."""
-    expected = {"store_id": "string", "item_id": "string", "wm_yr_wk": "int", "sell_price": "double"}
-    checks = [*null_checks([c for c in df.columns if c != UNREADABLE]), *unreadable_checks(df.columns)]
-    if "sell_price" in df.columns:
+def price_checks(columns: Sequence[str]) -> list[tuple]:
+    """Any null, non-positive prices (errors) and unusually high prices (warning)."""
+    checks = [*null_checks([c for c in columns if c != UNREADABLE]), *unreadable_checks(columns)]
+    if "sell_price" in columns:
         checks += [
             ("positive:sell_price", "error", F.count_if(F.col("sell_price") <= 0)),
             ("high:sell_price", "warning", F.count_if(F.col("sell_price") > HIGH_PRICE)),
         ]
-    return _stack([_issue_rows(df, dataset, schema_issues(df, expected)), count_report(df, dataset, checks)])
+    return checks
+
+
+def check_prices(df: DataFrame, dataset: str = "prices") -> DataFrame:
+    """Schema and the checks of ``price_checks``."""
+    expected = {"store_id": "string", "item_id": "string", "wm_yr_wk": "int", "sell_price": "double"}
+    return _stack([_issue_rows(df, dataset, schema_issues(df, expected)), count_report(df, dataset, price_checks(df.columns))])
 
 
 def check_all(sales: DataFrame, calendar: DataFrame, prices: DataFrame) -> DataFrame:

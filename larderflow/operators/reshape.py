@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larderflow.operators.quality import Watched
 from larderflow.schemas import DAY_PREFIX, EVENTS, IDENTIFIERS, NO_EVENT, SERIES, SNAP, UNREADABLE, day_columns
 
 
@@ -64,12 +65,21 @@ def fill_events(df: DataFrame) -> DataFrame:
 
 def missing_prices(df: DataFrame, price: str = "sell_price") -> DataFrame:
     """One row: number and percent of rows without a price."""
+    return df.agg(*_missing_measures(price))
+
+
+def watch_missing_prices(df: DataFrame, price: str = "sell_price") -> Watched:
+    """``missing_prices``, taken while ``rows`` are used."""
+    return Watched(df, _missing_measures(price), lambda told: told)
+
+
+def _missing_measures(price: str) -> list[Column]:
     gone = F.col(price).isNull()
-    return df.agg(
+    return [
         F.count(F.lit(1)).alias("n_rows"),
         F.count_if(gone).alias("n_missing"),
         (F.avg(gone.cast("double")) * 100).alias("pct_missing"),
-    )
+    ]
 
 
 def daily_calendar(df: DataFrame, start: Column, end: Column, date: str = "date") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from larderflow.operators.series import block_window, with_blocks
@@ -17,7 +17,10 @@ MIN_SCALE = 1e-8
 
 @dataclass(frozen=True)
 class PanelRoles:
-    """Which columns are static, known in advance, or only known in the past."""
+    """Which columns are static, known in advance, or only known in the past.
+
+    Known columns enter encoder and decoder, unknown reals and the target only the encoder; static ones stand once per example.
+    """
 
     target: str = "sales"
     static_categoricals: tuple[str, ...] = ()
@@ -36,6 +39,12 @@ def time_index(df: DataFrame, date: str = "date") -> DataFrame:
     return df.withColumn("time_idx", F.datediff(date, start))
 
 
+def _ahead(struct: Column, w: WindowSpec, first: int, last: int, **fields: str) -> dict[str, Column]:
+    """The fields of the rows ``first`` to ``last`` of the frame as arrays. Rows are gathered whole, so nulls keep their place."""
+    rows = F.collect_list(struct).over(w.rowsBetween(first, last))
+    return {name: rows[field] for name, field in fields.items()}
+
+
 def build_sequences(
     df: DataFrame,
     columns: Sequence[str] = ("sales",),
@@ -45,29 +54,45 @@ def build_sequences(
     date: str = "date",
     gap_free: bool = False,
     min_decoder: int | None = None,
+    roles: PanelRoles | None = None,
 ) -> DataFrame:
     """One training example per row that has enough past and future.
 
     ``encoder``: array of feature vectors of up to ``encoder_length`` rows ending at the row; ``decoder``: the next
-    ``prediction_length`` targets; ``relative_idx``: positions with 0 at the row; ``encoder_len``. Decoders shorter than
-    ``min_decoder`` (default: the full length) are left out.
+    ``prediction_length`` targets; ``relative_idx``: positions with 0 at the row; ``encoder_len``. Decoders of fewer rows than
+    ``min_decoder`` (default: the full length) are left out; a row without a target counts and stands in its place as null.
+
+    ``roles`` name what the columns are for, in place of ``columns`` and ``target``; then there are also ``encoder_categories`` and
+    ``decoder_categories`` (known categoricals of each row), ``decoder_reals`` (known reals of each row ahead) and ``static``.
     """
     past, future = settings.encoder_length, settings.prediction_length
     min_decoder = future if min_decoder is None else min_decoder
+    if roles is not None:
+        columns, target = roles.encoder_columns(), roles.target
     w = block_window(keys, date)
-    vector = F.array(*[F.col(c).cast("double") for c in columns])
-    encoder = F.collect_list(vector).over(w.rowsBetween(-(past - 1), 0))
-    decoder = F.collect_list(F.col(target).cast("double")).over(w.rowsBetween(1, future))
-    blocks = with_blocks(
-        df.select(*dict.fromkeys([*keys, date, *columns, target])), keys, date, past - 1, future, gap_free
-    )
-    built = blocks.withColumns({"encoder": encoder, "decoder": decoder}).where("_own")
+    reals = lambda names: F.array(*[F.col(c).cast("double") for c in names]).cast("array<double>")
+    texts = lambda names: F.array(*[F.col(c).cast("string") for c in names]).cast("array<string>")
+    seen = {"x": reals(columns)}
+    ahead = {"y": F.col(target).cast("double")}
+    encoder, decoder, static = {"encoder": "x"}, {"decoder": "y"}, {}
+    used = [*columns, target]
+    if roles is not None:
+        used += [*roles.known_reals, *roles.known_categoricals, *roles.static_categoricals]
+        seen |= {"c": texts(roles.known_categoricals)}
+        ahead |= {"x": reals(roles.known_reals), "c": texts(roles.known_categoricals)}
+        encoder |= {"encoder_categories": "c"}
+        decoder |= {"decoder_reals": "x", "decoder_categories": "c"}
+        static = {"static": texts(roles.static_categoricals)}
+    struct = lambda parts: F.struct(*[c.alias(n) for n, c in parts.items()])
+    blocks = with_blocks(df.select(*dict.fromkeys([*keys, date, *used])), keys, date, past - 1, future, gap_free)
+    gathered = _ahead(struct(seen), w, -(past - 1), 0, **encoder) | _ahead(struct(ahead), w, 1, future, **decoder)
+    built = blocks.withColumns(gathered | static).where("_own")
     length = F.size("encoder")
     return built.where((length >= settings.min_encoder_length) & (F.size("decoder") >= min_decoder)).select(
         *keys,
         date,
-        "encoder",
-        "decoder",
+        *gathered,
+        *static,
         length.alias("encoder_len"),
         F.sequence(1 - length, F.size("decoder")).alias("relative_idx"),
     )

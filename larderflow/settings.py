@@ -36,6 +36,10 @@ class BoostingSettings:
     colsample: float = 0.8
     seed: int = 42
     validation_tol: float = 0.01
+    patience: int = 10
+    reg_lambda: float = 1.0
+    min_child_weight: float = 1.0
+    local_rows: int = 262_144
 
 
 @dataclass(frozen=True)

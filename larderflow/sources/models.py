@@ -4,27 +4,27 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larderflow.operators.boosting import NotFitted, feature_names
+from larderflow.operators.boosting import BoostedTrees, NotFitted, described, feature_names, node_table, restored
 
 
-def save_model(model: PipelineModel | None, path: str) -> None:
-    """Write the fitted stages; the feature list is part of the assembler stage."""
+def save_model(model: BoostedTrees | None, path: str, spark: SparkSession) -> None:
+    """Write the nodes of all trees as Parquet and the rest of the model, with its feature list, beside them."""
     if model is None:
         raise NotFitted("no model to save")
-    model.write().overwrite().save(path)
+    node_table(model, spark).coalesce(1).write.mode("overwrite").parquet(f"{path}/nodes")
+    spark.createDataFrame([(described(model),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/model")
 
 
-def load_model(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
+def load_model(path: str, spark: SparkSession) -> BoostedTrees:
+    return restored(spark.read.text(f"{path}/model").first().value, spark.read.parquet(f"{path}/nodes"))
 
 
 def model_card(
     spark: SparkSession,
-    model: PipelineModel,
+    model: BoostedTrees,
     name: str,
     version: str,
     kind: str,

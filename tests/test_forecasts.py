@@ -98,6 +98,39 @@ def test_sequences(spark, gap_free):
     assert last.relative_idx == [-5, -4, -3, -2, -1, 0, 1, 2]
 
 
+@pytest.mark.parametrize("gap_free", [True, False])
+def test_days_without_target_keep_their_place(spark, gap_free):
+    df = frame(spark, a=31).withColumn("sales", F.when(F.dayofyear("date") % 10 != 0, F.col("sales")))
+    expected = [r.sales for r in df.orderBy("date").collect()]
+    assert None in expected
+    out = sequences.build_sequences(df, min_decoder=1, gap_free=gap_free).orderBy("date").collect()
+    assert len(out) == 31 - 13 - 1
+    for i, r in enumerate(out):
+        at = i + 14
+        assert r.decoder == expected[at : at + 7]
+        assert [v[0] for v in r.encoder] == expected[max(0, at - 28) : at]
+        assert r.relative_idx[-1] == len(r.decoder)
+
+
+def test_sequences_with_roles(spark):
+    df = frame(spark, a=24).withColumns({"dow": F.dayofweek("date"), "price": F.col("sales") / 2, "event": F.when(F.col("sales") == 20, "fair")})
+    roles = sequences.PanelRoles(
+        static_categoricals=("item_id",), known_categoricals=("event",), known_reals=("dow",), unknown_reals=("price",)
+    )
+    settings = ForecastSettings(encoder_length=3, min_encoder_length=3, prediction_length=2)
+    rows = df.orderBy("date").collect()
+    out = sequences.build_sequences(df, settings=settings, roles=roles).orderBy("date").collect()
+    assert len(out) == 24 - 2 - 2
+    for i, r in enumerate(out):
+        before, after = rows[i : i + 3], rows[i + 3 : i + 5]
+        assert r.static == ["a"]
+        assert r.encoder == [[x.sales, float(x.dow), x.price] for x in before] and r.encoder_categories == [[x.event] for x in before]
+        assert r.decoder == [x.sales for x in after] and r.decoder_reals == [[float(x.dow)] for x in after]
+        assert r.decoder_categories == [[x.event] for x in after]
+    bare = sequences.build_sequences(df, settings=settings, roles=sequences.PanelRoles()).first()
+    assert bare.static == [] and bare.decoder_reals == [[], []] and len(bare.encoder[0]) == 1
+
+
 def test_sequences_cross_block_edges(spark):
     out = sequences.build_sequences(frame(spark, a=2500)).orderBy("date").collect()
     assert len(out) == 2500 - 13 - 7

@@ -32,7 +32,84 @@ def test_predictions_are_never_negative_and_keep_every_row(rows, model, spark):
     out = boosting.predict(model, incomplete)
     assert out.count() == 600
     assert out.where("y_pred < 0").isEmpty()
-    assert out.where("y_pred is null").count() == 60
+    assert out.where("y_pred is null").isEmpty()
+
+
+def plain_split(rows, names, reg_lambda=1.0):
+    """The best first split by trying every value of every feature, missing rows on either side."""
+    g = [r["p"] - r["sales"] for r in rows]
+    score = lambda some: sum(g[k] for k in some) ** 2 / (len(some) + reg_lambda)
+    best = None
+    for name in names:
+        values = sorted({r[name] for r in rows if r[name] is not None})
+        for limit in values:
+            for missing_left in (True, False):
+                left = [k for k, r in enumerate(rows) if (missing_left if r[name] is None else r[name] <= limit)]
+                right = sorted(set(range(len(rows))) - set(left))
+                if left and right:
+                    gain = score(left) + score(right) - score(range(len(rows)))
+                    if best is None or gain > best[0] + 1e-9:
+                        best = (gain, name, limit, missing_left, left, right)
+    return best
+
+
+def test_first_tree_equals_trying_every_split(spark):
+    """Depth 2, missing values in all features, once over all tasks and once in one task."""
+    table = [(k, None if k % 3 == 0 else float(k % 11), None if k % 4 == 1 else float(k * 7 % 13), float(k % 5), (k * k % 17) * 1.0) for k in range(120)]
+    df = spark.createDataFrame(table, "id string, a double, b double, c double, sales double".replace("id string", "id long")).repartition(4)
+    for local_rows in (1, 1000):
+        settings = BoostingSettings(n_estimators=1, max_depth=2, subsample=1.0, colsample=1.0, learning_rate=1.0, local_rows=local_rows)
+        model = boosting.fit(df, ["a", "b", "c"], settings=settings)
+        rows = [r.asDict() | {"p": model.base} for r in df.collect()]
+        tree = model.trees[0]
+
+        def check(node, some, levels):
+            found = plain_split(some, ["a", "b", "c"])
+            if not levels:
+                assert tree.value[node] == pytest.approx(-sum(r["p"] - r["sales"] for r in some) / (len(some) + 1), abs=1e-6)
+                return
+            assert tree.gain[node] == pytest.approx(found[0], abs=1e-4)
+            assert (model.features[tree.feature[node]], tree.missing_left[node]) == (found[1], found[3])
+            check(tree.left[node], [some[k] for k in found[4]], levels - 1)
+            check(tree.left[node] + 1, [some[k] for k in found[5]], levels - 1)
+
+        check(0, rows, 2)
+
+
+def test_trees_do_not_depend_on_partitions_or_on_who_grows_them(rows):
+    noisy = rows.withColumn("sales", F.col("sales") + (F.xxhash64("id") % 7) / 3).withColumn("x2", F.when(F.col("id") % 6 != 0, F.col("x2")))
+    settings = BoostingSettings(n_estimators=12, max_depth=4)
+    one = boosting.fit(noisy.repartition(1), FEATURES, settings=settings)
+    many = boosting.fit(noisy.repartition(7), FEATURES, settings=BoostingSettings(n_estimators=12, max_depth=4, local_rows=40))
+    predictions = [{r.id: r.y_pred for r in boosting.predict(m, noisy).collect()} for m in (one, many)]
+    assert predictions[0] == pytest.approx(predictions[1], abs=1e-6)
+    again = boosting.fit(noisy.repartition(5), FEATURES, settings=settings)
+    assert boosting.described(again) == boosting.described(one) and again.trees == one.trees
+
+
+def test_missing_values_carry_meaning(spark):
+    """Rows without a value sell 9, others 1: a model that dropped them would not know."""
+    df = spark.range(300).selectExpr("id", "if(id % 4 = 0, null, double(id % 9)) x1", "double(id % 2) x2", "if(id % 4 = 0, 9.0D, 1.0D) sales")
+    model = boosting.fit(df, ["x1", "x2"], settings=BoostingSettings(n_estimators=60, max_depth=2, subsample=1.0, colsample=1.0))
+    out = boosting.predict(model, df)
+    assert out.where("abs(y_pred - sales) > 0.1").isEmpty()
+    assert boosting.feature_importance(model, spark).first().feature == "x1"
+
+
+def test_rows_without_target_are_counted_and_empty_tables_predict_zero(rows, spark):
+    some = rows.withColumn("sales", F.when(F.col("id") >= 10, F.col("sales")))
+    model = boosting.fit(some, FEATURES, settings=SETTINGS)
+    assert (model.n_rows, model.n_without_target) == (590, 10)
+    assert boosting.predict(model, some).where("y_pred is null").isEmpty()
+    empty = boosting.fit(rows.limit(0), FEATURES, settings=SETTINGS)
+    assert {r.y_pred for r in boosting.predict(empty, rows.limit(3)).collect()} == {0.0}
+
+
+def test_many_values_are_binned_by_quantiles(spark):
+    df = spark.range(5000).selectExpr("double(id) x", "double(id % 3) y", "cast(null as double) none")
+    edges = boosting.bin_edges(df, ["x", "y", "none"])
+    assert edges["y"] == [0.0, 1.0] and edges["none"] == []
+    assert len(edges["x"]) == 254 and max(b - a for a, b in zip(edges["x"], edges["x"][1:])) < 25
 
 
 def test_importance_sums_to_one_and_is_ranked(model, spark):
@@ -46,7 +123,7 @@ def test_missing_model(rows, spark):
     for call in (
         lambda: boosting.predict(None, rows),
         lambda: boosting.feature_importance(None, spark),
-        lambda: models.save_model(None, "x"),
+        lambda: models.save_model(None, "x", spark),
     ):
         with pytest.raises(boosting.NotFitted):
             call()
@@ -70,7 +147,7 @@ def test_attributions_add_up_to_the_prediction(rows, model):
     sums = found.groupBy("id").agg(
         F.sum("attribution").alias("total"), F.first("base_value").alias("base"), F.first("prediction").alias("prediction")
     )
-    joined = sums.join(model.transform(rows.drop("prediction")).select("id", F.col("prediction").alias("direct")), "id")
+    joined = sums.join(rows.select("id", boosting.raw_prediction(model).alias("direct")), "id")
     assert joined.count() == 40
     assert joined.where(F.abs(F.col("base") + F.col("total") - F.col("direct")) > 1e-9).isEmpty()
     assert explain.global_importance(found, 2).first().feature == "x1"
@@ -84,7 +161,7 @@ def test_all_orders_give_exact_shapley_values(rows, spark):
     means = background.agg(*[F.avg(c).alias(c) for c in FEATURES]).first()
 
     class Linear:
-        stages = [type("A", (), {"getInputCols": staticmethod(lambda: FEATURES)})]
+        features = FEATURES
 
     predict = lambda df: df.withColumn("prediction", 2 * F.col("x1") + F.col("x2") * F.col("x2"))
     found = explain.attributions(Linear(), rows.where("id < 5"), ["id"], background, n_orders=6, predict=predict)
@@ -93,6 +170,27 @@ def test_all_orders_give_exact_shapley_values(rows, spark):
     assert all(r.attribution == 0 for r in found.where("feature = 'noise'").collect())
 
 
+def test_tree_attributions_equal_all_orders(rows, spark):
+    """Exact values against all six orders of three features, with missing values on both sides."""
+    some = rows.withColumn("x1", F.when(F.col("id") % 5 != 0, F.col("x1"))).withColumn("noise", F.when(F.col("id") % 3 != 0, F.col("noise")))
+    model = boosting.fit(some, FEATURES, settings=BoostingSettings(n_estimators=6, max_depth=4, subsample=0.7, colsample=1.0))
+    background = explain.background_sample(some, FEATURES, n=12)
+    key = lambda r: (r.id, r.feature)
+    few = some.where("id < 30")
+    exact = sorted(explain.tree_attributions(model, few, ["id"], background).collect(), key=key)
+    sampled = sorted(explain.attributions(model, few, ["id"], background, n_orders=6).collect(), key=key)
+    assert [key(r) for r in exact] == [key(r) for r in sampled]
+    for a, b in zip(exact, sampled, strict=True):
+        assert (a.attribution, a.base_value, a.prediction) == pytest.approx((b.attribution, b.base_value, b.prediction), abs=1e-9)
+        assert a.feature_value == b.feature_value
+
+
+def test_tree_attributions_of_a_model_without_splits(rows):
+    flat = boosting.fit(rows.withColumn("sales", F.lit(2.0)), FEATURES, settings=SETTINGS)
+    found = explain.tree_attributions(flat, rows.limit(2), ["id"], explain.background_sample(rows, FEATURES, n=3)).collect()
+    assert len(found) == 6 and all(r.attribution == 0 and r.prediction == r.base_value == 2 for r in found)
+
+
 def test_background_sample_is_repeatable(rows):
     a, b = (explain.background_sample(df, FEATURES, 10).collect() for df in (rows, rows.repartition(5)))
     assert sorted(a) == sorted(b) and len(a) == 10
@@ -100,8 +198,9 @@ def test_background_sample_is_repeatable(rows):
 
 def test_saved_model_predicts_the_same(rows, model, spark):
     path = fresh_path(spark, "model")
-    models.save_model(model, path)
-    loaded = models.load_model(path)
+    models.save_model(model, path, spark)
+    loaded = models.load_model(path, spark)
+    assert loaded == model
     assert boosting.feature_names(loaded) == FEATURES
     a = boosting.predict(model, rows).orderBy("id").collect()
     assert a == boosting.predict(loaded, rows).orderBy("id").collect()

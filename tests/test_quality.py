@@ -5,7 +5,8 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from larderflow.operators import quality
+from larderflow.operators import quality, reshape
+from larderflow.session import fresh_path
 
 WIDE = "id string, item_id string, dept_id string, cat_id string, store_id string, state_id string, d_1 int, d_2 int"
 CALENDAR = "date string, wm_yr_wk int, weekday string, wday int, month int, year int, d string, event_name_1 string"
@@ -86,3 +87,35 @@ def test_date_range(spark):
     df = spark.createDataFrame([("2016-01-01",), ("2016-01-31",), ("x",), (None,)], "date string")
     row = quality.date_range(df).first()
     assert (row.n_bad, str(row.first_date), str(row.last_date), row.span_days) == (1, "2016-01-01", "2016-01-31", 30)
+
+
+def test_checks_taken_while_writing_equal_the_scanning_ones_in_one_job(spark):
+    df = spark.range(1000).selectExpr(
+        "if(id % 10 = 0, null, 's') store_id", "'i' item_id", "cast(id as int) wm_yr_wk", "if(id % 7 = 0, null, id - 5.0D) sell_price",
+        "if(id % 50 = 0, 'x', '2020-01-' || (id % 28 + 1)) date",
+    )
+    checks = [*quality.price_checks(df.columns), ("told", "warning", F.count_if(F.col("sell_price") > 900), F.max("sell_price"))]
+    prices = quality.watch_checks(df, "prices", checks)
+    nulls = quality.watch_nulls(prices.rows)
+    missing = reshape.watch_missing_prices(nulls.rows)
+    dates = quality.watch_date_range(missing.rows)
+    path = fresh_path(spark, "watched")
+    spark.sparkContext.setJobGroup("watched", "one write")
+    dates.rows.write.parquet(path)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("watched")) == 1
+    for watched, scanned in (
+        (prices, quality.count_report(df, "prices", checks)), (nulls, quality.null_counts(df)), (missing, reshape.missing_prices(df)),
+        (dates, quality.date_range(df)),
+    ):
+        found = watched.result()
+        assert found.columns == scanned.columns and [f.dataType for f in found.schema] == [f.dataType for f in scanned.schema]
+        assert found.collect() == scanned.collect()
+    assert spark.read.parquet(path).count() == 1000
+
+
+def test_checks_of_an_empty_table_while_writing(spark):
+    df = spark.createDataFrame([], "store_id string, sell_price double")
+    watched = quality.watch_checks(df, "prices", quality.price_checks(df.columns))
+    watched.rows.write.parquet(fresh_path(spark, "watched"))
+    assert watched.result().collect() == quality.count_report(df, "prices", quality.price_checks(df.columns)).collect()
