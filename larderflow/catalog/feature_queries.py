@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from larderflow.catalog import tables
-from larderflow.catalog.registry import query
+from larderflow.catalog.registry import query, staged_path
 from larderflow.catalog.sql import FILLED, PANEL
 from larderflow.functions import calendar
 from larderflow.operators import encoding, fill, history, pricing, sparse
@@ -13,6 +13,7 @@ from larderflow.plans import features as feature_plan
 from larderflow.plans import incremental
 from larderflow.session import fresh_path
 from larderflow.sources import star
+from larderflow.sources.bucketed import open_bucketed, series_session, write_bucketed
 
 KEYS = ["store_id", "item_id", "date"]
 W = "over (partition by store_id, item_id order by date"
@@ -461,3 +462,23 @@ def sparse_rows(spark, sf_dir):
     built = built.drop("ratio_7_28", "ratio_14_28")
     means = [c for c in built.columns if c.startswith(("rolling_mean", "rolling_std")) or c == "expanding_mean"]
     return rounded(rounded(built, *means, digits=6), "expanding_std")
+
+
+@query(
+    "w01_bucketed_series",
+    f"""{PANEL}, x as (select store_id, item_id, date, lag(sales, 7) {W}) lag_7, round(avg(sales) {_rows(27)}, 6) rolling_mean_28,
+        last_value(sell_price ignore nulls) {W} rows between unbounded preceding and current row) sell_price from panel) select * from x""",
+)
+def bucketed_series(spark, sf_dir):
+    """Lag, window and forward fill over a panel stored in buckets of series: each step finds its rows where they are."""
+    path = staged_path(
+        spark, sf_dir, "bucketed", lambda p: write_bucketed(tables.panel(spark, sf_dir).select(*KEYS, "sales", "sell_price"), _table_of(p), p, 8)
+    )
+    rows = open_bucketed(series_session(spark), _table_of(path), path, 8)
+    out = history.with_rolling(history.with_lags(rows, periods=(7,), gap_free=True), windows=((28, ("mean",)),), gap_free=True)
+    out = fill.fill_series(out, backward=False)
+    return rounded(out.drop("sales"), "rolling_mean_28", digits=6)
+
+
+def _table_of(path: str) -> str:
+    return path.rpartition("/")[2].replace("-", "_")

@@ -61,6 +61,21 @@ def drift_flags(spark, sf_dir):
     return _drift(spark, sf_dir).withColumns({c: F.round(c, n) for c, n in digits.items()})
 
 
+@query(
+    "m03_drift_from_moments",
+    f"""{DRIFT} select "column", round(score, 6) drift_score, score > 0.15 has_drift, round(reference_mean, 4) reference_mean,
+        round(current_mean, 4) current_mean from drift""",
+)
+def drift_from_moments(spark, sf_dir):
+    """Both periods merged from stored moments of days; the rows are read once, when their day is stored."""
+    path = fresh_path(spark, "moments")
+    monitoring.store_moments(tables.panel(spark, sf_dir).select("date", *WATCHED), path, WATCHED)
+    stored = monitoring.stored_moments(spark, path)
+    reference = monitoring.profile_of(stored, last=star.TRAIN_END)
+    drift = monitoring.drift_between(reference, monitoring.profile_of(stored.where(F.col("day") > star.VAL_END)))
+    return drift.withColumns({c: F.round(c, n) for c, n in {"drift_score": 6, "reference_mean": 4, "current_mean": 4}.items()})
+
+
 @query(
     "m04_drift_summary",
     f"""{DRIFT} select count(*) total_features_monitored, count(*) filter (score > 0.15) features_with_drift,

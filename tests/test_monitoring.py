@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -125,3 +126,48 @@ def test_stream_drift(spark):
     monitor.run_available(monitor.windowed_drift(stream_of(spark, folder), profile, ["y_true"]), output, state)
     row = spark.read.parquet(output).first()
     assert (row.column, row.drift_score, row.has_drift) == ("y_true", 0.25, True)
+
+
+def test_merged_moments_equal_direct_profiles(spark):
+    """Any period from stored days, with days without values, single values and a large offset."""
+    rng = random.Random(8)
+    rows = []
+    for k in range(60):
+        for _ in range(rng.choice([0, 1, 1, 5, 40])):
+            rows.append((dt.date(2020, 1, 1) + dt.timedelta(k), 1e6 + rng.gauss(0, 3), None if k % 6 == 0 or rng.random() < 0.3 else rng.gauss(5, 2), None))
+    df = spark.createDataFrame(rows, "date date, a double, b double, none double")
+    names, path = ["a", "b", "none", "absent"], fresh_path(spark, "moments")
+    for half in ("day(date) <= 15", "day(date) > 15"):
+        monitoring.store_moments(df.where(half), path, names)
+    monitoring.store_moments(df.where("date = date'2020-01-05'"), path, names)  # once more
+    monitoring.store_moments(df.where("date = date'2020-01-09'").withColumn("a", F.lit(0.0)), path, names, version=0)  # older
+    stored = monitoring.stored_moments(spark, path)
+    for first, last in ((None, None), ("2020-01-01", "2020-01-01"), ("2020-01-10", "2020-02-03"), ("2020-02-20", None), (None, "2020-01-06")):
+        part = df.where(F.col("date").between(first or "1900-01-01", last or "2100-01-01"))
+        direct = {r.column: r for r in monitoring.profile(part, names).collect()}
+        merged = {r.column: r for r in monitoring.profile_of(stored, first, last).collect()}
+        if part.isEmpty():
+            assert not merged
+            continue
+        assert merged.keys() == direct.keys() == {"a", "b", "none"}
+        for column, row in direct.items():
+            for name in ("mean", "std", "min", "max"):
+                expected = row[name] if row[name] is None else pytest.approx(row[name], rel=1e-7)
+                assert merged[column][name] == expected, (column, name, first, last)
+
+
+def test_merging_in_any_order_gives_the_same(spark):
+    df = spark.range(300).selectExpr("date_add(date'2020-01-01', cast(id % 30 as int)) date", "double(id * 37 % 101) a")
+    stored = monitoring.moments(df, ["a"])
+    weekly = monitoring.merge_moments(stored.withColumn("week", F.weekofyear("day")), ["week", "column"])
+    twice = monitoring.merge_moments(weekly).first()
+    once = monitoring.merge_moments(stored).first()
+    assert (twice.n, twice.min, twice.max) == (once.n, once.min, once.max) == (300, 0.0, 100.0)
+    assert (twice.mean, twice.m2) == pytest.approx((once.mean, once.m2))
+
+
+def test_drift_from_stored_moments(spark):
+    df = spark.range(40).selectExpr("date_add(date'2020-01-01', cast(id as int)) date", "double(if(id < 20, 10, 13)) a", "1.0D b")
+    stored = monitoring.moments(df, ["a", "b"])
+    early, late = monitoring.profile_of(stored, last="2020-01-20"), monitoring.profile_of(stored, first="2020-01-21")
+    assert {r.column: (r.has_drift, r.drift_score) for r in monitoring.drift_between(early, late).collect()} == {"a": (True, 0.3), "b": (False, 0.0)}
