@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larderflow.catalog import tables
 from larderflow.catalog.registry import query
 from larderflow.catalog.sql import PANEL, SPARSE, WEEKLY
-from larderflow.operators import exploration, quality, reshape, splits
+from larderflow.operators import exploration, quality, ranks, reshape, splits
 from larderflow.schemas import IDENTIFIERS, day_columns
 from larderflow.session import fresh_path
 from larderflow.settings import Settings
@@ -288,11 +291,46 @@ def load_splits(spark, sf_dir):
     return files.read_splits(spark, path)[2].select("store_id", "item_id", "date", "sales")
 
 
-@query("s07_feature_table", f"{PANEL} select split, count(*) n_rows from panel group by 1")
+@query(
+    "a03_sketched_quartiles",
+    f"""{PANEL}, x as (select sales v from panel where sales > 0), c as (select sell_price v from panel where sell_price is not null)
+        select 'sold' "column", q, count(*) n_values, 0::bigint n_outside from x, (values (0.25), (0.5), (0.75)) t(q) group by 2
+        union all select 'sell_price', q, count(*), 0 from c, (values (0.25), (0.5), (0.75)) t(q) group by 2""",
+)
+def sketched_quartiles(spark, sf_dir):
+    """Quartiles merged from one sketch per split; outside means that the exact ranks of a quartile miss its share by over 1 %."""
+    rows = tables.panel(spark, sf_dir).select("split", F.when(F.col("sales") > 0, F.col("sales")).alias("sold"), "sell_price")
+    names, probs = ["sold", "sell_price"], [0.25, 0.5, 0.75]
+    merged = ranks.merge_sketches(ranks.sketches(rows, names, 0.01, ["split"]), names)
+    found = {r.column: r.quantiles for r in ranks.sketched_quantiles(merged, names, probs).collect()}
+    parts = []
+    for name in names:
+        for q, value in zip(probs, found[name], strict=True):
+            x = F.col(name)
+            below, up_to = F.avg((x < value).cast("double")), F.avg((x <= value).cast("double"))
+            outside = (below > q + 0.01) | (up_to < q - 0.01)
+            told = rows.where(x.isNotNull()).agg(F.count(x).alias("n_values"), outside.cast("bigint").alias("n_outside"))
+            parts.append(told.select(F.lit(name).alias("column"), F.lit(q).cast("decimal(3,2)").alias("q"), "n_values", "n_outside"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query(
+    "s07_feature_table",
+    f"""{PANEL}, x as (select split, store_id, item_id, date, sales, lag(sales, 28) over (partition by store_id, item_id order by date) lag_28,
+            max(sales) over (partition by store_id, item_id order by date rows between 27 preceding and current row) rolling_max_28 from panel)
+        select split, store_id, item_id, count(*) n_rows, min(date) first_date, max(date) last_date, sum(sales) sales, sum(lag_28) lag_28,
+            count(lag_28) n_lag_28, sum(rolling_max_28) rolling_max_28 from x group by 1, 2, 3""",
+)
 def feature_table(spark, sf_dir):
+    """Features written by split and read back split by split."""
     path = fresh_path(spark, "feature-splits")
     files.write_splits(tables.features(spark, sf_dir), path)
-    return spark.read.parquet(path).groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"))
+    parts = [part.withColumn("split", F.lit(name)) for name, part in zip(("train", "val", "test"), files.read_splits(spark, path), strict=True)]
+    return reduce(DataFrame.unionByName, parts).groupBy("split", "store_id", "item_id").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.min("date").alias("first_date"), F.max("date").alias("last_date"),
+        F.sum("sales").alias("sales"), F.sum("lag_28").alias("lag_28"), F.count("lag_28").alias("n_lag_28"),
+        F.sum("rolling_max_28").alias("rolling_max_28"),
+    )
 
 
 @query("s08_report_csv", f"with {SPARSE.strip()} select store_id, cast(sum(sales) as bigint) total from sparse group by 1")

@@ -167,14 +167,45 @@ def wide_vocabulary_codes(spark, sf_dir):
     return encoding.with_codes(rows, ["customer"]).select("o_orderkey", "customer_encoded")
 
 
+@query(
+    "d11_growing_vocabulary",
+    """with v as (select distinct o_custkey::varchar v, min(o_orderdate) over (partition by o_custkey) < date '1995-03-01' early from orders),
+        c as (select v, cast((case when early then 0 else (select count(*) from v where early) end)
+            + row_number() over (partition by early order by v) - 1 as int) code, cast(not early as int) version from v)
+        select o_orderkey, code customer_encoded, version from orders join c on o_custkey::varchar = c.v""",
+)
+def growing_vocabulary(spark, sf_dir):
+    """Codes of the first years' customers stay; later customers get the next ones."""
+    rows = star.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", F.col("o_custkey").cast("string").alias("customer"))
+    path = fresh_path(spark, "vocabulary")
+    encoding.update_codes(rows.where("o_orderdate < date'1995-03-01'"), path, ["customer"])
+    codes = encoding.update_codes(rows, path, ["customer"])
+    version = codes.select(F.col("value").alias("customer"), "version")
+    return encoding.with_codes(rows, ["customer"], codes).join(version, "customer").select("o_orderkey", "customer_encoded", "version")
+
+
+# The model features of the documented catalogue, in its order.
+CATALOGUE = (
+    "day", "day_of_week", "week_of_year", "month", "quarter", "year", "is_weekend", "lag_1", "lag_7", "lag_14", "lag_28", "rolling_mean_7",
+    "rolling_std_7", "rolling_mean_14", "rolling_std_14", "rolling_mean_28", "rolling_std_28", "rolling_min_28", "rolling_max_28",
+    "price_change_7", "price_relative", "price_rank", "sell_price", "ratio_7_28", "ratio_14_28", "item_id_encoded", "dept_id_encoded",
+    "cat_id_encoded", "store_id_encoded", "state_id_encoded", "has_event", "snap_CA", "snap_TX", "snap_WI",
+)
+
+
 @query(
     "d12_feature_catalogue",
-    f"{PANEL} select count(*) n_rows, 34::bigint n_features from panel where sales is not null",
+    f"""{PANEL}, n as (select count(*) n_rows, count(distinct (store_id, item_id)) n_series from panel)
+        select feature, cast(place as int) place, n_rows, case feature {" ".join(f"when 'lag_{k}' then {k} * n_series" for k in (1, 7, 14, 28))}
+            when 'price_change_7' then 7 * n_series {" ".join(f"when 'rolling_std_{k}' then n_series" for k in (7, 14, 28))} else 0 end n_missing
+        from n, (select unnest({list(CATALOGUE)}) feature, unnest(range({len(CATALOGUE)})) place)""",
 )
 def feature_catalogue(spark, sf_dir):
+    """Each feature of the catalogue, where it stands and how many rows miss it."""
     names = feature_plan.feature_columns()
-    selected = tables.features(spark, sf_dir).select(*names)
-    return selected.agg(F.count(F.lit(1)).alias("n_rows")).withColumn("n_features", F.lit(len(names)).cast("bigint"))
+    rows = tables.features(spark, sf_dir)
+    told = [F.struct(F.lit(c).alias("feature"), F.lit(k).alias("place"), F.count_if(F.col(c).isNull()).alias("n_missing")) for k, c in enumerate(names)]
+    return rows.agg(F.count(F.lit(1)).alias("n_rows"), F.array(*told).alias("told")).select("n_rows", F.inline("told"))
 
 
 @query(
@@ -410,22 +441,28 @@ def fill_methods(spark, sf_dir):
 
 @query(
     "w19_training_rows",
-    f"""{PANEL}, x as (select store_id, item_id, date, split, sales, lag(sales, 28) {W}) lag_28,
-        avg(sales) {_rows(28, '1 preceding')} rolling_mean_28,
-        stddev_samp(sales) {_rows(7, '1 preceding')} rolling_std_7 from panel)
-        select store_id, item_id, date, split, sales, lag_28, rolling_mean_28 from x
-        where lag_28 is not null and rolling_std_7 is not null""",
+    f"""{FILLED}, x as (select store_id, item_id, date, split, sales, {", ".join(f"lag(sales, {k}) {W}) lag_{k}" for k in (1, 7, 14, 28))},
+        {", ".join(f"round(avg(sales) {_rows(n, '1 preceding')}, 6) rolling_mean_{n}" for n in (7, 14, 28))},
+        {", ".join(f"round(stddev_samp(sales) {_rows(n, '1 preceding')}, 4) rolling_std_{n}" for n in (7, 14, 28))},
+        min(sales) {_rows(28, '1 preceding')} rolling_min_28, max(sales) {_rows(28, '1 preceding')} rolling_max_28,
+        sell_price - lag(sell_price, 7) {W}) price_change_7, sell_price, cast(month(date) as int) "month", snap_CA,
+        cast(event_filled <> 'None' as int) has_event from filled)
+        select * from x where lag_28 is not null and rolling_std_7 is not null""",
 )
 def training_rows(spark, sf_dir):
     """Past-only features on the whole panel; validation and test keep all their rows."""
     built = feature_plan.training_features(tables.filled(spark, sf_dir), event_types=star.EVENT_TYPES, gap_free=True)
-    return built.select(*KEYS, "split", "sales", "lag_28", "rolling_mean_28")
+    rolling = [c for c in built.columns if c.startswith("rolling_")]
+    lags = [f"lag_{k}" for k in (1, 7, 14, 28)]
+    out = built.select(*KEYS, "split", "sales", *lags, *rolling, "price_change_7", "sell_price", "month", "snap_CA", "has_event")
+    means = [c for c in rolling if "mean" in c]
+    return rounded(rounded(out, *means, digits=6), *[c for c in rolling if "std" in c])
 
 
 @query(
     "w18_incremental_days",
     f"""{FILLED}, x as (select store_id, item_id, date, sales, sell_price, {", ".join(f"lag(sales, {k}) {W}) lag_{k}" for k in (1, 7, 14, 28))},
-        {", ".join(f"sales - lag(sales, {k}) {W}) diff_{k}" for k in (1, 7))}, round(sell_price - lag(sell_price, 7) {W}), 6) price_change_7,
+        {", ".join(f"sales - lag(sales, {k}) {W}) diff_{k}" for k in (1, 7))}, sell_price - lag(sell_price, 7) {W}) price_change_7,
         {", ".join(f"round(avg(sales) {_rows(n, '1 preceding')}, 6) rolling_mean_{n}" for n in (7, 14, 28))},
         {", ".join(f"round(stddev_samp(sales) {_rows(n, '1 preceding')}, 6) rolling_std_{n}" for n in (7, 14, 28))},
         min(sales) {_rows(28, '1 preceding')} rolling_min_28, max(sales) {_rows(28, '1 preceding')} rolling_max_28,
@@ -440,7 +477,7 @@ def incremental_days(spark, sf_dir):
     for first, last in (("2001-10-30", "2001-10-30"), ("2001-10-31", "2001-11-01"), ("2001-11-02", "2001-11-04")):
         incremental.update(rows.where(F.col("date").between(first, last)), path)
     built = spark.read.parquet(f"{path}/features").drop("ratio_7_28", "ratio_14_28")
-    means = [c for c in built.columns if c.startswith(("rolling_mean", "rolling_std")) or c in ("expanding_mean", "price_change_7")]
+    means = [c for c in built.columns if c.startswith(("rolling_mean", "rolling_std")) or c == "expanding_mean"]
     return rounded(rounded(built, *means, digits=6), "expanding_std")
 
 

@@ -363,11 +363,15 @@ def target_scaling(spark, sf_dir):
     )
 
 
-QUANTILES = f"""{TAIL}, ma as (select *, avg(sales) over (partition by store_id, item_id order by date
-        rows between 27 preceding and current row) m from tail),
-    resid as (select a.store_id, a.item_id, h, b.sales - a.m r from ma a join steps on true
-        join tail b on a.store_id = b.store_id and a.item_id = b.item_id and b.k = a.k - h
-        where a.k - 1 between h and h + 55),
+# Only the newest rows of a series enter: 28 of a mean before 56 origins and up to 28 steps. Kept as a table of their own, so that
+# no join order can pair whole series; each residual is then a window over these rows, one step at a time.
+QUANTILES = f"""{TAIL}, recent as materialized (select * from tail where k <= 120),
+    ma as materialized (select *, avg(sales) over (partition by store_id, item_id order by date
+        rows between 27 preceding and current row) m from recent),
+    stepped as (select * from ma cross join steps),
+    resid as (select store_id, item_id, h, sales - m r from (
+        select store_id, item_id, h, k, sales, lag(m, cast(h as int)) over (partition by store_id, item_id, h order by date) m from stepped)
+        where k between 1 and 56 and m is not null),
     q as (select store_id, item_id, h, quantile_cont(r, 0.1) r10, quantile_cont(r, 0.5) r50, quantile_cont(r, 0.9) r90
         from resid group by 1, 2, 3),
     forecast as (select q.store_id, q.item_id, q.h horizon, cast(date '2001-11-04' + q.h as date) date,

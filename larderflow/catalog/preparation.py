@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from larderflow.catalog import tables
@@ -9,8 +10,9 @@ from larderflow.catalog.registry import query
 from larderflow.catalog.sql import CAL, FILLED, FILLED_ONLY, PANEL, PANEL_ONLY, SPARSE, WEEKLY
 from larderflow.operators import fill, reshape, splits
 from larderflow.plans.prepare import prepare_panel
+from larderflow.session import fresh_path
 from larderflow.settings import DataSettings
-from larderflow.sources import star
+from larderflow.sources import files, star
 
 MERGED = f"with {SPARSE.strip()},{WEEKLY},{CAL},{PANEL_ONLY}"
 SETTINGS = DataSettings(train_end=star.TRAIN_END, val_end=star.VAL_END, test_end=star.TEST_END)
@@ -56,7 +58,7 @@ def parse_date(spark, sf_dir):
     text = star.table(spark, sf_dir, "orders").select(
         "o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("date")
     )
-    return text.withColumn("date", F.to_date("date"))
+    return reshape.prepare_calendar(text)
 
 
 @query(
@@ -68,10 +70,27 @@ def missing_prices(spark, sf_dir):
     return reshape.missing_prices(tables.panel(spark, sf_dir)).withColumn("pct_missing", F.round("pct_missing", 6))
 
 
-@query("p06_series_order", f"{PANEL} select store_id, item_id, date, sales from panel")
+@query(
+    "p06_series_order",
+    f"""{PANEL} select store_id, item_id, date, sales, split, 1::bigint step from panel
+        where date not in (date '1995-01-02', date '2001-09-10', date '2001-10-08')
+        union all select store_id, item_id, date, sales, split, null from panel
+        where date in (date '1995-01-02', date '2001-09-10', date '2001-10-08')""",
+)
 def series_order(spark, sf_dir):
-    rows = tables.panel(spark, sf_dir).select("store_id", "item_id", "date", "sales")
-    return rows.repartition("store_id", "item_id").sortWithinPartitions("store_id", "item_id", "date")
+    """The split tables as written: in the files, each row of a series stands right behind the row of the day before.
+
+    ``step`` is the distance in days to the row before it in its file, null where a file begins a series.
+    """
+    path = fresh_path(spark, "series-order")
+    files.write_splits(tables.panel(spark, sf_dir).select("store_id", "item_id", "date", "sales", "split").coalesce(1), path)
+    in_file = Window.partitionBy("_file").orderBy("_row")
+    rows = spark.read.parquet(path).select("*", "_metadata.file_path", "_metadata.row_index")
+    rows = rows.withColumnsRenamed({"file_path": "_file", "row_index": "_row"})
+    before = F.lag(F.struct("store_id", "item_id", "date")).over(in_file)
+    same = (before["store_id"] == F.col("store_id")) & (before["item_id"] == F.col("item_id"))
+    step = F.when(same, F.datediff("date", before["date"])).cast("bigint")
+    return rows.select("store_id", "item_id", "date", "sales", "split", step.alias("step"))
 
 
 @query(

@@ -36,11 +36,11 @@ def info(df: DataFrame) -> DataFrame:
     )
 
 
-def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Count, mean, std, min, exact quartiles and max per column."""
+def describe(df: DataFrame, columns: Sequence[str], rank_error: float | None = None) -> DataFrame:
+    """Count, mean, std, min, quartiles and max per column; quartiles are exact unless a ``rank_error`` is allowed."""
     measures = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
     basics = wide_statistics(df, columns, measures)
-    quartiles = column_quantiles(df, columns, [0.25, 0.5, 0.75]).select(
+    quartiles = column_quantiles(df, columns, [0.25, 0.5, 0.75], rank_error).select(
         "column",
         F.element_at("quantiles", 1).alias("p25"),
         F.element_at("quantiles", 2).alias("p50"),

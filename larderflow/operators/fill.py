@@ -100,8 +100,12 @@ def fill_features(
     method: str = "drop",
     keys: Sequence[str] = SERIES,
     date: str = "date",
+    rank_error: float | None = None,
 ) -> DataFrame:
-    """Missing feature values: ``drop`` rows, ``fill_zero``, ``fill_forward`` within series, or ``fill_median``."""
+    """Missing feature values: ``drop`` rows, ``fill_zero``, ``fill_forward`` within series, or ``fill_median``.
+
+    Medians are exact unless a ``rank_error`` is allowed.
+    """
     columns = list(columns)
     if method == "drop":
         return df.na.drop(subset=columns)
@@ -112,7 +116,7 @@ def fill_features(
     if method == "fill_median":
         entry = F.struct("column", F.element_at("quantiles", 1))
         medians = (
-            column_quantiles(df, columns, [0.5]).agg(F.map_from_entries(F.collect_list(entry)).alias("m")).scalar()
+            column_quantiles(df, columns, [0.5], rank_error).agg(F.map_from_entries(F.collect_list(entry)).alias("m")).scalar()
         )
         with_medians = df.withColumn("_medians", medians)
         return with_medians.withColumns(

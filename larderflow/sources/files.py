@@ -10,18 +10,12 @@ from pyspark.sql import types as T
 
 from larderflow.operators.reshape import day_name
 from larderflow.schemas import CALENDAR, DAY_PREFIX, IDENTIFIERS, METRIC_HISTORY, PRICES, RAW_FILES, UNREADABLE, wide_sales
+from larderflow.session import path_exists
 
 # Columns a CSV file may have at most; a wider one raises.
 MAX_COLUMNS = 100_000
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
-    """Whether a file or folder exists on whichever file system the path names."""
-    jvm = spark.sparkContext._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop_path)
-
-
 def check_dataset_exists(spark: SparkSession, folder: str) -> dict[str, bool]:
     """Which of the required raw files are present."""
     return {name: path_exists(spark, f"{folder.rstrip('/')}/{name}") for name in RAW_FILES.values()}
@@ -150,4 +144,9 @@ def read_history(spark: SparkSession, path: str) -> DataFrame:
     """The metric history, empty before the first append."""
     if not path_exists(spark, path):
         return spark.createDataFrame([], METRIC_HISTORY)
-    return spark.read.schema(METRIC_HISTORY).parquet(path)
+    return spark.read.schema(METRIC_HISTORY).parquet(path).select(*METRIC_HISTORY.names)
+
+
+def append_once(record: DataFrame, path: str, source: str, number: int) -> None:
+    """Append records under a transaction key: (source, number) is a folder of its own, so the same batch again replaces itself."""
+    record.write.mode("overwrite").parquet(f"{path}/source={source}/batch={number}")

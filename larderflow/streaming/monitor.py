@@ -15,6 +15,7 @@ from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from larderflow.functions import errors
 from larderflow.operators.monitoring import relative_shift
 from larderflow.settings import MonitoringSettings
+from larderflow.sources.files import append_once
 
 WATERMARK = "1 day"
 
@@ -121,6 +122,21 @@ def run_available(stream: DataFrame, output: str, checkpoint: str) -> StreamingQ
     return query
 
 
+def run_into_history(stream: DataFrame, path: str, checkpoint: str, source: str = "stream") -> StreamingQuery:
+    """Append a stream of metric rows to the metric history, each batch exactly once.
+
+    A batch that failed half-way or whose commit was lost is run again with the same number and replaces what it wrote.
+    """
+    query = (
+        stream.writeStream.foreachBatch(lambda batch, number: append_once(batch, path, source, number))
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    return query
+
+
 def run_counting_late_rows(stream: DataFrame, output: str, checkpoint: str) -> tuple[StreamingQuery, int]:
     """:func:`run_available`, and how many rows of all its batches came after the watermark and were dropped."""
     listener, streams = LateRows(), stream.sparkSession.streams

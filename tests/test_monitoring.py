@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import os
 import random
 
 import pytest
@@ -171,3 +172,29 @@ def test_drift_from_stored_moments(spark):
     stored = monitoring.moments(df, ["a", "b"])
     early, late = monitoring.profile_of(stored, last="2020-01-20"), monitoring.profile_of(stored, first="2020-01-21")
     assert {r.column: (r.has_drift, r.drift_score) for r in monitoring.drift_between(early, late).collect()} == {"a": (True, 0.3), "b": (False, 0.0)}
+
+
+def test_a_batch_run_again_adds_no_row(spark):
+    source, path, checkpoint = (fresh_path(spark, name) for name in ("scores", "history", "checkpoint"))
+
+    def record(day, score):
+        row = (dt.datetime(2020, 1, day), 1.0, 2.0, score)
+        spark.createDataFrame([row], "timestamp timestamp, MAE double, RMSE double, WMAPE double").coalesce(1).write.mode("append").parquet(source)
+
+    def run():
+        schema = "timestamp timestamp, MAE double, RMSE double, WMAPE double"
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+        monitor.run_into_history(stream, path, checkpoint)
+        return sorted(r.WMAPE for r in files.read_history(spark, path).collect())
+
+    record(1, 10.0)
+    record(2, 11.0)
+    assert run() == [10.0, 11.0]
+    commits = sorted(f for f in os.listdir(f"{checkpoint}/commits") if f.isdigit())
+    for name in (commits[-1], f".{commits[-1]}.crc"):  # as if the driver had been lost before it noted that the batch was done
+        os.remove(f"{checkpoint}/commits/{name}")
+    record(3, 12.0)
+    assert run() == [10.0, 11.0, 12.0]
+    files.append_once(files.read_history(spark, path).where("WMAPE = 12"), path, "nightly", 7)
+    files.append_once(files.read_history(spark, path).where("WMAPE = 12 or WMAPE = 11").limit(1), path, "nightly", 8)
+    assert len(files.read_history(spark, path).collect()) == 5

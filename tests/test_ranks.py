@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import bisect
+
 import numpy as np
 import pandas as pd
 import pytest
 
 from larderflow.operators import encoding, exploration, fill, pricing, ranks
+from larderflow.session import fresh_path
 
 
 @pytest.fixture(autouse=True)
@@ -122,3 +125,43 @@ def test_ranking_never_uses_one_task_for_the_facts(prices):
     _, df = prices
     plan = pricing.with_price_rank(df)._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_sketched_quantiles_keep_their_rank_error(spark):
+    df = spark.range(60_000).selectExpr(
+        "id % 7 day", "double(pow(id * 7919 % 60000, 2)) a", "if(id % 3 = 0, double('nan'), if(id % 3 = 1, null, double(id % 50))) b", "cast(null as double) c"
+    )
+    names, probs, error = ["a", "b", "c"], [0.01, 0.25, 0.5, 0.9], 0.005
+    whole = {r.column: r.quantiles for r in ranks.sketched_quantiles(ranks.sketches(df, names, error), names, probs).collect()}
+    by_day = ranks.sketches(df.where("day <> 3"), names, error, ["day"]).unionByName(ranks.sketches(df.where("day = 3"), names, error, ["day"]))
+    merged = {r.column: r.quantiles for r in ranks.sketched_quantiles(ranks.merge_sketches(by_day, names), names, probs).collect()}
+    assert whole["c"] is None and merged["c"] is None
+    for name in ("a", "b"):
+        values = sorted(r[name] for r in df.where(f"{name} is not null and not isnan({name})").select(name).collect())
+        for found in (whole[name], merged[name]):
+            for p, value in zip(probs, found, strict=True):
+                assert bisect.bisect_left(values, value) / len(values) - error <= p <= bisect.bisect_right(values, value) / len(values) + error
+    assert len(ranks.column_quantiles(df, names, [0.5], rank_error=0.01).collect()) == 2
+    plan = ranks.column_quantiles(df, ["a", "b"], [0.5], rank_error=0.01)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1 and "Join" not in plan
+
+
+def test_sketch_sizes():
+    assert ranks.sketch_size(0.0133) in range(198, 203) and ranks.sketch_size(0.9) == 8
+    for wrong in (0, 1, 1e-6):
+        with pytest.raises(ValueError):
+            ranks.sketch_size(wrong)
+
+
+def test_codes_stay_when_values_come_later(spark):
+    path = fresh_path(spark, "codes")
+    frame = lambda *values: spark.createDataFrame([(v, "x" if v else None) for v in values], "item_id string, store_id string")
+    told = lambda codes: {(r.column, r.value): (r.code, r.version) for r in codes.collect()}
+    first = told(encoding.update_codes(frame("m", "c", None, "c"), path))
+    assert first == {("item_id", "c"): (0, 0), ("item_id", "m"): (1, 0), ("store_id", "x"): (0, 0)}
+    later = told(encoding.update_codes(frame("a", "z", "c", "b"), path))
+    assert later == first | {("item_id", "a"): (2, 1), ("item_id", "b"): (3, 1), ("item_id", "z"): (4, 1)}
+    assert told(encoding.update_codes(frame("a", "z"), path)) == later
+    assert told(encoding.read_codes(spark, path, version=0)) == first
+    encoded = encoding.with_codes(frame("c", "z", "new", None), codes=encoding.read_codes(spark, path))
+    assert {r.item_id: r.item_id_encoded for r in encoded.collect()} == {"c": 0, "z": 4, "new": -1, None: -1}
