@@ -10,6 +10,7 @@ from larderflow.catalog.registry import query, staged, staged_path
 from larderflow.catalog.sql import PANEL
 from larderflow.operators import baselines, boosting, scoring, sequences
 from larderflow.operators.evaluation import METRICS, comparison_table, metrics, pinball_by
+from larderflow.plans import lifecycle
 from larderflow.plans.features import feature_columns, training_features
 from larderflow.session import fresh_path
 from larderflow.settings import BoostingSettings, ForecastSettings
@@ -488,11 +489,7 @@ def saved_equals_fresh(spark, sf_dir):
 
 def _scored_test(spark, sf_dir):
     """The learned model and one-day-ahead baselines on the same rows of the test period."""
-    rows = boosting.predict(fitted(spark, sf_dir), training(spark, sf_dir).where("split = 'test'"))
-    scores = {"boosted_trees": "y_pred", "naive": "lag_1", "seasonal_naive": "lag_7", "moving_avg_7": "rolling_mean_7"}
-    listed = F.array(*[F.struct(F.lit(m).alias("model"), F.col(c).cast("double").alias("y_pred")) for m, c in scores.items()])
-    long = rows.select(*KEYS, "date", F.col("sales").alias("y_true"), F.explode(listed).alias("_p"))
-    return long.select(*KEYS, "date", "y_true", "_p.model", "_p.y_pred")
+    return lifecycle.beside_baselines(fitted(spark, sf_dir), training(spark, sf_dir).where("split = 'test'"))
 
 
 @query("e07_with_learned_model")
@@ -524,3 +521,16 @@ def saved_model(spark, sf_dir):
     models.save_model(fitted(spark, sf_dir), path, spark)
     scored = boosting.predict(models.load_model(path, spark), training(spark, sf_dir).where("split = 'test'"))
     return scored.select(*KEYS, "date", "sales", "y_pred")
+
+
+@query("m08_judged_model")
+def judged_model(spark, sf_dir):
+    """From the fitted model to decisions: retraining with its reasons, and promotion over a model of 100 percent WMAPE."""
+    production = spark.range(1).select(F.lit(100.0).alias("WMAPE"))
+    told = lifecycle.judge(
+        fitted(spark, sf_dir), training(spark, sf_dir), fresh_path(spark, "judged"), 1, F.lit("2001-11-04").cast("date"),
+        F.lit("2001-09-09").cast("date"), production,
+    )
+    drifted = told.drift.agg(F.count_if("has_drift").alias("n_drifted"))
+    one = {c: told.promotion.select(c).scalar() for c in ("candidate_wmape", "promote")}
+    return told.retrain.withColumns(one | {"n_drifted": drifted.scalar()})

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-from dataclasses import dataclass, field
+from collections.abc import Iterator, Mapping
+from dataclasses import dataclass, field, replace
 from typing import Any
 
 
@@ -65,6 +65,50 @@ class MonitoringSettings:
     min_improvement: float = 0.02
 
 
+# Configuration keys and the fields they set.
+KEYS = {
+    **{f"data.{k}": f"data.{k}" for k in ("raw_data_path", "processed_data_path")},
+    "data.train_end_date": "data.train_end",
+    "data.validation_end_date": "data.val_end",
+    "data.test_end_date": "data.test_end",
+    **{f"features.{k}": f"features.{k}" for k in ("lag_periods", "diff_periods", "rolling_windows")},
+    **{
+        f"models.xgboost.{k}": f"boosting.{k}"
+        for k in ("n_estimators", "max_depth", "learning_rate", "subsample", "validation_tol", "patience", "reg_lambda", "min_child_weight", "local_rows")
+    },
+    "models.xgboost.colsample_bytree": "boosting.colsample",
+    "models.xgboost.random_state": "boosting.seed",
+    "models.forecast_horizon": "forecast.horizon",
+    **{f"models.{k}": f"forecast.{k}" for k in ("max_horizon", "season_length", "averages")},
+    "models.tft.max_encoder_length": "forecast.encoder_length",
+    "models.tft.min_encoder_length": "forecast.min_encoder_length",
+    "models.tft.max_prediction_length": "forecast.prediction_length",
+    "models.tft.quantiles": "forecast.quantiles",
+    **{f"monitoring.{k}": f"monitoring.{k}" for k in ("performance_threshold", "drift_threshold", "check_interval_days")},
+    **{f"mlops.{k}": f"monitoring.{k}" for k in ("retrain_interval_days", "retrain_on_drift", "retrain_on_performance_drop")},
+    "mlops.min_improvement_threshold": "monitoring.min_improvement",
+    "evaluation.baseline_model": "baseline_model",
+}
+# What lists and nested entries become.
+SHAPES = {
+    "data.train_end": str,
+    "data.val_end": str,
+    "data.test_end": str,
+    **dict.fromkeys(("features.lag_periods", "features.diff_periods", "forecast.averages", "forecast.quantiles"), tuple),
+    "features.rolling_windows": lambda windows: tuple((int(w["window"]), tuple(w["functions"])) for w in windows),
+}
+# Parts of a configuration file that belong to what is left out here: neural networks, serving, files outside of the flow.
+IGNORED = ("models.lstm.", "models.tft.", "api.", "data.external_data_path", "data.m5_files.", "features.date_features", "evaluation.metrics", "mlops.model_registry_path", "logging.")
+
+
+def _leaves(tree: Mapping[str, Any], above: str = "") -> Iterator[tuple[str, Any]]:
+    for key, value in tree.items():
+        if isinstance(value, Mapping):
+            yield from _leaves(value, f"{above}{key}.")
+        else:
+            yield f"{above}{key}", value
+
+
 @dataclass(frozen=True)
 class Settings:
     data: DataSettings = field(default_factory=DataSettings)
@@ -76,55 +120,26 @@ class Settings:
 
     @classmethod
     def from_mapping(cls, tree: Mapping[str, Any] | None = None) -> Settings:
-        """Settings from a nested mapping with the usual configuration file keys; missing keys keep defaults."""
-        tree = tree or {}
-        data, feats = tree.get("data", {}), tree.get("features", {})
-        models, monitoring = tree.get("models", {}), tree.get("monitoring", {})
-        boost, tft, ops = models.get("xgboost", {}), models.get("tft", {}), tree.get("mlops", {})
-        windows = feats.get("rolling_windows")
+        """Settings from a nested mapping with the usual configuration file keys; missing keys keep defaults.
+
+        A key that nothing reads raises, so that a slip of the pen does not pass as a default. Keys of parts that are
+        not here (``IGNORED``) are left alone.
+        """
+        given = dict(_leaves(tree or {}))
+        unknown = sorted(key for key in given if key not in KEYS and not key.startswith(IGNORED))
+        if unknown:
+            raise ValueError(f"unknown settings: {', '.join(unknown)}")
+        parts: dict[str, dict[str, Any]] = {}
+        for key, value in given.items():
+            if key in KEYS:
+                part, _, name = KEYS[key].rpartition(".")
+                parts.setdefault(part, {})[name] = SHAPES.get(KEYS[key], lambda x: x)(value)
+        forecast = parts.get("forecast", {})
+        if "encoder_length" in forecast:
+            forecast.setdefault("min_encoder_length", forecast["encoder_length"] // 2)
         base = cls()
-        return cls(
-            data=DataSettings(
-                raw_data_path=data.get("raw_data_path", base.data.raw_data_path),
-                processed_data_path=data.get("processed_data_path", base.data.processed_data_path),
-                train_end=str(data.get("train_end_date", base.data.train_end)),
-                val_end=str(data.get("validation_end_date", base.data.val_end)),
-                test_end=str(data.get("test_end_date", base.data.test_end)),
-            ),
-            features=FeatureSettings(
-                lag_periods=tuple(feats.get("lag_periods", base.features.lag_periods)),
-                rolling_windows=base.features.rolling_windows
-                if windows is None
-                else tuple((int(w["window"]), tuple(w["functions"])) for w in windows),
-            ),
-            boosting=BoostingSettings(
-                n_estimators=boost.get("n_estimators", base.boosting.n_estimators),
-                max_depth=boost.get("max_depth", base.boosting.max_depth),
-                learning_rate=boost.get("learning_rate", base.boosting.learning_rate),
-                subsample=boost.get("subsample", base.boosting.subsample),
-                colsample=boost.get("colsample_bytree", base.boosting.colsample),
-                seed=boost.get("random_state", base.boosting.seed),
-            ),
-            forecast=ForecastSettings(
-                horizon=models.get("forecast_horizon", base.forecast.horizon),
-                encoder_length=tft.get("max_encoder_length", base.forecast.encoder_length),
-                min_encoder_length=tft.get("max_encoder_length", base.forecast.encoder_length) // 2,
-                prediction_length=tft.get("max_prediction_length", base.forecast.prediction_length),
-                quantiles=tuple(tft.get("quantiles", base.forecast.quantiles)),
-            ),
-            monitoring=MonitoringSettings(
-                performance_threshold=monitoring.get("performance_threshold", base.monitoring.performance_threshold),
-                drift_threshold=monitoring.get("drift_threshold", base.monitoring.drift_threshold),
-                check_interval_days=monitoring.get("check_interval_days", base.monitoring.check_interval_days),
-                retrain_interval_days=ops.get("retrain_interval_days", base.monitoring.retrain_interval_days),
-                retrain_on_drift=ops.get("retrain_on_drift", base.monitoring.retrain_on_drift),
-                retrain_on_performance_drop=ops.get(
-                    "retrain_on_performance_drop", base.monitoring.retrain_on_performance_drop
-                ),
-                min_improvement=ops.get("min_improvement_threshold", base.monitoring.min_improvement),
-            ),
-            baseline_model=tree.get("evaluation", {}).get("baseline_model", base.baseline_model),
-        )
+        whole = {part: replace(getattr(base, part), **fields) for part, fields in parts.items() if part}
+        return replace(base, **whole, **parts.get("", {}))
 
     @classmethod
     def from_yaml(cls, path: str) -> Settings:

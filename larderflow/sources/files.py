@@ -68,7 +68,8 @@ def read_sales_long(spark: SparkSession, path: str) -> DataFrame:
     """Long sales straight from the text lines of a wide CSV without quoted commas.
 
     One split and one ``posexplode`` per line replace thousands of typed columns. A cell that is neither empty nor a
-    number has null sales and its text in ``_unreadable``.
+    number has null sales and its text in ``_unreadable``. A line with more or fewer cells than the header (a quoted comma, a torn
+    line) is one row of nulls with the whole line in ``_unreadable``.
     """
     header = csv_header(spark, path)
     days = [i for i, c in enumerate(header) if c.startswith(DAY_PREFIX)]
@@ -78,15 +79,19 @@ def read_sales_long(spark: SparkSession, path: str) -> DataFrame:
     first_line = spark.read.text(path).first()[0]
     if first_line.replace('"', "").split(",") != header:
         raise ValueError("the header has quoted commas; use read_sales")
-    lines = spark.read.text(path).where(F.col("value") != first_line).select(F.split("value", ",", -1).alias("_cells"))
+    lines = spark.read.text(path).where(F.col("value") != first_line).select("value", F.split("value", ",", -1).alias("_cells"))
+    fits = F.size("_cells") == len(header)
     parts = lines.select(
-        *[F.col("_cells")[header.index(c)].alias(c) for c in ids], F.slice("_cells", days[0] + 1, len(days)).alias("_days")
+        *[F.when(fits, F.get("_cells", F.lit(header.index(c)))).alias(c) for c in ids],
+        F.when(fits, F.slice("_cells", days[0] + 1, len(days))).otherwise(F.array("value")).alias("_days"),
+        fits.alias("_fits"),
     )
-    exploded = parts.select(*ids, F.posexplode("_days").alias("_pos", "_cell"))
+    exploded = parts.select(*ids, "_fits", F.posexplode("_days").alias("_pos", "_cell"))
     names = [header[i] for i in days]
-    number = F.expr("try_cast(_cell as double)")
+    number = F.when(F.col("_fits"), F.expr("try_cast(_cell as double)"))
     unreadable = F.when(number.isNull() & (F.trim("_cell") != ""), F.col("_cell"))
-    return exploded.select(*ids, day_name(names, F.col("_pos")).alias("d"), number.alias("sales"), unreadable.alias(UNREADABLE))
+    day = F.when(F.col("_fits"), day_name(names, F.col("_pos")))
+    return exploded.select(*ids, day.alias("d"), number.alias("sales"), unreadable.alias(UNREADABLE))
 
 
 def read_calendar(spark: SparkSession, path: str) -> DataFrame:

@@ -6,9 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from larderflow.operators import boosting, explain
+from larderflow.plans import lifecycle
 from larderflow.session import fresh_path
-from larderflow.settings import BoostingSettings
+from larderflow.settings import BoostingSettings, Settings
 from larderflow.sources import models
+from larderflow.sources.files import read_history
 
 SETTINGS = BoostingSettings(n_estimators=4, max_depth=3, subsample=1.0, colsample=1.0)
 FEATURES = ["x1", "x2", "noise"]
@@ -210,3 +212,25 @@ def test_model_card(model, spark):
     card = models.model_card(spark, model, "trees", "1.2.0", "GBT", 7, {"WMAPE": 12.5}, F.lit("2016-01-01").cast("date")).first()
     assert (card.model_name, card.features_count, card.forecast_horizon) == ("trees", 3, 7)
     assert card.performance_metrics == {"WMAPE": 12.5}
+
+
+def test_from_fit_to_decision(spark):
+    df = spark.range(900).selectExpr(
+        "'s' store_id", "cast(id % 3 as string) item_id", "date_add(date'2020-01-01', cast(id div 3 as int)) date", "double(id div 3 % 7) dow",
+        "double(id div 3 % 7 * 2 + id % 3) sales", "if(id < 600, 'train', if(id < 750, 'val', 'test')) split",
+    ).selectExpr("*", "sales + 1 lag_1", "sales + 4 lag_7", "sales + 2 rolling_mean_7", "if(split = 'test', 9.0D, 1.0D) moved")
+    settings = Settings(boosting=BoostingSettings(n_estimators=40, max_depth=4))
+    model = lifecycle.fit_by_split(df, ["dow", "lag_1", "moved"], settings)
+    history, day = fresh_path(spark, "judged"), lambda x: F.lit(x).cast("date")
+    production = spark.createDataFrame([(50.0,)], "WMAPE double")
+    for _ in range(2):  # the second run of the same number replaces the first
+        told = lifecycle.judge(model, df, history, 1, day("2020-11-01"), day("2020-10-20"), production, settings)
+    assert read_history(spark, history).count() == 1
+    assert told.comparison.first().model == "boosted_trees"
+    assert {r.column for r in told.drift.where("has_drift").collect()} == {"moved"}
+    assert told.retrain.first().reasons == ["drift"] and told.promotion.first().promote
+    scores = {r.model: r.WMAPE for r in told.scores.collect()}
+    assert scores["boosted_trees"] < scores["naive"] < scores["moving_avg_7"] < scores["seasonal_naive"]
+    flat = boosting.BoostedTrees(model.features, 0.0, [])
+    later = lifecycle.judge(flat, df, history, 2, day("2020-12-01"), day("2020-10-20"), production, settings)
+    assert later.retrain.first().reasons == ["performance", "drift", "age"] and not later.promotion.first().promote

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import dataclasses
 import datetime as dt
 import math
 from types import SimpleNamespace
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from larderflow.functions import calendar
 from larderflow.operators import quality, reshape
 from larderflow.session import fresh_path, shared_folder
-from larderflow.settings import Settings
+from larderflow.settings import KEYS, Settings
 from larderflow.sources import files
 
 SALES = """id,item_id,dept_id,cat_id,store_id,state_id,d_1,d_2
@@ -131,6 +132,31 @@ def test_settings():
     assert changed.monitoring.retrain_interval_days == 7
 
 
+def test_every_setting_can_be_given_and_slips_raise():
+    tree = {
+        "features": {"diff_periods": [3], "date_features": ["day"]},
+        "models": {"season_length": 30, "averages": [5, 9], "max_horizon": 14, "lstm": {"epochs": 5}, "tft": {"quantiles": [0.2, 0.8], "dropout": 0.1},
+                   "xgboost": {"validation_tol": 0.5, "colsample_bytree": 0.4, "random_state": 7}},
+        "evaluation": {"baseline_model": "naive", "metrics": ["mae"]},
+        "mlops": {"min_improvement_threshold": 0.5},
+    }
+    found = Settings.from_mapping(tree)
+    assert found.features.diff_periods == (3,) and found.baseline_model == "naive" and found.monitoring.min_improvement == 0.5
+    assert (found.forecast.season_length, found.forecast.averages, found.forecast.max_horizon, found.forecast.quantiles) == (30, (5, 9), 14, (0.2, 0.8))
+    assert (found.boosting.validation_tol, found.boosting.colsample, found.boosting.seed) == (0.5, 0.4, 7)
+    for part, fields in (("data", found.data), ("features", found.features), ("boosting", found.boosting), ("forecast", found.forecast), ("monitoring", found.monitoring)):
+        assert {f.name for f in dataclasses.fields(fields)} == {v.partition(".")[2] for v in KEYS.values() if v.startswith(f"{part}.")}
+    with pytest.raises(ValueError, match="models.xgboost.n_estimator, monitoring.drift"):
+        Settings.from_mapping({"models": {"xgboost": {"n_estimator": 5}}, "monitoring": {"drift": 1}})
+
+
+def test_lines_with_too_many_or_too_few_cells(spark, tmp_path):
+    path = tmp_path / "sales.csv"
+    path.write_text('id,item_id,d_1,d_2\na,x,1,2\nb,"y,z",3,4\nc,x,5\n')
+    found = {(r.id, r.d, r.sales, r._unreadable) for r in files.read_sales_long(spark, str(path)).collect()}
+    assert found == {("a", "d_1", 1.0, None), ("a", "d_2", 2.0, None), (None, None, None, 'b,"y,z",3,4'), (None, None, None, "c,x,5")}
+
+
 def test_settings_from_yaml(tmp_path):
     pytest.importorskip("yaml")
     (tmp_path / "c.yaml").write_text("models:\n  forecast_horizon: 3\n")
