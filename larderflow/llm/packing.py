@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larderflow.llm.ngram_join import jaccard_classes
+from larderflow.llm.near_classes import near_classes
 from larderflow.session import written
 
 CAPACITY = 2048
@@ -144,7 +144,7 @@ def best_fit(
     """One row per piece: id, ``piece`` (from 0), ``start`` (its first word), ``n_tokens``, ``shard`` and ``bin``.
 
     (shard, bin) names a bin; its pieces have at most ``capacity`` tokens (words) together, no source twice and no copy
-    twice; with ``near_copies`` no two texts that ``jaccard_classes`` links, either. A text of k * capacity + r words has k full pieces, each alone in its bin, and one of r words unless r is 0.
+    twice; with ``near_copies`` no two texts of a class of ``near_classes``, either (sketches: a near copy may be missed). A text of k * capacity + r words has k full pieces, each alone in its bin, and one of r words unless r is 0.
     A null or empty text has one piece of 0 tokens. A null source conflicts with nothing; rows with null ids are packed
     like others. Repeated rows are copies, so each lies in a bin of its own. Other columns are not read; an empty table
     gives no rows. Ties of size are taken by a hash of id and text, so the result does not depend on row order.
@@ -158,9 +158,8 @@ def best_fit(
     turn = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1))
     told = told.groupBy(*told.columns).agg(F.count("*").alias("_n"))
     if near_copies:
-        keyed = docs.select(F.xxhash64(id, text).alias("order"), F.col(text).alias("text")).dropDuplicates(["order"])
-        classes = jaccard_classes(keyed, "order", "text").filter("n_shingles > 0")
-        told = told.join(classes.select("order", F.col("component_id").alias("class")), "order", "left")
+        keyed = docs.select(F.xxhash64(id, text).alias("order"), F.col(text).alias("text"))
+        told = told.join(near_classes(keyed, "order", "text").dropDuplicates(["order"]), "order", "left")
     else:
         told = told.withColumn("class", F.lit(None).cast("long"))
     dealt = told.withColumn("_turn", turn).withColumn("shard", F.pmod(F.hash("order") + F.col("_turn"), F.lit(shards)).cast("long"))
