@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from larderflow.catalog import tables
@@ -10,8 +12,9 @@ from larderflow.catalog.registry import query
 from larderflow.catalog.sql import PANEL
 from larderflow.operators import evaluation, monitoring
 from larderflow.session import fresh_path
+from larderflow.settings import MonitoringSettings
 from larderflow.sources import files, star
-from larderflow.streaming import monitor
+from larderflow.streaming import decisions, monitor
 
 WATCHED = ("sales", "sell_price", "snap_CA")
 
@@ -225,3 +228,32 @@ def window_drift_stream(spark, sf_dir):
         F.round("reference_mean", 4).alias("reference_mean"),
         F.round("current_mean", 4).alias("current_mean"),
     )
+
+
+@query(
+    "t02_decisions_stream",
+    """with ev as (select ts, event_type model, value y, avg(value) over (partition by event_type) p from events),
+        win as (select model, time_bucket(interval 1 day, ts, timestamp '1970-01-01') s, avg(y) m, sum(abs(y - p)) / sum(abs(y)) * 100 wmape
+            from ev group by 1, 2),
+        closed as (select *, first_value(wmape) over (partition by model order by s) base, (select avg(value) from events) r
+            from win where s + interval 1 day <= (select max(ts) - interval 1 day from events)),
+        told as (select *, (wmape - base) / base worse, abs(m - r) / abs(r) > 0.05 moved from closed)
+        select model, cast(s + interval 1 day as date) "at", round(wmape, 6) WMAPE, round(worse, 6) degradation,
+            concat_ws(',', case when worse > 0.05 then 'performance' end, case when moved then 'drift' end) reasons, worse > 0.05 or moved retrain
+        from told""",
+)
+def decisions_stream(spark, sf_dir):
+    """Daily decisions by event type on degradation and drift; ages, which depend on the decisions before, are left to the tests."""
+    means = star.table(spark, sf_dir, "events").groupBy("event_type").agg(F.avg("value").alias("y_pred"))
+    scored = _event_stream(spark, sf_dir).join(means, "event_type")
+    stream = scored.select(F.col("event_type").alias("model"), "ts", F.col("value").alias("y_true"), "y_pred")
+    level = star.table(spark, sf_dir, "events").agg(F.avg("value")).first()[0]
+    settings = MonitoringSettings(performance_threshold=0.05, drift_threshold=0.05, check_interval_days=1, retrain_interval_days=0)
+    rule = decisions.Rule(datetime(2024, 1, 1), {"y_true": level}, settings)
+    windows, decided, state = (fresh_path(spark, name) for name in ("decision-windows", "decisions", "decision-state"))
+    decisions.run_decisions(stream, rule, windows, decided, state)
+    out = spark.read.schema(decisions.DECISIONS).parquet(decided)
+    return out.select(
+        "model", F.to_date("at").alias("at"), F.round("WMAPE", 6).alias("WMAPE"), F.round("degradation", 6).alias("degradation"),
+        F.array_join("reasons", ",").alias("reasons"), "retrain",
+    )
