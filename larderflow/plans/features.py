@@ -18,7 +18,7 @@ from larderflow.operators.history import (
     rolling_names,
     with_ratios,
 )
-from larderflow.operators.pricing import with_price_rank, with_relative_price
+from larderflow.operators.pricing import with_price_position
 from larderflow.operators.series import block_window, own_rows, with_blocks
 from larderflow.schemas import CATEGORIES, SERIES, SNAP, SPLITS
 from larderflow.settings import FeatureSettings
@@ -70,7 +70,7 @@ def create_features(
         reach = max(reach, 7)
     # Codes are joined before rows are copied into the halos of blocks, so the copies are not looked up again.
     out = with_codes(df, codes=codes)
-    out = with_price_rank(with_relative_price(out)) if priced else out
+    out = with_price_position(out) if priced else out
     out = with_blocks(out, keys, "date", before=reach, gap_free=gap_free).withColumns(columns)
     out = own_rows(add_rolling(out, w, "sales", settings.rolling_windows, exclude_current))
     out = with_ratios(out)

@@ -165,3 +165,18 @@ def test_codes_stay_when_values_come_later(spark):
     assert told(encoding.read_codes(spark, path, version=0)) == first
     encoded = encoding.with_codes(frame("c", "z", "new", None), codes=encoding.read_codes(spark, path))
     assert {r.item_id: r.item_id_encoded for r in encoded.collect()} == {"c": 0, "z": 4, "new": -1, None: -1}
+
+
+def test_price_position_equals_mean_and_rank_with_one_lookup_of_facts(spark):
+    df = spark.range(3000).selectExpr(
+        "id", "if(id % 3 = 0, 'hot', concat('i', id % 40)) item_id", "if(id % 7 = 0, null, round(id * 31 % 101 / 4, 2)) sell_price", "'x' note"
+    )
+    found = {r.id: r for r in pricing.with_price_position(df).collect()}
+    want = {r.id: r for r in pricing.with_price_rank(pricing.with_relative_price(df)).collect()}
+    assert found.keys() == want.keys()
+    for key, row in want.items():
+        assert found[key].price_rank == row.price_rank and found[key].note == "x"
+        assert found[key].price_relative == (None if row.price_relative is None else pytest.approx(row.price_relative, rel=1e-12))
+    # Only one side of one join carries the other columns of the facts.
+    plan = pricing.with_price_position(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(" AS note") == 1
