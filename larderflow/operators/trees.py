@@ -102,8 +102,11 @@ def best_splits(sums: np.ndarray, counts: np.ndarray, reg_lambda: float, min_chi
         g, h = sums[at : at + NODES_AT_A_TIME], counts[at : at + NODES_AT_A_TIME].astype(np.float64)
         whole_g, whole_h = g.sum(2, keepdims=True), h.sum(2, keepdims=True)
         up_to_g, up_to_h = np.cumsum(g[:, :, 1:], 2), np.cumsum(h[:, :, 1:], 2)
-        sides_g = np.stack([up_to_g + g[:, :, :1], up_to_g], 3)
-        sides_h = np.stack([up_to_h + h[:, :, :1], up_to_h], 3)
+        if h[:, :, 0].any():
+            sides_g = np.stack([up_to_g + g[:, :, :1], up_to_g], 3)
+            sides_h = np.stack([up_to_h + h[:, :, :1], up_to_h], 3)
+        else:  # nothing is missing, so there is one way only
+            sides_g, sides_h = up_to_g[..., None], up_to_h[..., None]
         rest_g, rest_h = whole_g[..., None] - sides_g, whole_h[..., None] - sides_h
         gain = sides_g**2 / (sides_h + reg_lambda) + rest_g**2 / (rest_h + reg_lambda)
         gain -= (whole_g**2 / (whole_h + reg_lambda))[..., None]
