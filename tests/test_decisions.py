@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from larderflow.session import fresh_path
 from larderflow.settings import MonitoringSettings
-from larderflow.streaming import decisions, monitor
+from larderflow.streaming import decisions
 
 ROWS = "model string, ts timestamp, y_true double, y_pred double, price double"
 START = dt.datetime(2016, 1, 7)  # a window begins here

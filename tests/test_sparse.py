@@ -7,7 +7,6 @@ import math
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from larderflow.operators.history import add_rolling, diff_columns, lag_columns, with_expanding, with_ratios
 from larderflow.operators.reshape import densify
