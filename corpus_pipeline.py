@@ -1,4 +1,12 @@
-"""The training-text pipeline: drop poor texts, drop toxic texts, keep one text of each group of near copies, pack."""
+"""The training-text pipeline: drop poor texts, drop toxic texts, keep one text of each group of near copies, pack.
+
+Every stage reads texts whole, however long, and takes null and empty texts and rows with null ids like others: the classifiers
+score them by what they lack, the near-copy stage keeps all texts without words, packing gives them a piece of 0 tokens.
+Equal texts get equal scores, so repeated rows stay or go together in the first two stages; the third keeps one of them. Of
+equally good rows of a group of near copies the smallest id stays, nulls last. All but the last stage return the columns of
+``docs``, whatever further ones there are and however they are called. An empty table stays empty. Without labels the
+quality stage keeps all texts, and the toxicity stage goes by its fixed voters.
+"""
 
 from __future__ import annotations
 

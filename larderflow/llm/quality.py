@@ -247,7 +247,8 @@ def score(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
     Labels are learnt from rows outside the held-out fold, from at most ``SAMPLE`` of them. Scores depend on the text
     alone. Null and empty texts are scored by their (zero) features. Rows with a null id are scored, count as not held
     out and are never learnt from; null labels are not learnt from either. Repeated rows all come back. Without any
-    label every score is 0.5. Other columns are not read, and an empty table gives no rows.
+    label every score is 0.5. Very long texts are read whole, and equal texts have equal scores. Other columns are not
+    read, and an empty table gives no rows.
     """
     table = written(described(docs, id, text), "features")
     model = trained(table, labels, id, label)

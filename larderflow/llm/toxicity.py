@@ -379,8 +379,8 @@ def score(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "t
     Labels are learnt from rows outside the held-out fold; terms from at most ``SAMPLE`` of them, votes from all texts.
     Scores depend on the text alone. Null and empty texts have no terms and no votes, and get the score that leaves.
     Rows with a null id are scored, count as not held out and are never learnt from; null labels are not learnt from
-    either. Repeated rows all come back. Without any label the fixed insults and patterns still vote. Other columns are
-    not read, and an empty table gives no rows.
+    either. Repeated rows all come back. Very long texts are read whole, and equal texts have equal scores. Without any
+    label the fixed insults and patterns still vote. Other columns are not read, and an empty table gives no rows.
     """
     scorer = trained(docs, labels, id, text, label)
 

@@ -48,3 +48,20 @@ def test_stages_against_plain_python(spark, tmp_path):
     source = {r.doc_id: r.source for r in kept[3].collect()}
     bins = plain_best_fit([r.n_tokens for r in rest], [source[r.doc_id] for r in rest], [None] * len(rest), 2048)
     assert len(set(bins)) == len({(r.shard, r.bin) for r in rest})
+
+
+def test_empty_tables_missing_labels_and_clashing_columns(spark, tmp_path):
+    sf_dir = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(40)
+    more = docs.selectExpr("*", "1 score", "'x' label", "2 component", "3 bin", "'y' features", "4 sid")
+    spark.read.parquet(f"{sf_dir}/labels.parquet").limit(0).write.parquet(f"{tmp_path}/labels.parquet")
+    for some in (more, more.limit(0)):
+        held = written(some, "some")
+        n = held.count()
+        for name, stage in corpus_pipeline.STAGES:
+            held = written(stage(spark, held, str(tmp_path)), name)
+            if name != "packing":
+                assert held.columns == more.columns
+            if name == "quality":
+                assert held.count() == n
+            assert held.isEmpty() == (n == 0)
