@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from larderflow.operators import trees
 from larderflow.operators.trees import BINS, Split, Tree
 from larderflow.schemas import IDENTIFIERS
-from larderflow.session import written
+from larderflow.session import discard, written
 from larderflow.settings import BoostingSettings
 
 NUMERIC = {"tinyint", "smallint", "int", "bigint", "float", "double"}
@@ -336,8 +336,10 @@ def fit(
             if stop and k + 1 - best_count(errors, settings) >= settings.patience:
                 break
         if len(now.since) == REFRESH and k + 1 < settings.n_estimators:
-            table = _refreshed(table, now)
+            before, table = table, _refreshed(table, now)
+            discard(before)
             now = replace(now, since=[])
+    discard(table)
     model = BoostedTrees(features, base, found, told.n, lost, tuple(errors))
     return stopped_early(model, settings) if stop and errors else model
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from larderflow.operators.ranks import column_quantiles, exact_quantiles
 from larderflow.operators.series import BLOCK_ROWS, time_chunk
 from larderflow.schemas import SERIES
+from larderflow.session import written
 
 
 def _carried(df: DataFrame, columns: Sequence[str], keys: Sequence[str], date: str, days: int) -> DataFrame:
@@ -85,13 +86,14 @@ def fill_prices(
 ) -> DataFrame:
     """Forward fill, backward fill, then item median where a price is still missing.
 
-    After both fills only series without any price miss one. Medians are taken of the items that have such a series, so
-    where there is none the second fill and its shuffles have no rows to work on.
+    After both fills only series without any price miss one. The filled table is written to the shared folder, so the medians of
+    the items that have such a series are taken from it, not from another fill; where there is none, they have no rows to
+    work on.
     """
-    narrow = df.select(*dict.fromkeys([*keys, "item_id", date, price]))
-    unpriced = narrow.groupBy(*keys).agg(F.count(price).alias("_n")).where("_n = 0").select("item_id").distinct()
-    source = fill_series(narrow.join(unpriced, "item_id", "left_semi"), [price], keys, date)
-    return fill_item_median(fill_series(df, [price], keys, date), price, source=source)
+    filled = written(fill_series(df, [price], keys, date), "filled")
+    unpriced = filled.where(F.col(price).isNull()).select("item_id").distinct()
+    source = filled.select("item_id", price).join(unpriced, "item_id", "left_semi")
+    return fill_item_median(filled, price, source=source)
 
 
 def fill_features(

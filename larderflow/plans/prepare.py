@@ -21,8 +21,8 @@ def prepare_panel(
 ) -> DataFrame:
     """Melt, join, fill and split; rows in no split are kept as ``outside``.
 
-    Filling reads the merged table three times, two of them only keys and prices, so it is written once to the shared
-    folder; write the result too, and build features from the written table.
+    Filling reads the merged table twice (keys and prices for what is carried from stretch to stretch, and the rows), so it is
+    written once to the shared folder; write the result too, and build features from the written table.
     """
     merged = written(merge_tables(melt_sales(sales), calendar, prices), "merged")
     return with_split(fill_prices(merged), settings.train_end, settings.val_end, settings.test_end, drop_rest=False)

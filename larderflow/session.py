@@ -48,6 +48,20 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Delete a table that ``written`` gave, once nothing reads it any more; only below the shared folder."""
+    spark = table.sparkSession
+    folders = {file.rpartition("/")[0] for file in table.inputFiles()}
+    jvm = spark.sparkContext._jvm
+    base = jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    system = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for folder in folders:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        if system.makeQualified(path.getParent()).toString() != system.makeQualified(base).toString():
+            raise ValueError(f"{folder} is not a table of the shared folder")
+        system.delete(path, True)
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether a file or folder exists on whichever file system the path names."""
     jvm = spark.sparkContext._jvm

@@ -5,6 +5,7 @@ from __future__ import annotations
 import dataclasses
 import datetime as dt
 import math
+import os
 from types import SimpleNamespace
 
 import pytest
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from larderflow.functions import calendar
 from larderflow.operators import quality, reshape
-from larderflow.session import fresh_path, shared_folder
+from larderflow.session import discard, fresh_path, shared_folder, written
 from larderflow.settings import KEYS, Settings
 from larderflow.sources import files
 
@@ -182,3 +183,15 @@ def test_events(spark):
     assert [r.has_event for r in rows] == [1, 0, 0]
     assert [r.event_type_None for r in rows] == [0, 1, 1]
     assert calendar.with_events(df.select(F.lit(1).alias("x")), vocabulary).columns == ["x"]
+
+
+def test_discarding_written_tables(spark, tmp_path):
+    table = written(spark.range(10).toDF("x"), "gone")
+    folder = table.inputFiles()[0].rpartition("/")[0].removeprefix("file://")
+    assert os.path.isdir(folder)
+    discard(table.select((F.col("x") + 1).alias("y")))
+    assert not os.path.exists(folder)
+    spark.range(3).write.parquet(f"{tmp_path}/own")
+    with pytest.raises(ValueError, match="not a table of the shared folder"):
+        discard(spark.read.parquet(f"{tmp_path}/own"))
+    assert os.path.isdir(f"{tmp_path}/own")
