@@ -143,6 +143,34 @@ def test_validation_stops_early(rows):
     assert boosting.tree_count(stopped) < 20
 
 
+def test_rows_are_stored_in_blocks_and_validated_once_for_ten_trees(rows, monkeypatch):
+    """A pass takes few large cells, and 12 trees need two passes for their validation errors."""
+    stored, passes, written, errors = [], [], boosting.written, boosting._errors
+    monkeypatch.setattr(boosting, "written", lambda df, label: stored.append(written(df, label)) or stored[-1])
+    monkeypatch.setattr(boosting, "_errors", lambda *given: passes.append(errors(*given)) or passes[-1])
+    noise = rows.withColumn("sales", F.col("sales") + F.xxhash64("id") % 5).repartition(2)
+    counted = []
+    monkeypatch.setattr(boosting, "discard", lambda table: counted.append(table.count()))
+    model = boosting.fit(noise, FEATURES, settings=BoostingSettings(n_estimators=12, max_depth=3), validation=noise.where("id % 4 = 0"), stop=False)
+    assert len(counted) == len(stored) == 2 and max(counted) <= 8
+    assert [len(e) for e in passes] == [10, 2] and list(model.errors) == passes[0] + passes[1]
+    for n in (1, 11, 12):
+        some = boosting.replace(model, trees=model.trees[:n])
+        apart = noise.where("id % 4 = 0").select(F.sqrt(F.avg(F.pow(boosting.raw_prediction(some) - F.col("sales"), 2)))).first()[0]
+        assert model.errors[n - 1] == pytest.approx(apart)
+
+
+def test_stopping_gives_the_model_of_all_trees_cut(rows):
+    """Errors are looked at every ten trees; trees beyond the stop leave nothing behind."""
+    noise = rows.withColumn("sales", (F.xxhash64(F.lit(1), "id") % 50).cast("double"))
+    train, held_out = noise.where("id % 3 <> 0"), noise.where("id % 3 = 0")
+    settings = BoostingSettings(n_estimators=16, max_depth=4, patience=3)
+    stopped = boosting.fit(train, FEATURES, settings=settings, validation=held_out)
+    whole = boosting.fit(train, FEATURES, settings=settings, validation=held_out, stop=False)
+    assert len(stopped.errors) == boosting.best_count(whole.errors, settings) + settings.patience < 16
+    assert stopped.trees == boosting.stopped_early(whole, settings).trees and stopped.errors == pytest.approx(whole.errors[: len(stopped.errors)])
+
+
 def test_attributions_add_up_to_the_prediction(rows, model):
     background = explain.background_sample(rows, FEATURES, n=15)
     found = explain.attributions(model, rows.where("id < 40"), ["id"], background, n_orders=6)
