@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from larderflow.operators import trees
 from larderflow.operators.boosting import BoostedTrees, feature_names, raw_prediction
 
 Predict = Callable[[DataFrame], DataFrame]
@@ -119,8 +120,8 @@ class _Paths:
     """All leaves of a model with the features on their paths: for every leaf up to ``width`` different ones."""
 
     def __init__(self, model: BoostedTrees) -> None:
-        self.conditions: list[list[tuple[int, int, bool]]] = []  # of each leaf: (place of the inner node, slot, goes left)
-        self.inner: list[tuple[int, float, bool]] = []  # feature, threshold, missing_left
+        conditions: list[list[tuple[int, int, bool]]] = []  # of each leaf: (place of the inner node, slot, goes left)
+        inner: list[tuple[int, float, bool]] = []  # feature, threshold, missing_left
         slots: list[list[int]] = []
         values: list[float] = []
         for tree in model.trees:
@@ -128,21 +129,22 @@ class _Paths:
             while waiting:
                 node, way = waiting.pop()
                 if not tree.is_leaf(node):
-                    self.inner.append((tree.feature[node], tree.threshold[node], tree.missing_left[node]))
-                    step = len(self.inner) - 1
+                    inner.append((tree.feature[node], tree.threshold[node], tree.missing_left[node]))
+                    step = len(inner) - 1
                     waiting += [(tree.left[node], [*way, (step, True)]), (tree.left[node] + 1, [*way, (step, False)])]
                     continue
-                own = list(dict.fromkeys(self.inner[step][0] for step, _ in way))
-                self.conditions.append([(step, own.index(self.inner[step][0]), left) for step, left in way])
+                own = list(dict.fromkeys(inner[step][0] for step, _ in way))
+                conditions.append([(step, own.index(inner[step][0]), left) for step, left in way])
                 slots.append(own)
                 values.append(tree.value[node])
         self.width = max(map(len, slots), default=0)
         self.values = np.array(values)
-        self.features = np.array([own + [0] * (self.width - len(own)) for own in slots], np.int64).reshape(len(slots), self.width)
+        self.inner = np.array(inner, float).reshape(-1, 3)
+        self.features = np.array([own + [0] * (self.width - len(own)) for own in slots], np.int32).reshape(len(slots), self.width)
         self.whole = np.array([(1 << len(own)) - 1 for own in slots], np.uint32)
-        longest = max(map(len, self.conditions), default=0)
-        padded = [c + [(-1, 0, True)] * (longest - len(c)) for c in self.conditions]
-        self.steps = np.array(padded, np.int64).reshape(len(padded), longest, 3)
+        longest = max(map(len, conditions), default=0)
+        padded = [c + [(-1, 0, True)] * (longest - len(c)) for c in conditions]
+        self.steps = np.array(padded, np.int32).reshape(len(padded), longest, 3)
         # Share of a leaf's value for one of a features that only the row follows, and of b that only the other one follows.
         n = self.width + 1
         self.gain, self.loss = np.zeros((n, n)), np.zeros((n, n))
@@ -153,9 +155,8 @@ class _Paths:
 
     def followed(self, values: np.ndarray) -> np.ndarray:
         """By (row, leaf): the bits of the features whose conditions on the leaf's path the row meets."""
-        told = np.array(self.inner).reshape(-1, 3)
-        x = values[:, told[:, 0].astype(np.int64)]
-        left = (x <= told[:, 1]) | (np.isnan(x) & (told[:, 2] > 0))
+        x = values[:, self.inner[:, 0].astype(np.int64)]
+        left = (x <= self.inner[:, 1]) | (np.isnan(x) & (self.inner[:, 2] > 0))
         bits = np.tile(self.whole, (len(values), 1))
         for k in range(self.steps.shape[1]):
             step, slot, goes_left = self.steps[:, k].T
@@ -163,13 +164,26 @@ class _Paths:
             bits &= ~(broken.astype(np.uint32) << slot.astype(np.uint32))
         return bits
 
-    def shares(self, row: np.ndarray, others: np.ndarray, n_features: int) -> np.ndarray:
-        """Sums over the background rows (their bits: ``others``) of all leaves' shares, by feature."""
-        at, leaf = np.nonzero((others | row) == self.whole)
-        theirs, own = others[at, leaf], row[leaf]
-        mine, not_mine = own & ~theirs, theirs & ~own
+    def patterns(self, others: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(leaf, bits not followed, background rows) of the background rows' bits (``others``): those that follow a leaf's path
+        alike count once."""
+        ordered = np.sort(others, 0)
+        first = np.ones(ordered.shape, bool)
+        first[1:] = ordered[1:] != ordered[:-1]
+        leaf, at = np.nonzero(first.T)
+        ends = np.append(np.where(leaf[1:] == leaf[:-1], at[1:], len(others)), len(others))[: len(at)]
+        return leaf.astype(np.int32), self.whole[leaf] & ~ordered[at, leaf], (ends - at).astype(np.int32)
+
+    def shares(self, row: np.ndarray, patterns: tuple[np.ndarray, np.ndarray, np.ndarray], n_features: int) -> np.ndarray:
+        """Sums over the background rows (``patterns``) of all leaves' shares, by feature."""
+        leaves, lacking, alike = patterns
+        # what the background rows do not follow the row must
+        at = np.flatnonzero((~row).take(leaves) & lacking == 0)
+        leaf = leaves[at]
+        mine, not_mine = lacking[at], self.whole[leaf] & ~row[leaf]
         a, b = np.bitwise_count(mine), np.bitwise_count(not_mine)
-        gain, loss = self.gain[a, b] * self.values[leaf], self.loss[a, b] * self.values[leaf]
+        paid = self.values[leaf] * alike[at]
+        gain, loss = self.gain[a, b] * paid, self.loss[a, b] * paid
         total = np.zeros(n_features)
         for k in range(self.width):
             part = np.where(mine >> np.uint32(k) & 1, gain, 0.0) - np.where(not_mine >> np.uint32(k) & 1, loss, 0.0)
@@ -194,19 +208,23 @@ def tree_attributions(model: BoostedTrees, rows: DataFrame, row_key: Sequence[st
     narrow = rows.select(*key, *[F.col(c).cast("double").alias(f"_x{k}") for k, c in enumerate(names)])
     fields = StructType.fromDDL("base_value double, prediction double, feature string, feature_value double, attribution double")
 
+    # Leaves and patterns are made once and sent to each executor once; a task starts with its rows.
+    sent = rows.sparkSession.sparkContext.broadcast((paths, paths.patterns(paths.followed(sample)), model.base, model.held))
+    base = float(model.scores(sample).mean())
+    n_sample = len(sample)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        others = paths.followed(sample)
-        base = float(model.scores(sample).mean())
+        paths, patterns, start_value, held = sent.value
         for whole in batches:
             for start in range(0, len(whole), 64):
                 batch = whole.slice(start, 64)
                 given = batch.columns[len(key) :]
                 values = np.column_stack([pc.fill_null(c, float("nan")).to_numpy(zero_copy_only=False) for c in given])
                 bits = paths.followed(values)
-                found = np.array([paths.shares(row, others, len(names)) for row in bits]) / len(sample)
+                found = np.array([paths.shares(row, patterns, len(names)) for row in bits]) / n_sample
                 each = pa.array(np.repeat(np.arange(len(batch)), len(names)))
                 columns = [c.take(each) for c in batch.columns[: len(key)]]
-                columns += [pa.array(np.full(len(each), base)), pa.array(model.scores(values)).take(each)]
+                columns += [pa.array(np.full(len(each), base)), pa.array(trees.scores(start_value, held, values)).take(each)]
                 columns += [pa.array(names * len(batch)), pa.array(values.ravel(), from_pandas=True), pa.array(found.ravel())]
                 yield pa.record_batch(columns, [*key, *fields.names])
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -215,6 +216,22 @@ def test_tree_attributions_equal_all_orders(rows, spark):
         assert a.feature_value == b.feature_value
 
 
+def test_background_rows_that_follow_a_path_alike_count_once(rows, model):
+    """Forty copies of three rows make the patterns of three rows, and the same values."""
+    three = rows.where("id < 3")
+    copies = three.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(40))))
+    names = model.features
+    values = [[float(r[c]) for c in names] for r in three.collect()]
+    paths = explain._Paths(model)
+    few, many = (paths.patterns(paths.followed(np.array(v))) for v in (values, values * 40))
+    assert [list(x) for x in few[:2]] == [list(x) for x in many[:2]] and list(few[2] * 40) == list(many[2])
+    found = [
+        {(r.id, r.feature): r.attribution for r in explain.tree_attributions(model, rows.where("id between 20 and 30"), ["id"], b).collect()}
+        for b in (three, copies)
+    ]
+    assert found[0] == pytest.approx(found[1])
+
+
 def test_tree_attributions_of_a_model_without_splits(rows):
     flat = boosting.fit(rows.withColumn("sales", F.lit(2.0)), FEATURES, settings=SETTINGS)
     found = explain.tree_attributions(flat, rows.limit(2), ["id"], explain.background_sample(rows, FEATURES, n=3)).collect()
