@@ -186,6 +186,10 @@ def global_importance(spark, sf_dir):
 
 @query("x04_single_row")
 def single_row(spark, sf_dir):
-    first = training(spark, sf_dir).where("split = 'test'").agg(F.min(F.struct("store_id", "item_id", "date")).alias("k"))
-    key = first.select("k.*").first().asDict()
-    return explain.explain_row(attributed(spark, sf_dir), **key)
+    """The first test row; no other row is explained for it."""
+    rows = training(spark, sf_dir).where("split = 'test'")
+    key = rows.agg(F.min(F.struct("store_id", "item_id", "date")).alias("k")).select("k.*").first().asDict()
+    for column, value in key.items():
+        rows = rows.where(F.col(column) == F.lit(value))
+    own = explain.tree_attributions(fitted(spark, sf_dir), rows, list(key), _background(spark, sf_dir))
+    return explain.explain_row(own, **key)
